@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.llm import bpe, packing, topk, warc
+from tideweave.llm import bpe, brown, packing, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_warc": warc.op3_warc,
+    "op8_brown_lm": brown.op8_brown_lm,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_topk": topk.op10_exact_topk,
 }
