@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are word beginnings (4 and 5 letters) and whole words that tell the labels apart on the
-labelled sample (a G-test); vectors are TF-IDF over them, of length 1. The examples stand in an
+Terms are word beginnings and whole words, numbered by occurrence, that point to the label on the
+labelled sample (a G-test and a least share); vectors are TF-IDF over them, of length 1. The examples stand in an
 inverted index whose postings come in blocks of examples with the largest weight of each term in
 each block. A block's upper bound is the query's product with those; blocks are scored exactly from
 the highest bound down until no bound reaches the k-th score. Neighbours vote with their cosine as
@@ -25,39 +25,46 @@ from pyspark.sql import functions as F
 
 from tideweave.llm.common import annotate, crc_fold, materialize, table
 
-#: Labelled rows in the index, at most; terms, at most, and the least G-test value of a term.
-EXAMPLES, TERMS, LEAST_G = 8192, 512, 25.0
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 0.5, 64
+#: Labelled rows in the index, at most; terms, at most, and their least G-test value and share of labels.
+EXAMPLES, TERMS, LEAST_G, LEAST_SHARE = 8192, 2048, 30.0, 0.7
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 0.2, 64
+#: Letters of word beginnings, and occurrences told apart.
+FIRST, LAST, TIMES = 4, 8, 3
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
-    """Beginnings of words, marked by their length, and whole longer words."""
-    out = []
-    for w in _WORD.findall((text or "").lower()):
-        out += ("4" + w[:4], "5" + w[:5]) if len(w) < 6 else ("4" + w[:4], "5" + w[:5], "w" + w)
-    return out
+def word_terms(word: str) -> list[str]:
+    """The word's beginnings of FIRST to LAST letters, and the whole word (a blank marks its end)."""
+    return [word[:n] for n in range(FIRST, min(len(word), LAST) + 1)] + [word + " "]
+
+
+def terms(text: str | None) -> set[str]:
+    """Terms with the number of their occurrence, up to TIMES: "abcd 2" holds where "abcd" occurs twice or more."""
+    count: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for t in word_terms(w):
+            count[t] += n
+    return {f"{t}|{n}" for t, k in count.items() for n in range(1, min(k, TIMES) + 1)}
 
 
 class TermFinder:
-    """Counts of chosen terms in a text; looks at each word's first letters once."""
+    """Which chosen terms a text holds; only words whose first letters begin a chosen term are looked at."""
 
     def __init__(self, chosen: list[str]):
         self.of = {t: i for i, t in enumerate(chosen)}
-        self.four = {t[1:]: i for t, i in self.of.items() if t[0] == "4"}
-        self.five = {t[1:]: i for t, i in self.of.items() if t[0] == "5"}
-        self.word = {t[1:]: i for t, i in self.of.items() if t[0] == "w"}
-        self.any = {t[1:5] for t in self.of}
+        self.stems = {t.rpartition("|")[0] for t in chosen}
+        self.first = {t[:FIRST] for t in self.stems} | {t[:-1][:FIRST] for t in self.stems if t[-1] == " "}
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        found: Counter = Counter()
+        """Chosen terms and how often their stem occurs."""
+        first, stems = self.first, self.stems
+        count: Counter = Counter()
         for w in _WORD.findall((text or "").lower()):
-            if w[:4] in self.any:
-                for table, key in ((self.four, w[:4]), (self.five, w[:5]), *(((self.word, w),) if len(w) > 5 else ())):
-                    i = table.get(key)
-                    if i is not None:
-                        found[i] += 1
-        return found
+            if w[:FIRST] in first:
+                for t in word_terms(w):
+                    if t in stems:
+                        count[t] += 1
+        return {i: k for t, k in count.items() for n in range(1, min(k, TIMES) + 1) if (i := self.of.get(f"{t}|{n}")) is not None}
 
 
 def g_test(a: F.Column, b: F.Column, n_a: int, n_b: int) -> F.Column:
@@ -144,7 +151,7 @@ class Index:
         return out
 
 
-def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, examples: int = EXAMPLES, max_terms: int = TERMS, least_g: float = LEAST_G) -> tuple[list[str], Index]:
+def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, examples: int = EXAMPLES, max_terms: int = TERMS, least_g: float = LEAST_G, least_share: float = LEAST_SHARE) -> tuple[list[str], Index]:
     """Terms and index of at most ``examples`` labelled documents, chosen by a hash of the id.
 
     A document labelled twice takes the higher label; null labels and ids are left out.
@@ -152,23 +159,28 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("example")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("example"), "example").limit(examples)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("example"))
-    sample = materialize(rows.select("id", "text", "label"), "toxic-sample")
+    sample = materialize(rows.select("id", "text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n_pos = sum(v for y, v in n.items() if y > 0)
     n_neg = sum(n.values()) - n_pos
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos: Counter = Counter()
-        neg: Counter = Counter()
+    def counted(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
         for b in batches:
-            for text, label in zip(b.column("text"), b.column("label").to_pylist()):
-                (pos if label > 0 else neg).update(set(terms(text.as_py())))
-        every = list(pos | neg)
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([pos[t] for t in every], pa.int64()), pa.array([neg[t] for t in every], pa.int64())], ["term", "pos", "neg"])
-
-    df = sample.select("text", "label").mapInArrow(spread, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    told = df.withColumn("g", g_test(F.col("pos"), F.col("neg"), n_pos, n_neg)).where(F.col("g") >= least_g) if n_pos and n_neg else df.limit(0)
-    best = [r[0] for r in (told.orderBy(F.desc("g"), "term").limit(max_terms) if n_pos and n_neg else told).select("term").collect()]
+            for text in b.column("text"):
+                df.update(terms(text.as_py()) if wanted is None else terms(text.as_py()) & wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
+
+    best: list[str] = []
+    if n_pos and n_neg:
+        least = max(1, math.ceil(least_g / 2 / math.log((n_pos + n_neg) / n_pos)))  # fewer cannot reach least_g
+        pos = sample.where("label > 0").select("text").mapInArrow(lambda bs: counted(bs, None), "term string, n long").groupBy("term").agg(F.sum("n").alias("pos")).where(F.col("pos") >= least)
+        pos = materialize(pos, "toxic-terms")
+        wanted = sample.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in pos.select("term").collect()))  # of the sample's toxic rows
+        neg = sample.where("label <= 0").select("text").mapInArrow(lambda bs: counted(bs, wanted.value), "term string, n long").groupBy("term").agg(F.sum("n").alias("neg"))
+        both = pos.join(neg, "term", "left").fillna(0, ["neg"])
+        told = both.where(F.col("pos") >= least_share * (F.col("pos") + F.col("neg"))).withColumn("g", g_test(F.col("pos"), F.col("neg"), n_pos, n_neg)).where(F.col("g") >= least_g)
+        best = [r[0] for r in told.orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = TermFinder(best)
