@@ -2,19 +2,22 @@
 
 Work per distinct word (encoding it, counting it over the corpus) is done once per word in the
 whole corpus, yet word occurrences are never shuffled: a block of some megabytes of text sends each
-of its distinct words once, under its position in the block's word list, and gets the answers back
-under that position. A block is named by a hash of its content, so the two scans that make its
+of its distinct words once, dealt into parts by a hash of the word and packed, and gets the answers
+back in the same order. All questions about a word meet in one part. A block is named by a hash of its content, so the two scans that make its
 words and its text agree by content, not by the order in which Spark happens to read.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 TEXT_BYTES = 8 << 20
 
@@ -77,3 +80,55 @@ def take_runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
         return flat[:0]
     ends = np.cumsum(sizes)
     return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def parts_of(spark) -> int:
+    """Into how many parts a block deals its words: some for each shuffle partition, so that they even out."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Dealt:
+    """A block's distinct words dealt out by a hash of the word: order[bounds[p]:bounds[p+1]] are those of part p."""
+
+    def __init__(self, words: list[bytes], parts: int):
+        part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+        self.words, self.order = words, np.argsort(part, kind="stable")
+        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
+        self.full = np.flatnonzero(np.diff(self.bounds))
+
+    def asks(self, block: int, beside=lambda at: ()) -> pa.RecordBatch:
+        """block, part, blob: the words of each part, with what beside gives for their positions."""
+        pack, blobs = zstandard.ZstdCompressor(level=1), []
+        for p in self.full:
+            at = self.order[self.bounds[p] : self.bounds[p + 1]]
+            own = [self.words[i] for i in at.tolist()]
+            blobs.append(pack.compress(pickle.dumps((np.array([len(w) for w in own], np.uint32), b"".join(own), *beside(at)), 5)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), block, np.int64)), pa.array(self.full.astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "part", "blob"])
+
+    def gather(self, parts: pa.ChunkedArray, blobs: pa.ChunkedArray) -> list | None:
+        """The first field of all answers in word order, and the other fields part by part; None if any part is missing."""
+        got = dict(zip(parts.to_pylist(), blobs))  # equal blocks ask the same question twice
+        if any(p not in got for p in self.full.tolist()):
+            return None
+        pieces = [answered(got[p].as_py()) for p in self.full.tolist()]
+        if any(len(x[0]) != self.bounds[p + 1] - self.bounds[p] for p, x in zip(self.full, pieces)):
+            return None
+        back = np.empty(len(self.order), np.int64)
+        back[self.order] = np.arange(len(self.order))
+        first, *more = zip(*pieces)
+        return [np.concatenate(first)[back], *more]
+
+
+def asked(blob: bytes) -> tuple[list[bytes], list]:
+    """The words of a question and what was sent beside them."""
+    sizes, flat, *beside = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    ends = np.cumsum(sizes).tolist()
+    return [flat[s:e] for s, e in zip([0, *ends], ends)], beside
+
+
+def answer(*fields: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(fields, 5))
+
+
+def answered(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))

@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tideweave.llm import blocks
 from tideweave.llm.common import table
 
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS, BLOCK_BYTES = 1 << 19, 8 << 20
 
 
 def _charset(holds) -> str:
@@ -65,11 +66,13 @@ class WordEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+        ranks = _ranks(path)
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.narrow = max(ranks.values(), default=0) < 1 << 16
 
-    def __call__(self, word: str) -> bytes:
+    def __call__(self, word: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of one pre-token."""
-        return np.array(self.bpe._encode_single_piece(word.encode()), "<u4").tobytes()
+        return array("I", self.bpe._encode_single_piece(word)).tobytes()
 
 
 class TokenBytes:
@@ -98,10 +101,10 @@ class TokenBytes:
         return blocks.take_runs(flat, starts[ids], sizes[ids]).tobytes()
 
 
-def _first_seen(texts: pa.Array, split: PreTokenizer) -> dict[str, None]:
+def _first_seen(texts: list[list[str]]) -> dict[str, None]:
     words: dict[str, None] = {}
-    for text in texts:
-        words.update(dict.fromkeys(split(text.as_py() or "")))
+    for ws in texts:
+        words.update(dict.fromkeys(ws))
     return words
 
 
@@ -115,61 +118,69 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = blocks.parts_of(docs.sparkSession)
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = PreTokenizer()
-        for b in blocks.cut_blocks(batches):
-            own = list(_first_seen(b.column("text"), split))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), blocks.block_name(b))), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own, pa.string())], ["block", "at", "word"])
+        for b in blocks.cut_blocks(batches, BLOCK_BYTES):
+            words = [w.encode() for w in _first_seen([split(t.as_py() or "") for t in b.column("text")])]
+            yield blocks.Dealt(words, parts).asks(blocks.block_name(b))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All questions about a word are in this partition, so it is encoded once."""
         encoder, known = WordEncoder(path), {}
         for b in batches:
             out = []
-            for w in b.column("word").to_pylist():
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) >= KNOWN_WORDS:
-                        known.clear()
-                    ids = known[w] = encoder(w)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array(out, pa.binary())], ["block", "at", "ids"])
+            for blob in b.column("blob"):
+                words, _ = blocks.asked(blob.as_py())
+                for w in words:
+                    if w not in known:
+                        known[w] = encoder(w)
+                ids = [known[w] for w in words]
+                out.append(blocks.answer(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4").astype(np.uint16 if encoder.narrow else np.uint32)))
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), pa.array(out, pa.binary())], ["block", "part", "blob"])
 
     def reassembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        split, encoder = PreTokenizer(), None
-        at = np.asarray(right.column("at").combine_chunks())
-        answers = right.column("ids").combine_chunks().take(pa.array(np.argsort(at, kind="stable"))) if len(at) else pa.array([], pa.binary())
-        at = np.sort(at)
-        first = np.flatnonzero(np.diff(at, prepend=-1))  # equal blocks ask the same question twice
-        answers = answers.take(pa.array(first)).to_pylist()
+        split = PreTokenizer()
         tables = []
         for blob in left.column("blob"):
             b = blocks.unsqueeze(blob.as_py())
             texts = [split(t.as_py() or "") for t in b.column("text")]
-            index: dict[str, int] = {}
-            for ws in texts:
-                index.update(dict.fromkeys(ws))
-            index = {w: i for i, w in enumerate(index)}
-            if len(index) != len(answers):  # the block's words did not arrive whole: encode them here
-                encoder = encoder or WordEncoder(path)
-                own = [encoder(w) for w in index]
-            else:
-                own = answers
-            sizes = np.array([len(x) // 4 for x in own], np.int64)
-            starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), "<u4").astype(np.int32)
-            where = np.fromiter((index[w] for ws in texts for w in ws), np.int64)
+            index = _first_seen(texts)
+            index = dict(zip(index, range(len(index))))
+            dealt = blocks.Dealt([w.encode() for w in index], parts)
+            sizes, starts, flat = _answers(dealt, right, path)
+            where = np.fromiter((i for ws in texts for i in map(index.__getitem__, ws)), np.int64)
             ids, per_word = blocks.take_runs(flat, starts[where], sizes[where]), np.concatenate([[0], np.cumsum(sizes[where])])
             ends = np.concatenate([[0], np.cumsum([len(ws) for ws in texts])]).astype(np.int64)
             tables.append(pa.table({"id": b.column("id"), "ids": pa.ListArray.from_arrays(pa.array(per_word[ends].astype(np.int32)), pa.array(ids))}))
         # no text: words of a block that the second scan cut otherwise
         return pa.concat_tables(tables) if tables else pa.table({"id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32()))})
 
-    asked = rows.mapInArrow(words, "block long, at int, word string").repartition("word")
-    answered = asked.mapInArrow(encoded, "block long, at int, ids binary")
-    whole = rows.mapInArrow(blocks.packed, "block long, blob binary")
-    joined = whole.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(reassembled, f"id {kind}, ids array<int>")
+    asks = rows.mapInArrow(questions, "block long, part int, blob binary").repartition("part")
+    answers = asks.mapInArrow(encoded, "block long, part int, blob binary")
+    whole = rows.mapInArrow(lambda bs: blocks.packed(bs, BLOCK_BYTES), "block long, blob binary")
+    joined = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassembled, f"id {kind}, ids array<int>")
     return joined.withColumnRenamed("id", id_col)
 
 
+def _answers(dealt: blocks.Dealt, right: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: how many ids it has and where they start in the flat array of ids."""
+    got = dealt.gather(right.column("part"), right.column("blob")) if dealt.words else [np.zeros(0, np.int64), [np.zeros(0, np.int32)]]
+    if got is None:  # a second scan cut the blocks otherwise, so this one's words were not asked: encode them here
+        encoder = WordEncoder(path)
+        ids = [encoder(w) for w in dealt.words]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+    sizes = got[0].astype(np.int64)
+    in_order = np.concatenate([[0], np.cumsum(sizes[dealt.order])[:-1]]) if len(sizes) else sizes  # as the parts lie one after another
+    starts = np.empty(len(sizes), np.int64)
+    starts[dealt.order] = in_order
+    return sizes, starts, np.concatenate(got[1]).astype(np.int32)
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, ranks_path: str | None = None) -> DataFrame:
     """id_col, bytes: what the ids stand for. Null ids count as none; an id outside the vocabulary is an error."""
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
