@@ -203,7 +203,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     null id is a class id only where no other id is there. No rows give no rows.
     """
     sig = materialize(signatures(docs, id_col, text_col, n, bands_for(similarity, recall, rows), rows), "minhash")
-    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_key")))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
     nodes = materialize(sig.where("node is not null").groupBy("node").agg(least.alias("least"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     band = nodes.select("node", F.explode("bands").alias("grp"))  # the band's number is in its hash
     shared = band.groupBy("grp").count().where("count > 1").select("grp")
@@ -254,6 +254,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     )
 
 
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """All columns of docs, of one row of each class: the one with the least id (null last), then text key."""
+    known = classes(docs, id_col, text_col, **options)
+    chosen = known.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("keeper_key"))).select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    mark = "text_key"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, _text_key(text_col))
+    kept = rows.join(chosen, rows[id_col].cast("long").eqNullSafe(chosen["kept_id"]) & (rows[mark] == chosen["kept_key"]), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.llm import bpe, brown, neardup, packing, quality, topk, toxicity, warc
+from tideweave.llm import bpe, brown, neardup, packing, quality, topk, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_ngram_jaccard": neardup.op6_ngram_jaccard,
+    "op7_html_extraction": wrapper.op7_html_extraction,
     "op8_brown_lm": brown.op8_brown_lm,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_topk": topk.op10_exact_topk,
