@@ -18,6 +18,7 @@ and to class frequencies.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,16 +56,17 @@ def _index(docs: list[list[bytes]]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(seen)}
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, n: training counts of each block's distinct words."""
+def _frequent(batches: Iterator[pa.RecordBatch], core: int) -> Iterator[pa.RecordBatch]:
+    """word, n: the core most frequent words of this partition, which holds all counts of its words."""
+    count: Counter = Counter()
     for b in batches:
         for blob in b.column("blob"):
-            docs, held = _docs(blocks.unsqueeze(blob.as_py()))
-            count: Counter = Counter()
-            for d, h in zip(docs, held):
-                if not h:
-                    count.update(d)
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            words, (n,) = blocks.asked(blob.as_py())
+            for w, k in zip(words, n.tolist()):
+                count[w] += k
+    count.pop(END, None)
+    best = heapq.nsmallest(core, count.items(), key=lambda x: (-x[1], x[0]))
+    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
@@ -130,12 +132,21 @@ class Transitions:
         self.unknown = np.log10(np.maximum(tri @ np.append(unknown, np.zeros(targets - len(unknown))), 1e-300))
 
 
-def _contexts(seq: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: the contexts two and one before it, and its class (UNKNOWN for unknown words)."""
+def _contexts(seqs: pa.Array, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over all tokens of the sequences: the contexts two and one before each, its class, and where each text begins.
+
+    The class of unknown words is UNKNOWN. Every text has its end token, so none is empty.
+    """
+    flat = [s.as_buffer() for s in seqs]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in flat])[:-1]]).astype(np.int64)
+    seq = np.frombuffer(b"".join(flat), np.uint8)
     target = np.where(seq & ONCE, seq & (ONCE - 1), seq).astype(np.int64)
     as_context = np.where((seq == UNKNOWN) | (seq & ONCE > 0), classes + 1, target)
-    before = np.concatenate([[classes + 2], as_context[:-1]])
-    return np.concatenate([[classes + 2], before[:-1]]), before, target
+    one = np.concatenate([[0], as_context[:-1]])
+    one[begin] = classes + 2
+    two = np.concatenate([[0], one[:-1]])
+    two[begin] = classes + 2
+    return two, one, target, begin
 
 
 def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", *, core: int = CORE, classes: int = CLASSES) -> DataFrame:
@@ -153,8 +164,23 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
     corpus = materialize(rows.mapInArrow(lambda bs: blocks.packed(bs, BLOCK_BYTES), "block long, blob binary"), "lm-corpus", "none")
 
-    counts = corpus.select("blob").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [bytes(r[0]) for r in counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(core).collect()]
+    parts = blocks.parts_of(spark)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Training counts of each block's distinct words."""
+        for b in batches:
+            for name, blob in zip(b.column("block").to_pylist(), b.column("blob")):
+                docs, held = _docs(blocks.unsqueeze(blob.as_py()))
+                count: Counter = Counter()
+                for d, h in zip(docs, held):
+                    if not h:
+                        count.update(d)
+                n = np.fromiter(count.values(), np.uint32, len(count))
+                yield blocks.Dealt(list(count), parts).asks(name, lambda at, n=n: (n[at],))
+
+    ask = "block long, part int, blob binary"
+    tops = corpus.mapInArrow(counts, ask).repartition("part").mapInArrow(lambda bs: _frequent(bs, core), "word binary, n long")
+    frequent = [bytes(r[0]) for r in tops.orderBy(F.desc("n"), "word").limit(core).collect()]
     head = {w: i for i, w in enumerate(frequent)}
     size = len(frequent) + 2
     sent_head = spark.sparkContext.broadcast(head)  # core words at most
@@ -168,8 +194,8 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
                 ids = [size - 1]
                 for d, h in zip(docs, held):
                     if not h:
-                        ids += [own.get(w, size - 2) for w in d[:-1]]
-                        ids.append(size - 1)
+                        ids.extend([own.get(w, size - 2) for w in d])
+                        ids[-1] = size - 1
                 at = np.array(ids, np.int64)
                 cells += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         full = np.flatnonzero(cells)
@@ -186,73 +212,71 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     sent_class = spark.sparkContext.broadcast(({w: int(k) for w, k in zip(frequent, of)} | {END: classes}, mutual))
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's distinct words: position, training count, and the classes beside a word outside the core."""
+        """Each block's distinct words with training counts, and the classes beside those outside the core."""
         fixed, _ = sent_class.value
         for b in batches:
             for name, blob in zip(b.column("block").to_pylist(), b.column("blob")):
                 docs, held = _docs(blocks.unsqueeze(blob.as_py()))
                 index = _index(docs)
-                cls = np.array([fixed.get(w, classes) if w else classes + 1 for w in index], np.uint8)  # other words, edge
-                core_word = np.array([w in fixed for w in index], bool)
+                core_word = np.fromiter((w in fixed for w in index), bool, len(index))
+                cls = np.fromiter((fixed.get(w, classes) if w else classes + 1 for w in index), np.uint8, len(index))  # other words, edge
                 ids = [index[END]]
                 for d, h in zip(docs, held):
                     if not h:
-                        ids += [index[w] for w in d]
-                at = np.array(ids, np.int64)[:]
+                        ids.extend(map(index.__getitem__, d))
+                at = np.array(ids, np.int64)
                 n = np.bincount(at[1:], minlength=len(index))
-                mid = np.arange(1, len(at))
-                mid = mid[~core_word[at[mid]]]
+                mid = np.flatnonzero(~core_word[at])
                 mid = mid[np.argsort(at[mid], kind="stable")]
-                beside = np.stack([cls[at[mid - 1]], cls[at[mid + 1]] if len(mid) else cls[at[mid]]], 1).reshape(-1).tobytes()
-                ends = 2 * np.cumsum(np.where(core_word, 0, n))
-                starts = np.concatenate([[0], ends[:-1]])
-                around = [beside[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), name)), pa.array(np.arange(len(index), dtype=np.int32)), pa.array(list(index), pa.binary()), pa.array(n, pa.int64()), pa.array(around, pa.binary())], ["block", "at", "word", "n", "around"])
+                around = np.stack([cls[at[mid - 1]], cls[at[mid + 1]]], 1).reshape(-1) if len(mid) else np.zeros(0, np.uint8)
+                sizes = np.where(core_word, 0, 2 * n)
+                starts = np.cumsum(sizes) - sizes
+                yield blocks.Dealt(list(index), parts).asks(name, lambda at, n=n, a=around, s=starts, z=sizes: (n[at].astype(np.uint32), blocks.take_runs(a, s[at], z[at]).tobytes()))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of a word are in this partition: its count and class go back to each block that asked.
+        """All questions about a word are in this partition: its count and class go back to each block that asked.
 
-        Rows with block null hold what the distinct words add to each class: tokens, words, words
-        seen once and twice.
+        Rows without a block hold what the distinct words add to each class: tokens, words, and
+        words seen once and twice.
         """
         fixed, mutual = sent_class.value
         wide = classes + 2
         seen: dict[bytes, int] = {}
-        asked, sums, beside = [], [], []
+        rows, beside = [], []
         for b in batches:
-            ids = np.fromiter((seen.setdefault(w, len(seen)) for w in b.column("word").to_pylist()), np.int64, b.num_rows)
-            around = b.column("around")
-            sizes = np.diff(np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1])
-            flat = np.frombuffer(b"".join(around.to_pylist()), np.uint8)
-            asked.append((np.asarray(b.column("block")), np.asarray(b.column("at")), ids))
-            sums.append((ids, np.asarray(b.column("n"))))
-            who = np.repeat(ids, sizes // 2)
-            for side in (0, 1):
-                key, n = np.unique((who * wide + flat[side::2]) * 2 + side, return_counts=True)
-                beside.append((key, n))
+            for name, part, blob in zip(b.column("block").to_pylist(), b.column("part").to_pylist(), b.column("blob")):
+                words, (n, around) = blocks.asked(blob.as_py())
+                ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+                rows.append((name, part, ids, n))
+                if around:
+                    flat = np.frombuffer(around, np.uint8)
+                    sizes = np.fromiter((w not in fixed for w in words), bool, len(words)) * n.astype(np.int64)
+                    who = np.repeat(ids, sizes)
+                    beside += [(who * 2 + side) * wide + flat[side::2] for side in (0, 1)]
         if not seen:
             return
         total = np.zeros(len(seen), np.int64)
-        for ids, n in sums:
-            np.add.at(total, ids, n)
-        profile = np.zeros((len(seen), 2, wide), np.float32)
-        for key, n in beside:
-            np.add.at(profile, (key // 2 // wide, key % 2, key // 2 % wide), n)
+        for _, _, ids, n in rows:
+            total[ids] += n  # the words of a question are distinct
+        profile = np.bincount(np.concatenate(beside), minlength=len(seen) * 2 * wide).reshape(-1, 2, wide) if beside else np.zeros((len(seen), 2, wide))
         # as the exchange does, judged by the classes to the left and to the right
-        score = profile[:, 0] @ mutual[:, :classes] + profile[:, 1] @ mutual[:classes].T
-        cls = score.argmax(1)
+        cls = (profile[:, 0] @ mutual[:, :classes] + profile[:, 1] @ mutual[:classes].T).argmax(1)
         for w, i in seen.items():
             if w in fixed:
                 cls[i] = fixed[w]
-        for block, at, ids in asked:
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(at, pa.int32()), pa.array(total[ids], pa.int64()), pa.array(cls[ids], pa.int32())] + [pa.nulls(len(ids), pa.int64())] * 3, ["block", "at", "n", "class", "words", "once", "twice"])
+        names = ["block", "part", "blob", "class", "n", "words", "once", "twice"]
+        value = total * 64 + cls
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            blobs = [blocks.answer(value[ids]) for _, _, ids, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(some), pa.int32()), *[pa.nulls(len(some), pa.int64())] * 4], names)
         known = total > 0
-        per = [np.bincount(cls[known], x[known].astype(float), classes + 1).astype(np.int64) for x in (total, known, total == 1, total == 2)]
         k = np.arange(classes + 1, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int32()), pa.array(per[0]), pa.array(k), pa.array(per[1]), pa.array(per[2]), pa.array(per[3])], ["block", "at", "n", "class", "words", "once", "twice"])
+        per = [pa.array(np.bincount(cls[known], x[known].astype(float), classes + 1).astype(np.int64)) for x in (total, known, total == 1, total == 2)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k), *per], names)
 
-    asked = corpus.mapInArrow(questions, "block long, at int, word binary, n long, around binary").repartition("word")
-    known = materialize(asked.mapInArrow(answers, "block long, at int, n long, class int, words long, once long, twice long"), "lm-words")
+    given = corpus.mapInArrow(questions, ask).repartition("part").mapInArrow(answers, f"{ask}, class int, n long, words long, once long, twice long")
+    known = materialize(given, "lm-words")
     stats = known.where("block is null").groupBy("class").agg(*[F.sum(c).alias(c) for c in ("n", "words", "once", "twice")]).collect()  # classes + 1 rows
     n_k, v_k = np.zeros(classes + 1), np.zeros(classes + 1)
     once = twice = 0
@@ -268,32 +292,29 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     taken = np.where(np.arange(classes + 1) == classes, 0.0 if end_alone else discount, discount)
 
     def sequences(left_side: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(right.column("at").combine_chunks()), kind="stable") if right.num_rows else np.zeros(0, int)
-        at = np.asarray(right.column("at").combine_chunks())[order] if right.num_rows else order
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        n = np.asarray(right.column("n").combine_chunks())[order][first] if right.num_rows else order
-        cls = np.asarray(right.column("class").combine_chunks())[order][first] if right.num_rows else order
-        emission = np.where(n > 0, np.log10(np.maximum(n - taken[cls], 1e-9) / np.maximum(n_k[cls], 1)), 0.0)
-        base = np.log10((n + 0.5) / (n_all + 0.5 * (v_all + 1)))
-        code = np.where(n > 0, cls + np.where(n == 1, ONCE, 0), UNKNOWN).astype(np.uint8)
         ids, out = [], [[], [], [], [], []]
         for blob in left_side.column("blob"):
             b = blocks.unsqueeze(blob.as_py())
             texts, _ = _docs(b)
             index = _index(texts)
-            if len(index) != len(n):
+            got = blocks.Dealt(list(index), parts).gather(right.column("part"), right.column("blob"))
+            if got is None:
                 raise RuntimeError("a block's words did not arrive whole")
+            n, cls = got[0] // 64, got[0] % 64
+            emission = np.where(n > 0, np.log10(np.maximum(n - taken[cls], 1e-9) / np.maximum(n_k[cls], 1)), 0.0)
+            base = np.log10((n + 0.5) / (n_all + 0.5 * (v_all + 1)))
+            code = np.where(n > 0, cls + np.where(n == 1, ONCE, 0), UNKNOWN).astype(np.uint8)
             ids.append(b.column("id"))
             out[0] += b.column("held_out").to_pylist()
             for d in texts:
-                w = np.fromiter((index[x] for x in d), np.int64, len(d))
+                w = np.fromiter(map(index.__getitem__, d), np.int64, len(d))
                 out[1].append(int((n[w] > 0).sum()))
                 out[2].append(float(base[w].sum()))
                 out[3].append(float(emission[w].sum()))
                 out[4].append(code[w].tobytes())
         return pa.table({"id": pa.chunked_array(ids, id_type), "held_out": pa.array(out[0], pa.bool_()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "emission": pa.array(out[3], pa.float64()), "seq": pa.array(out[4], pa.binary())})
 
-    words = known.where("block is not null").select("block", "at", "n", "class")
+    words = known.where("block is not null").select("block", "part", "blob")
     read = corpus.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(sequences, f"id {kind}, held_out boolean, n_known long, base_score double, emission double, seq binary")
     texts = materialize(read, "lm-sequences")
 
@@ -302,12 +323,9 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(int(np.prod(shape)), np.int64)
         for b in batches:
-            for s in b.column("seq"):
-                two, one, target = _contexts(np.frombuffer(s.as_py(), np.uint8), classes)
-                ok = target <= classes
-                cells += np.bincount(((two * shape[1] + one) * shape[2] + target)[ok], minlength=len(cells)) if len(two) > 2000 else 0
-                if len(two) <= 2000:
-                    np.add.at(cells, ((two * shape[1] + one) * shape[2] + target)[ok], 1)
+            two, one, target, _ = _contexts(b.column("seq"), classes)
+            ok = target <= classes
+            cells += np.bincount(((two * shape[1] + one) * shape[2] + target)[ok], minlength=len(cells))
         full = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(cells[full], pa.int64())], ["cell", "n"])
 
@@ -318,17 +336,13 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, score = [], []
-            for s, e in zip(b.column("seq"), b.column("emission").to_pylist()):
-                seq = np.frombuffer(s.as_py(), np.uint8)
-                n.append(len(seq))
-                if moves is None:
-                    score.append(0.0)
-                    continue
-                two, one, target = _contexts(seq, classes)
-                ok = target <= classes
-                score.append(e + float(moves.log[two[ok], one[ok], target[ok]].sum()) + float(moves.unknown[two[~ok], one[~ok]].sum()))
-            score, n = np.array(score, float), np.array(n, np.int64)
+            n = np.array([len(s.as_buffer()) for s in b.column("seq")], np.int64)
+            score = np.zeros(len(n))
+            if moves is not None and len(n):
+                two, one, target, begin = _contexts(b.column("seq"), classes)
+                known_word = target <= classes
+                step = np.where(known_word, moves.log[two, one, np.where(known_word, target, 0)], moves.unknown[two, one])
+                score = np.asarray(b.column("emission")) + np.add.reduceat(step, begin)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(n), b.column("n_known"), pa.array(np.full(len(n), n_all)), b.column("base_score"), pa.array(score), pa.array(10 ** np.minimum(-score / np.maximum(n, 1), 300))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     out = texts.mapInArrow(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
