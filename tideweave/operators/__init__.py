@@ -1,0 +1 @@
+"""Operators over replicated state, all from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""Driver-facing queries and their SQL."""
+"""Queries over the supplied tables and the SQL that gives the same rows."""

@@ -1,4 +1,4 @@
-"""Queries over the supplied tables, each with the SQL that gives the same rows."""
+"""All queries over the supplied tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tideweave.plans import graphs, lattices
+
+_PARTS = (lattices, graphs)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

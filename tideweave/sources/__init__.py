@@ -1,0 +1 @@
+"""Tables, logs derived from them, and durable state."""
