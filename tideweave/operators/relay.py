@@ -12,7 +12,7 @@ KINDS = ("join", "leave", "sync", "sync_request", "presence")
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """Messages of JSON lines (arrival, value); invalid JSON and unknown types are dropped."""
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RELAY_MESSAGES.fields if f.name != "arrival")
+    shape = RELAY_MESSAGES.removeprefix("arrival BIGINT, ")
     return lines.select("arrival", F.from_json(column, shape, {"mode": "PERMISSIVE"}).alias("m")).select("arrival", "m.*").where(F.col("type").isin(*KINDS))
 
 
