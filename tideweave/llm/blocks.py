@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +84,24 @@ def take_runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
 
+class Numbers(defaultdict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.default_factory = self.__len__
+
+
+def numbered(texts: Iterable[list]) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the number of each word occurrence, and how many words each text has."""
+    numbers, flat, sizes = Numbers(), array("i"), []
+    number = numbers.__getitem__
+    for words in texts:
+        flat.extend(map(number, words))
+        sizes.append(len(words))
+    return list(numbers), np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.array(sizes, np.int64)
+
+
 def parts_of(spark) -> int:
     """Into how many parts a block deals its words: some for each shuffle partition, so that they even out."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

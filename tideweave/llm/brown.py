@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tideweave.llm import blocks
 from tideweave.llm.common import crc_fold, materialize, table
 
-CORE, CLASSES, SWEEPS, BACKOFF, BLOCK_BYTES = 1000, 32, 12, 20.0, 16 << 20
+CORE, CLASSES, SWEEPS, BACKOFF, BLOCK_BYTES = 1000, 32, 12, 20.0, 8 << 20
 #: The end token's key; no word is empty.
 END = b""
 #: In class sequences: the unknown word, and the flag of a word seen once in training.
@@ -45,15 +45,21 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def _docs(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray]:
-    return [tokens(t.as_py()) for t in batch.column("text")], np.asarray(batch.column("held_out").to_pylist(), bool)
+class Block:
+    """The tokens of a block: its distinct ones, the number of each occurrence, and the size and fold of each text."""
 
+    def __init__(self, blob: bytes):
+        self.batch = blocks.unsqueeze(blob)
+        self.words, self.flat, self.sizes = blocks.numbered(tokens(t.as_py()) for t in self.batch.column("text"))
+        self.held = np.asarray(self.batch.column("held_out").to_pylist(), bool)
 
-def _index(docs: list[list[bytes]]) -> dict[bytes, int]:
-    seen: dict[bytes, None] = {}
-    for d in docs:
-        seen.update(dict.fromkeys(d))
-    return {w: i for i, w in enumerate(seen)}
+    def training(self) -> np.ndarray:
+        """Occurrences in training texts, one text after another."""
+        return self.flat[np.repeat(~self.held, self.sizes)] if self.held.any() else self.flat
+
+    @property
+    def end(self) -> int:
+        return self.words.index(END)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], core: int) -> Iterator[pa.RecordBatch]:
@@ -170,13 +176,9 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
         """Training counts of each block's distinct words."""
         for b in batches:
             for name, blob in zip(b.column("block").to_pylist(), b.column("blob")):
-                docs, held = _docs(blocks.unsqueeze(blob.as_py()))
-                count: Counter = Counter()
-                for d, h in zip(docs, held):
-                    if not h:
-                        count.update(d)
-                n = np.fromiter(count.values(), np.uint32, len(count))
-                yield blocks.Dealt(list(count), parts).asks(name, lambda at, n=n: (n[at],))
+                own = Block(blob.as_py())
+                n = np.bincount(own.training(), minlength=len(own.words)).astype(np.uint32)
+                yield blocks.Dealt(own.words, parts).asks(name, lambda at, n=n: (n[at],))
 
     ask = "block long, part int, blob binary"
     tops = corpus.mapInArrow(counts, ask).repartition("part").mapInArrow(lambda bs: _frequent(bs, core), "word binary, n long")
@@ -187,16 +189,12 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """cell, n: bigrams of training texts over core words, other words and edges."""
-        own, cells = sent_head.value, np.zeros(size * size, np.int64)
+        known, cells = sent_head.value, np.zeros(size * size, np.int64)
         for b in batches:
             for blob in b.column("blob"):
-                docs, held = _docs(blocks.unsqueeze(blob.as_py()))
-                ids = [size - 1]
-                for d, h in zip(docs, held):
-                    if not h:
-                        ids.extend([own.get(w, size - 2) for w in d])
-                        ids[-1] = size - 1
-                at = np.array(ids, np.int64)
+                own = Block(blob.as_py())
+                symbol = np.fromiter((known.get(w, size - 2) if w else size - 1 for w in own.words), np.int64, len(own.words))
+                at = np.concatenate([[size - 1], symbol[own.training()]])
                 cells += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         full = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(cells[full], pa.int64())], ["cell", "n"])
@@ -216,22 +214,17 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
         fixed, _ = sent_class.value
         for b in batches:
             for name, blob in zip(b.column("block").to_pylist(), b.column("blob")):
-                docs, held = _docs(blocks.unsqueeze(blob.as_py()))
-                index = _index(docs)
-                core_word = np.fromiter((w in fixed for w in index), bool, len(index))
-                cls = np.fromiter((fixed.get(w, classes) if w else classes + 1 for w in index), np.uint8, len(index))  # other words, edge
-                ids = [index[END]]
-                for d, h in zip(docs, held):
-                    if not h:
-                        ids.extend(map(index.__getitem__, d))
-                at = np.array(ids, np.int64)
-                n = np.bincount(at[1:], minlength=len(index))
+                own = Block(blob.as_py())
+                core_word = np.fromiter((w in fixed for w in own.words), bool, len(own.words))
+                cls = np.fromiter((fixed.get(w, classes) if w else classes + 1 for w in own.words), np.uint8, len(own.words))  # other words, edge
+                at = np.concatenate([[own.end], own.training()])
+                n = np.bincount(at[1:], minlength=len(own.words))
                 mid = np.flatnonzero(~core_word[at])
                 mid = mid[np.argsort(at[mid], kind="stable")]
                 around = np.stack([cls[at[mid - 1]], cls[at[mid + 1]]], 1).reshape(-1) if len(mid) else np.zeros(0, np.uint8)
                 sizes = np.where(core_word, 0, 2 * n)
                 starts = np.cumsum(sizes) - sizes
-                yield blocks.Dealt(list(index), parts).asks(name, lambda at, n=n, a=around, s=starts, z=sizes: (n[at].astype(np.uint32), blocks.take_runs(a, s[at], z[at]).tobytes()))
+                yield blocks.Dealt(own.words, parts).asks(name, lambda at, n=n, a=around, s=starts, z=sizes: (n[at].astype(np.uint32), blocks.take_runs(a, s[at], z[at]).tobytes()))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All questions about a word are in this partition: its count and class go back to each block that asked.
@@ -292,27 +285,21 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     taken = np.where(np.arange(classes + 1) == classes, 0.0 if end_alone else discount, discount)
 
     def sequences(left_side: pa.Table, right: pa.Table) -> pa.Table:
-        ids, out = [], [[], [], [], [], []]
+        tables = []
         for blob in left_side.column("blob"):
-            b = blocks.unsqueeze(blob.as_py())
-            texts, _ = _docs(b)
-            index = _index(texts)
-            got = blocks.Dealt(list(index), parts).gather(right.column("part"), right.column("blob"))
+            own = Block(blob.as_py())
+            got = blocks.Dealt(own.words, parts).gather(right.column("part"), right.column("blob"))
             if got is None:
                 raise RuntimeError("a block's words did not arrive whole")
             n, cls = got[0] // 64, got[0] % 64
             emission = np.where(n > 0, np.log10(np.maximum(n - taken[cls], 1e-9) / np.maximum(n_k[cls], 1)), 0.0)
             base = np.log10((n + 0.5) / (n_all + 0.5 * (v_all + 1)))
             code = np.where(n > 0, cls + np.where(n == 1, ONCE, 0), UNKNOWN).astype(np.uint8)
-            ids.append(b.column("id"))
-            out[0] += b.column("held_out").to_pylist()
-            for d in texts:
-                w = np.fromiter(map(index.__getitem__, d), np.int64, len(d))
-                out[1].append(int((n[w] > 0).sum()))
-                out[2].append(float(base[w].sum()))
-                out[3].append(float(emission[w].sum()))
-                out[4].append(code[w].tobytes())
-        return pa.table({"id": pa.chunked_array(ids, id_type), "held_out": pa.array(out[0], pa.bool_()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "emission": pa.array(out[3], pa.float64()), "seq": pa.array(out[4], pa.binary())})
+            begin = np.cumsum(own.sizes) - own.sizes  # no text is without its end token
+            seq = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.append(begin, own.sizes.sum()).astype(np.int32)), pa.py_buffer(code[own.flat])])
+            sums = [np.add.reduceat(x[own.flat], begin) for x in ((n > 0).astype(np.int64), base, emission)]
+            tables.append(pa.table({"id": own.batch.column("id"), "held_out": own.batch.column("held_out"), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "emission": pa.array(sums[2]), "seq": seq}))
+        return pa.concat_tables(tables) if tables else pa.schema([("id", id_type), ("held_out", pa.bool_()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("emission", pa.float64()), ("seq", pa.binary())]).empty_table()
 
     words = known.where("block is not null").select("block", "part", "blob")
     read = corpus.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(sequences, f"id {kind}, held_out boolean, n_known long, base_score double, emission double, seq binary")
