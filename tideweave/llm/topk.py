@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tideweave.llm.common import materialize, table
 
 K, SLICES, QUERY_BLOCK, ROWS = 10, 4, 8192, 8192
-EXACT = 2.0**53
+EXACT, BIGGEST = 2.0**53, (1 << 62) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -48,10 +48,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows, exact: in doubles where no sum can leave their exact range."""
+    """Integer inner products of rows, exact: in doubles where no sum can leave their exact range, else in
+    whole numbers of any size, held at 2^62."""
     if not a.size or not b.size or np.abs(a).sum(1).max() * np.abs(b).max() < EXACT:
         return (a @ b.T).astype(np.int64)
-    return (a.astype(object) @ b.T.astype(object)).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(a) @ whole(b).T, -BIGGEST, BIGGEST).astype(np.int64)
 
 
 def _cuts(width: int, slices: int) -> list[slice]:
