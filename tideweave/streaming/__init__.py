@@ -1,0 +1 @@
+"""The lattice aggregates over streams, and stateful processors where order or time matters."""
