@@ -111,12 +111,13 @@ def components(member: DataFrame, name: str) -> DataFrame:
     """node, label: least node that is connected with it, where nodes of one group are connected.
 
     member: node, grp. Least labels spread from nodes to groups and back and jump along labels, in
-    rounds that are written to the shared folder, until none changes.
+    rounds that are written to the shared folder, until none changes. Aggregates are written before
+    they are joined, so that both sides of a join are plain shuffles and a large group can be split.
     """
-    first = member.groupBy("grp").agg(F.min("node").alias("label"))
     label = None
     while True:
-        groups = first if label is None else member.join(label, "node").groupBy("grp").agg(F.min("label").alias("label"))
+        least = member.groupBy("grp").agg(F.min("node").alias("label")) if label is None else member.join(label, "node").groupBy("grp").agg(F.min("label").alias("label"))
+        groups = materialize(least, name)
         spread = materialize(member.join(groups, "grp").groupBy("node").agg(F.min("label").alias("label")), name)
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = materialize(spread.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), name)
@@ -206,10 +207,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
     nodes = materialize(sig.where("node is not null").groupBy("node").agg(least.alias("least"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     band = nodes.select("node", F.explode("bands").alias("grp"))  # the band's number is in its hash
-    shared = band.groupBy("grp").count().where("count > 1").select("grp")
+    shared = materialize(band.groupBy("grp").count().where("count > 1").select("grp"), "shared")
     member = materialize(band.join(shared, "grp"), "buckets")
-    near = materialize(components(member, "candidates"), "candidates")
-    size = near.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    near = components(member, "candidates")
+    size = materialize(near.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
     placed = near.join(size, "label").withColumn("nb", F.ceil(F.col("size") / tile).cast("int")).join(nodes.select("node", "text_key", "copies"), "node")
 
     texts = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
@@ -238,10 +239,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     in_tiles = dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
     found = materialize(in_tiles.select("label", "low", "high", "node", "copies", "block", "grams").mapInArrow(verify, "node binary, links long, grp binary"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = found.groupBy("grp").count().where("count > 1").select("grp")
+    joined = materialize(found.groupBy("grp").count().where("count > 1").select("grp"), "joined")
     root = components(materialize(found.select("node", "grp").join(joined, "grp"), "linked"), "classes")
+    links = materialize(links, "node-links")
     of_node = nodes.join(links, "node", "left").join(root, "node", "left").select("node", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
-    head = of_node.groupBy("label").agg(F.min("least").alias("head"))
+    of_node = materialize(of_node, "of-node")
+    head = materialize(of_node.groupBy("label").agg(F.min("least").alias("head")), "heads")
     known = of_node.join(head, "label").select("node", "head", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     own = sig.select("id", "text_key", "node").join(known, "node", "left")
     alone = F.col("node").isNull()
