@@ -13,8 +13,9 @@ import hashlib
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tideweave.llm import blocks
 from tideweave.llm.common import table
 
-KNOWN_WORDS, BLOCK_BYTES = 1 << 19, 8 << 20
+KNOWN_WORDS, BLOCK_BYTES = 1 << 18, 8 << 20
 
 
 def _charset(holds) -> str:
@@ -101,18 +102,24 @@ class TokenBytes:
         return blocks.take_runs(flat, starts[ids], sizes[ids]).tobytes()
 
 
-def _first_seen(texts: list[list[str]]) -> dict[str, None]:
-    words: dict[str, None] = {}
-    for ws in texts:
-        words.update(dict.fromkeys(ws))
-    return words
+@lru_cache(2)
+def _token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
+class Finish(NamedTuple):
+    """make() gives a function from a table of id and ids to one of id and fields."""
 
+    make: Callable[[], Callable[[pa.Table], pa.Table]]
+    fields: str
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks_path: str | None = None) -> DataFrame:
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks_path: str | None = None, then: Finish | None = None) -> DataFrame:
     """id_col, ids: the ids of each text, without special tokens.
 
     A null text counts as empty and has no ids; ids may repeat or be null; no rows give no rows.
-    Other columns of docs are not read.
+    Other columns of docs are not read. then: what to make of the ids in the worker that put them
+    together, in their stead.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -123,8 +130,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = PreTokenizer()
         for b in blocks.cut_blocks(batches, BLOCK_BYTES):
-            words = [w.encode() for w in _first_seen([split(t.as_py() or "") for t in b.column("text")])]
-            yield blocks.Dealt(words, parts).asks(blocks.block_name(b))
+            words, _, _ = blocks.numbered(split(t.as_py() or "") for t in b.column("text"))
+            yield blocks.Dealt([w.encode() for w in words], parts).asks(blocks.block_name(b))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All questions about a word are in this partition, so it is encoded once."""
@@ -147,22 +154,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
         tables = []
         for blob in left.column("blob"):
             b = blocks.unsqueeze(blob.as_py())
-            texts = [split(t.as_py() or "") for t in b.column("text")]
-            index = _first_seen(texts)
-            index = dict(zip(index, range(len(index))))
-            dealt = blocks.Dealt([w.encode() for w in index], parts)
-            sizes, starts, flat = _answers(dealt, right, path)
-            where = np.fromiter((i for ws in texts for i in map(index.__getitem__, ws)), np.int64)
+            words, where, n = blocks.numbered(split(t.as_py() or "") for t in b.column("text"))
+            sizes, starts, flat = _answers(blocks.Dealt([w.encode() for w in words], parts), right, path)
             ids, per_word = blocks.take_runs(flat, starts[where], sizes[where]), np.concatenate([[0], np.cumsum(sizes[where])])
-            ends = np.concatenate([[0], np.cumsum([len(ws) for ws in texts])]).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
             tables.append(pa.table({"id": b.column("id"), "ids": pa.ListArray.from_arrays(pa.array(per_word[ends].astype(np.int32)), pa.array(ids))}))
         # no text: words of a block that the second scan cut otherwise
-        return pa.concat_tables(tables) if tables else pa.table({"id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32()))})
+        out = pa.concat_tables(tables) if tables else pa.table({"id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32()))})
+        return out if then is None else then.make()(out)
 
     asks = rows.mapInArrow(questions, "block long, part int, blob binary").repartition("part")
     answers = asks.mapInArrow(encoded, "block long, part int, blob binary")
     whole = rows.mapInArrow(lambda bs: blocks.packed(bs, BLOCK_BYTES), "block long, blob binary")
-    joined = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassembled, f"id {kind}, ids array<int>")
+    joined = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassembled, f"id {kind}, {'ids array<int>' if then is None else then.fields}")
     return joined.withColumnRenamed("id", id_col)
 
 
@@ -187,7 +191,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *,
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenBytes(path)
+        tokens = _token_bytes(path)
         for b in batches:
             out = [tokens.spell(ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32), tokens.bytes) for ids in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "bytes"])
@@ -195,23 +199,26 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *,
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bytes binary").withColumnRenamed("id", id_col)
 
 
-def decoded_digests(encoded: DataFrame, *, ranks_path: str | None = None) -> DataFrame:
-    """n_tokens and the digests of ids and decoded bytes, so that neither leaves the worker."""
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+def decoded_digests(path: str) -> Finish:
+    """n_tokens, and the digests of the ids as decimal text and of the bytes that they decode to."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenBytes(path)
-        for b in batches:
+    def make():
+        tokens = _token_bytes(path)
+
+        def run(coded: pa.Table) -> pa.Table:
             n, of_ids, of_bytes = [], [], []
-            for value in b.column("ids"):
-                ids = value.values.to_numpy()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(tokens.spell(ids, tokens.decimal)[:-1]).hexdigest())
-                of_bytes.append(hashlib.sha256(tokens.spell(ids, tokens.bytes)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for chunk in coded.column("ids").chunks:
+                for value in chunk:
+                    ids = value.values.to_numpy()
+                    n.append(len(ids))
+                    of_ids.append(hashlib.sha256(tokens.spell(ids, tokens.decimal)[:-1]).hexdigest())
+                    of_bytes.append(hashlib.sha256(tokens.spell(ids, tokens.bytes)).hexdigest())
+            return pa.table({"id": coded.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())})
+
+        return run
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return Finish(make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded_digests(encode(table(spark, sf_dir, "documents")))
+    return encode(table(spark, sf_dir, "documents"), then=decoded_digests(public_tokenizers.path("byte_bpe_50k.tiktoken")))
