@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideweave.llm.common import annotate, crc_fold, materialize, table
+from tideweave.llm.neardup import Words, gram_set
 
 #: Labelled rows in the index, at most; terms, at most, and their least G-test value and share of labels.
 EXAMPLES, TERMS, LEAST_G, LEAST_SHARE = 8192, 2048, 30.0, 0.7
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 0.2, 64
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 1.0, 64
 #: Letters of word beginnings, and occurrences told apart.
 FIRST, LAST, TIMES = 4, 8, 3
 _WORD = re.compile(r"\w+")
@@ -145,7 +147,7 @@ class Index:
             at, cos = self.nearest(counts)
             vote = (float(cos @ self.labels[at]) + self.prior_weight * self.prior) / (float(cos.sum()) + self.prior_weight)
             out = (min(max(vote, 0.0), 1.0), self.ids[at].tolist(), cos.tolist())
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             self.known[key] = out
         return out
@@ -159,7 +161,16 @@ def build_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("example")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("example"), "example").limit(examples)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("example"))
-    sample = materialize(rows.select("id", "text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            grams = [gram_set(t.as_py(), known) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(g[0]) >> 1 if len(g) else None for g in grams], pa.int64())], [*b.schema.names, "sketch"])
+
+    # near copies mostly share the least hash of their word n-grams; one of them is enough, and many would make any of their words a term
+    shape = T.StructType([*rows.select("id", "text", "label").schema.fields, T.StructField("sketch", T.LongType())])
+    sample = materialize(rows.select("id", "text", "label").mapInArrow(sketched, shape).dropDuplicates(["sketch", "label"]), "toxic-sample")
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n_pos = sum(v for y, v in n.items() if y > 0)
     n_neg = sum(n.values()) - n_pos
