@@ -6,8 +6,8 @@
    recall aimed at. Buckets of one node end here.
 3. Nodes that share a bucket, directly or through others, form a candidate group. Only nodes in such
    groups fetch their text again, and each n-gram set travels to its group once.
-4. Groups are verified in tiles of at most 2 * ``tile`` nodes: a group of any size is cut into
-   blocks, and each pair of blocks is a task of its own. Pairs are counted inside a tile and never
+4. Groups are verified in tiles: a group of any size is cut into blocks of about ``tile`` nodes (or
+   the root of its size, if that is more), and each pair of blocks is a piece of work of its own. Pairs are counted inside a tile and never
    become rows: a tile gives each node its number of links and a root of its linked nodes. No group,
    bucket or candidate is capped.
 5. Classes are the connected components of the links.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tideweave.llm import blocks
 from tideweave.llm.common import materialize, table
 
-GRAM, SIMILARITY, RECALL, ROWS, TILE = 5, 0.8, 0.9995, 5, 256
-KNOWN_WORDS = 1 << 20
+GRAM, SIMILARITY, RECALL, ROWS, TILE = 5, 0.8, 0.9995, 5, 64
+KNOWN_WORDS = 1 << 17
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -211,7 +211,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     member = materialize(band.join(shared, "grp"), "buckets")
     near = components(member, "candidates")
     size = materialize(near.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    placed = near.join(size, "label").withColumn("nb", F.ceil(F.col("size") / tile).cast("int")).join(nodes.select("node", "text_key", "copies"), "node")
+    placed = near.join(size, "label").withColumn("nb", F.ceil(F.col("size") / F.greatest(F.lit(tile), F.sqrt("size"))).cast("int")).join(nodes.select("node", "text_key", "copies"), "node")
 
     texts = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
 
