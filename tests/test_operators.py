@@ -273,6 +273,38 @@ def test_concurrent_counters_in_documents_merge(spark):
     assert totals.agg(F.sum("inc") - F.sum("dec")).first()[0] == 210
 
 
+def test_json_arrays(spark):
+    """Insert, push, remove in an array of a document, and its place in the JSON."""
+    none = spark.createDataFrame([], SEQ_OPS)
+    nodes = sequence.from_ops(none)
+    for step, (position, value) in enumerate([(0, 1), (99, 3), (1, 2), (0, 0)]):
+        edit = spark.range(1).select(jsondoc.array_key(F.lit("d"), F.lit("L")).alias("doc_id"), F.lit(position).alias("position"), jsondoc.array_value(F.struct(F.lit("Int").alias("kind"), F.lit(value).alias("i"))).alias("value"))
+        grown = sequence.apply_ops(nodes, sequence.insert_values(sequence.visible(nodes), nodes, edit, f"r{step % 2}"))
+        nodes = spark.createDataFrame(grown.collect(), grown.schema)
+    shown = sequence.visible(nodes)
+    removed = sequence.apply_ops(nodes, sequence.delete(shown, spark.createDataFrame([("d#L", 1, 1)], "doc_id string, start int, length int")))
+    root = spark.createDataFrame([("d", "root", "xs", (9, "a"), "Array", None, None, None, None, "L", [])], JSON_OPS)
+    won = jsondoc.winners(jsondoc.live_values(root))
+    assert jsondoc.to_json(won, jsondoc.array_items(shown)).first().json == '{"xs":[0,1,2,3]}'
+    assert jsondoc.to_json(won, jsondoc.array_items(sequence.visible(removed))).first().json == '{"xs":[0,2,3]}'
+    assert as_set(jsondoc.array_lengths(removed)) == {("d#L", 3)}
+
+
+def test_tick(spark):
+    parts = [spark.createDataFrame(p.collect(), p.schema) for p in tree(spark)]
+    nodes = sets.union_all(*parts)
+    roots = [r.cid for r in dag.heads(nodes).collect()]
+    shape = "vv map<string, bigint>, superseded_roots array<string>, state binary, created_at long, creator string"
+    snaps = compaction.make_snapshots(spark.createDataFrame([({"a": 3}, roots, b"6", 10, "c"), ({"a": 1}, [], b"1", 5, "c")], shape))
+    frontiers = spark.createDataFrame([("p", "a", 3), ("q", "a", 1)], "holder string, replica string, seq long")
+    updates = spark.createDataFrame([("p", 1, 99_000), ("q", 1, 0)], "peer string, arrival long, updated_at long")
+    due = dict(ops_since=500, preserve_depth=0, min_age=0, genesis_path=False)
+    assert compaction.tick(nodes, snaps, frontiers, updates.withColumn("updated_at", F.lit(99_000).cast("long")), 100_000, **due) is None  # q lags behind
+    kept, gone = compaction.tick(nodes, snaps, frontiers, updates, 100_000, **due)  # q is stale and dropped
+    assert gone.count() == 3 and kept.count() == 3
+    assert compaction.tick(nodes, snaps, frontiers, updates, 100_000, **{**due, "ops_since": 1}) is None
+
+
 def test_paths_and_scalars(spark):
     one = spark.range(1)
     p = paths.parse(F.lit("a.0.b"))

@@ -200,3 +200,17 @@ def bootstrap(snapshot_vv: DataFrame, log: DataFrame) -> DataFrame:
     """Operations to replay on a snapshot: those (replica, seq) beyond its vector."""
     have = snapshot_vv.select("replica", F.col("seq").alias("have"))
     return log.join(have, "replica", "left").where(F.col("seq") > F.coalesce("have", F.lit(0))).drop("have")
+
+
+def tick(nodes: DataFrame, snapshots: DataFrame, frontiers: DataFrame, updates: DataFrame, now: int, *, ops_since: int, auto: bool = True, **policy) -> tuple[DataFrame, DataFrame] | None:
+    """A scheduled run: drops stale peers, and compacts below the latest snapshot's roots if that is due and stable.
+
+    (nodes kept, cids pruned), or None when nothing is due.
+    """
+    fresh = drop_peers(frontiers, stale_peers(updates, now))
+    newest = latest(snapshots)
+    wanted = newest.select(F.explode("vv").alias("replica", "seq"))
+    stable = stability_state(fresh, wanted).first()["state"] == "Stable"
+    if not should_compact(auto, ops_since, snapshots.limit(PRUNE_MIN_SNAPSHOTS).count(), stable):
+        return None
+    return compact(nodes, newest.select(F.explode("superseded_roots").alias("cid")), now, **policy)

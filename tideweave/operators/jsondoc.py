@@ -144,6 +144,28 @@ def to_json(won: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("doc_id").applyInPandas(assemble, "doc_id string, json string")
 
 
+def array_key(doc_id: Column, array_id: Column) -> Column:
+    """The name under which an array is a sequence of its own."""
+    return F.concat_ws("#", doc_id, array_id)
+
+
+def array_value(value: Column) -> Column:
+    """A tagged value (kind, b, i, f, s, ref) as the text that a sequence element holds."""
+    return F.to_json(value)
+
+
+def array_items(shown: DataFrame) -> DataFrame:
+    """Items for to_json from the visible elements of array sequences; insert, push and remove are sequence edits."""
+    shape = "kind string, b boolean, i bigint, f double, s string, ref string"
+    parts = F.split("doc_id", "#")
+    return shown.select(parts[0].alias("doc_id"), parts[1].alias("array_id"), "position", F.from_json("value", shape).alias("v")).select("doc_id", "array_id", "position", "v.*")
+
+
+def array_lengths(nodes: DataFrame) -> DataFrame:
+    """doc_id (as array_key names it), n."""
+    return nodes.groupBy("doc_id").agg(F.count_if(~F.col("deleted")).alias("n"))
+
+
 def counter_totals(won: DataFrame) -> DataFrame:
     """Counters kept in documents as root.counters.<name>.<replica>.{inc, dec}: doc_id, counter, replica, inc, dec."""
     ref = lambda df, owner, name: df.where("kind = 'Object'").select("doc_id", F.col("object_id").alias(owner), F.col("key").alias(name), "ref")

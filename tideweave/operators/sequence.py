@@ -143,6 +143,18 @@ def insert(shown: DataFrame, nodes: DataFrame, edits: DataFrame, replica: str) -
     return chars.select("doc_id", F.lit("insert").alias("kind"), mine.alias("id"), before.alias("origin"), "value")
 
 
+def insert_values(shown: DataFrame, nodes: DataFrame, edits: DataFrame, replica: str) -> DataFrame:
+    """seq_ops rows that insert one element each: edits are doc_id, position, value; one edit per sequence at a time.
+
+    Position 0 is the front, one beyond the end is the back.
+    """
+    size = shown.groupBy("doc_id").agg((F.max("position") + 1).alias("size"))
+    e = edits.join(size, "doc_id", "left").join(next_seq(nodes, replica), "doc_id", "left")
+    e = e.withColumn("before", F.least(F.col("position"), F.coalesce("size", F.lit(0))) - 1)
+    e = e.join(shown.select("doc_id", F.col("position").alias("before"), F.col("id").alias("anchor")), ["doc_id", "before"], "left")
+    return e.select("doc_id", F.lit("insert").alias("kind"), dot(F.coalesce("next", F.lit(1)), F.lit(replica)).alias("id"), F.coalesce("anchor", genesis()).alias("origin"), "value")
+
+
 def delete(shown: DataFrame, edits: DataFrame) -> DataFrame:
     """seq_ops rows that delete ranges: edits are doc_id, start, length."""
     hit = shown.join(edits, "doc_id").where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("length")))

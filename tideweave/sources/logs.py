@@ -21,7 +21,10 @@ def millis(df: DataFrame, column: str) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts_ms, user_id, event_type, value, k, replica."""
-    e = table(spark, sf_dir, "events")
+    return derived_events(table(spark, sf_dir, "events"))
+
+
+def derived_events(e: DataFrame) -> DataFrame:
     return e.select(
         "event_id",
         millis(e, "ts").alias("ts_ms"),
