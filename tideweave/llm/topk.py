@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tideweave.llm.common import materialize, table
 
-K, SLICES, QUERY_BLOCK, ROWS = 10, 4, 8192, 8192
-EXACT, BIGGEST = 2.0**53, (1 << 62) - 1
+K, SLICES, QUERY_BLOCK = 10, 4, 8192
+#: Rows and queries that are multiplied at a time.
+ROWS, SUB = 4096, 128
+EXACT, BIGGEST, LOWEST = 2.0**53, (1 << 62) - 1, (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -61,15 +63,6 @@ def _cuts(width: int, slices: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the smaller id; all ties at the border are looked at."""
-    if len(scores) > k:
-        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
-
-
 def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All rows of the partition in blocks of ROWS, so that lists are per block, not per Arrow batch."""
     ids, rows, n = [], [], 0
@@ -90,21 +83,24 @@ def _search_block(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, sli
     sent = spark.sparkContext.broadcast((q_ids, q))  # at most query_block vectors
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1: of each slice the k best partial scores, and as row null the least."""
+        """Phase 1: of each slice k of the best partial scores, and as row null the least."""
         qi, qv = sent.value
         row = TaskContext.get().partitionId() << 40  # rows of one vec_id stay apart
         for ids, v in _chunks(batches, width):
-            out, at = [], row + np.arange(len(ids))
+            at = row + np.arange(len(ids))
             row += len(ids)
-            for j, c in enumerate(cuts):
-                part = _product(qv[:, c], v[:, c])
-                for a in range(len(qi)):
-                    mine = ids != qi[a]
-                    s, own = part[a][mine], at[mine]
-                    if len(s):
-                        b = _best(s, own, k)
-                        out += [(a, j, int(own[i]), int(s[i])) for i in b] + [(a, j, None, int(s.min()))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())], ["q", "slice", "row", "partial"])
+            for s in range(0, n, SUB):
+                mine = qi[s : s + SUB, None] != ids[None, :]
+                for j, c in enumerate(cuts):
+                    part = _product(qv[s : s + SUB, c], v[:, c])
+                    best = np.argpartition(np.where(mine, -part, LOWEST), min(k, len(ids)) - 1, axis=1)[:, :k]
+                    who = np.repeat(np.arange(len(part)), best.shape[1])
+                    ok = mine[who, best.ravel()]
+                    low = np.where(mine, part, LOWEST).min(1)
+                    some = np.flatnonzero(mine.any(1))
+                    fields = (np.concatenate([who[ok], some]) + s, np.full(int(ok.sum()) + len(some), j), np.concatenate([at[best.ravel()][ok], np.zeros(len(some), np.int64)]), np.concatenate([part[who, best.ravel()][ok], low[some]]))
+                    is_low = np.arange(len(fields[0])) >= int(ok.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int32()), pa.array(fields[2], pa.int64(), mask=is_low), pa.array(fields[3], pa.int64())], ["q", "slice", "row", "partial"])
 
     gathered = materialize(rows.mapInArrow(lists, "q int, slice int, row long, partial long"), "topk-lists")
     least = gathered.where("row is null").groupBy("q", "slice").agg(F.min("partial").alias("low"))
@@ -124,21 +120,20 @@ def _search_block(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, sli
         qi, qv = sent.value
         low, cutoff = bounds.value
         for ids, v in _chunks(batches, width):
-            out_q, out_v, out_s = [], [], []
-            parts = [_product(qv[:, c], v[:, c]) for c in cuts]
-            for a in range(len(qi)):
-                above = np.stack([p[a] - low[a, j] for j, p in enumerate(parts)])
-                share = -(-int(cutoff[a]) // len(cuts))  # an integer reaches cutoff / m only if it reaches this
-                reach = above >= share
-                bound = np.where(reach, above, share - 1 if share > 0 else 0).sum(0)  # what is not collected is below its share
-                at = np.flatnonzero(reach.any(0) & (bound >= cutoff[a]) & (ids != qi[a]))
-                if len(at):
-                    score = _product(qv[a : a + 1], v[at])[0]
-                    b = _best(score, ids[at], k)
-                    out_q += [int(qi[a])] * len(b)
-                    out_v += ids[at][b].tolist()
-                    out_s += score[b].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], ["query_id", "vec_id", "score"])
+            for s in range(0, n, SUB):
+                part = np.stack([_product(qv[s : s + SUB, c], v[:, c]) for c in cuts])
+                above = part - low[s : s + SUB].T[:, :, None]
+                least = cutoff[s : s + SUB, None]
+                share = -(-least // len(cuts))  # an integer reaches cutoff / m only if it reaches this
+                reach = above >= share[None]
+                bound = np.where(reach, above, np.maximum(share - 1, 0)[None]).sum(0)  # what is not collected is below its share
+                q, r = np.nonzero(reach.any(0) & (bound >= least) & (qi[s : s + SUB, None] != ids[None, :]))
+                score = part[:, q, r].sum(0)  # exact, of the candidates alone
+                order = np.lexsort((ids[r], -score, q))
+                q, r, score = q[order], r[order], score[order]
+                first = np.searchsorted(q, q)  # sorted by query: where its rows begin
+                keep = np.arange(len(q)) - first < k
+                yield pa.RecordBatch.from_arrays([pa.array(qi[q[keep] + s], pa.int64()), pa.array(ids[r[keep]], pa.int64()), pa.array(score[keep], pa.int64())], ["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(resolve, "query_id long, vec_id long, score long")
 
