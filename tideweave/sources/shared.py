@@ -18,11 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back: iterations keep a short lineage and survive lost executors. Deleted when the driver ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tideweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    df.write.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df and read it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
