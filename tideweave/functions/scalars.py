@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The palettes that users' colours come from, in order.
-CURSOR_COLORS = ("#E91E63", "#9C27B0", "#673AB7", "#3F51B5", "#2196F3", "#00BCD4", "#009688", "#4CAF50", "#FF9800", "#FF5722", "#795548", "#607D8B")
+CURSOR_COLORS = ("#E91E63", "#9C27B0", "#3F51B5", "#2196F3", "#00BCD4", "#009688", "#4CAF50", "#8BC34A", "#CDDC39", "#FF9800", "#FF5722", "#795548")
+USER_COLORS = ("#FF6B6B", "#4ECDC4", "#45B7D1", "#96CEB4", "#FFEAA7", "#DDA0DD", "#98D8C8", "#F7DC6F", "#E74C3C", "#3498DB", "#2ECC71", "#9B59B6", "#1ABC9C", "#F39C12", "#E91E63", "#00BCD4")
 BIGGEST = 9223372036854775807
 
 
@@ -46,7 +47,7 @@ def color_for_user(user: Column, palette: tuple[str, ...] = CURSOR_COLORS) -> Co
     return F.element_at(F.array(*map(F.lit, palette)), (total % len(palette) + 1).cast("int"))
 
 
-def picked_color(key: Column, palette: tuple[str, ...] = CURSOR_COLORS) -> Column:
+def picked_color(key: Column, palette: tuple[str, ...] = USER_COLORS) -> Column:
     """A palette entry that looks random but repeats for equal keys."""
     return F.element_at(F.array(*map(F.lit, palette)), (F.pmod(F.xxhash64(key), F.lit(len(palette))) + 1).cast("int"))
 
@@ -57,6 +58,7 @@ def replica_name(ts_ms: Column, key: Column) -> Column:
 
 
 def mark_open_tag(kind: Column, a1: Column, a2: Column) -> Column:
+    """Fixed tags per kind; a1 and a2 are url, author and content, colour, or name and value."""
     return (
         F.when(kind == "Bold", "<strong>")
         .when(kind == "Italic", "<em>")
@@ -64,9 +66,9 @@ def mark_open_tag(kind: Column, a1: Column, a2: Column) -> Column:
         .when(kind == "Strikethrough", "<s>")
         .when(kind == "Code", "<code>")
         .when(kind == "Link", F.concat(F.lit('<a href="'), a1, F.lit('">')))
-        .when(kind == "Comment", F.concat(F.lit('<span class="comment" data-author="'), a1, F.lit('" data-content="'), a2, F.lit('">')))
-        .when(kind == "Highlight", F.concat(F.lit('<mark style="background-color: '), a1, F.lit('">')))
-        .otherwise(F.concat(F.lit('<span data-custom="'), F.coalesce(a1, F.lit("")), F.lit('">')))
+        .when(kind == "Comment", F.concat(F.lit('<span data-comment-author="'), a1, F.lit('" data-comment="'), a2, F.lit('">')))
+        .when(kind == "Highlight", F.concat(F.lit('<mark style="background-color:'), a1, F.lit('">')))
+        .otherwise(F.concat(F.lit("<span data-"), F.coalesce(a1, F.lit("")), F.lit('="'), F.coalesce(a2, F.lit("")), F.lit('">')))
     )
 
 

@@ -180,7 +180,7 @@ def converged(replicas: DataFrame) -> DataFrame:
 
 def first_parent_path(nodes: DataFrame) -> DataFrame:
     """The chain of first parents from the least head: cid, depth."""
-    chain = nodes.select("cid", F.get(F.array_sort("parents"), F.lit(0)).alias("parent"))
+    chain = nodes.select("cid", F.get("parents", F.lit(0)).alias("parent"))
     at = heads(nodes).limit(1)
     path, depth = at.withColumn("depth", F.lit(0)), 0
     while True:

@@ -157,20 +157,21 @@ def forwarded(messages: DataFrame) -> DataFrame:
 
 
 def gossip(messages: DataFrame, edges: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """id, replica, hop, ttl: who hears of each announcement, and when.
+    """id, replica, hop, ttl: who hears of each announcement, when, and with which time to live.
 
-    A replica passes a message on once, with ttl - 1, to the first ``fanout`` peers other than its
-    sender and origin; messages arrive with ttl >= 0. Rounds run until nobody new hears of anything.
+    The origin sends with the message's own ttl. A message that comes with ttl 0 is dropped; else the
+    receiver passes it on once, with ttl - 1, to its first ``fanout`` peers other than sender and
+    origin. Rounds run until nobody new hears of anything.
     """
-    heard = messages.select("id", "origin", F.col("origin").alias("replica"), F.lit(None).cast("string").alias("sender"), "ttl", F.lit(0).alias("hop"))
-    every, new, hop = heard, heard, 0
+    every = messages.select("id", "origin", F.col("origin").alias("replica"), F.lit(None).cast("string").alias("sender"), "ttl", F.col("ttl").alias("send"), F.lit(0).alias("hop"))
+    new, hop = every, 0
     while True:
         hop += 1
-        out = new.where("ttl > 0").join(edges, F.col("replica") == F.col("src")).where("dst <> origin and (sender is null or dst <> sender)")
+        out = new.where("send > 0").join(edges, F.col("replica") == F.col("src")).where("dst <> origin and (sender is null or dst <> sender)")
         w = Window.partitionBy("id", "replica").orderBy("dst")
         sent = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= fanout)
-        first = sent.groupBy("id", "origin", F.col("dst").alias("replica")).agg(F.max(F.struct("ttl", F.col("src").alias("sender"))).alias("best"))
-        fresh = first.select("id", "origin", "replica", "best.sender", (F.col("best.ttl") - 1).alias("ttl"), F.lit(hop).alias("hop"))
+        first = sent.groupBy("id", "origin", F.col("dst").alias("replica")).agg(F.max(F.struct("send", F.col("src").alias("sender"))).alias("best"))
+        fresh = first.select("id", "origin", "replica", "best.sender", F.col("best.send").alias("ttl"), (F.col("best.send") - 1).alias("send"), F.lit(hop).alias("hop"))
         new = materialize(fresh.join(every.select("id", "replica"), ["id", "replica"], "left_anti"), "gossip")
         if new.isEmpty():
             return every.select("id", "origin", "replica", "hop", "ttl")

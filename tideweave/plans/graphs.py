@@ -235,7 +235,7 @@ def _edges(spark, d):
 
 def gossip_reach(spark, d):
     heads = spark.createDataFrame([("n00", [hashing.ZERO], 1), ("n07", [hashing.ZERO], 2)], "origin string, heads array<string>, timestamp long")
-    return replication.gossip(replication.announcement(heads, ttl=4), _edges(spark, d)).select("origin", "replica", "hop")
+    return replication.gossip(replication.announcement(heads, ttl=4), _edges(spark, d)).select("origin", "replica", "hop", "ttl")
 
 
 def gossip_first_peers(spark, d):
@@ -318,10 +318,10 @@ ORACLE_SQL = {
         SELECT cid FROM a WHERE cid LIKE '%50'""",
     "dag_put": f"{_HASH} SELECT cid, creator FROM r WHERE creator IN ('u1', 'u9')",
     "dag_converged": "SELECT true AS converged",
-    "dag_first_parents": f"""{_CLOSURE}, p AS (SELECT min(cid) AS cid, 0 AS depth FROM heads UNION ALL SELECT (SELECT min(parent) FROM edges WHERE child = p.cid), depth + 1 FROM p WHERE EXISTS (SELECT 1 FROM edges WHERE child = p.cid)) SELECT * FROM p""",
+    "dag_first_parents": f"""{_CLOSURE}, p AS (SELECT min(cid) AS cid, 0 AS depth FROM heads UNION ALL SELECT (SELECT max(parent) FROM edges WHERE child = p.cid), depth + 1 FROM p WHERE EXISTS (SELECT 1 FROM edges WHERE child = p.cid)) SELECT * FROM p""",
     "prune_candidates": f"""{_CLOSURE}, roots AS (SELECT cid FROM nodes WHERE cid LIKE '%7'), below AS (SELECT parent AS cid FROM edges WHERE child IN (FROM roots) UNION SELECT parent FROM below JOIN edges ON child = cid),
         near AS (SELECT cid, 0 AS depth FROM heads UNION SELECT parent, depth + 1 FROM near JOIN edges ON child = cid WHERE depth < 2),
-        path AS (SELECT min(cid) AS cid FROM heads UNION ALL SELECT (SELECT min(parent) FROM edges WHERE child = path.cid) FROM path WHERE EXISTS (SELECT 1 FROM edges WHERE child = path.cid)),
+        path AS (SELECT min(cid) AS cid FROM heads UNION ALL SELECT (SELECT max(parent) FROM edges WHERE child = path.cid) FROM path WHERE EXISTS (SELECT 1 FROM edges WHERE child = path.cid)),
         l AS (SELECT cid, 1 AS level FROM nodes UNION SELECT child, level + 1 FROM l JOIN edges ON parent = cid), lv AS (SELECT cid, max(level) AS level FROM l GROUP BY 1)
         SELECT cid, level FROM nodes JOIN lv USING (cid) WHERE cid IN (FROM below) AND cid NOT IN (FROM roots) AND cid NOT IN (SELECT cid FROM near) AND cid NOT IN (FROM path) AND (SELECT max(ts_ms) FROM nodes) - ts_ms >= 5000""",
     "resurrection_check": f"WITH {EV}, {NODES} SELECT child, parent FROM edges WHERE parent LIKE '%50' AND child NOT LIKE '%50'",
@@ -349,7 +349,7 @@ ORACLE_SQL = {
     "causal_acks": f"{_INT} SELECT from_replica, 'p' AS to_replica, max(to_seq) AS acked FROM a WHERE applied GROUP BY 1",
     "replicas_converged": "SELECT true AS converged",
     "gossip_reach": f"""WITH RECURSIVE {_EDGE}, g AS (SELECT o AS origin, o AS replica, 0 AS hop FROM (VALUES ('n00'), ('n07')) t(o) UNION SELECT origin, dst, hop + 1 FROM g JOIN edge ON src = replica WHERE hop < 4)
-        SELECT origin, replica, min(hop) AS hop FROM g GROUP BY 1, 2""",
+        SELECT origin, replica, min(hop) AS hop, CASE WHEN min(hop) = 0 THEN 4 ELSE 5 - min(hop) END AS ttl FROM g GROUP BY 1, 2""",
     "gossip_first_peers": f"WITH {_EDGE} SELECT src, min(dst) AS dst FROM edge GROUP BY 1",
     "message_routing": f"""WITH {_EDGE}, m AS (SELECT 'n' || lpad(c_nationkey::VARCHAR, 2, '0') AS src, 'n' || lpad(((c_nationkey + c_custkey % 3) % 25)::VARCHAR, 2, '0') AS dst FROM customer)
         SELECT m.src, CASE WHEN edge.src IS NULL THEN 'PeerNotFound' ELSE 'ok' END AS outcome, count(*) AS n FROM m LEFT JOIN edge USING (src, dst) GROUP BY ALL""",
