@@ -231,10 +231,14 @@ def test_rich_text(spark):
     after = sequence.visible(sequence.apply_ops(nodes, sequence.splice(shown, nodes, e, "r1")))
     assert richtext.to_html(richtext.ranges(marks, after), after).first().html == '<strong><a href="u">AXB</strong></a>'
     assert richtext.has_mark(richtext.ranges(marks, after), spark.createDataFrame([("d", 1, "Bold", None, None), ("d", 1, "Link", "v", None)], "doc_id string, position int, mark_kind string, a1 string, a2 string")).count() == 1
+    front = sequence.splice(shown, nodes, spark.createDataFrame([("d", 0, 0, "<"), ("d", 2, 0, ">")], "doc_id string, start int, length int, text string").where("text = '<'"), "r1")
+    grown = sequence.visible(sequence.apply_ops(nodes, front))
+    assert richtext.to_html(richtext.ranges(marks, grown), grown).first().html == '<strong><a href="u"><AB</strong></a>'  # borders belong to the mark
     gone = richtext.remove_marks(marks, marks.where("mark_id = 'm1'").select("doc_id", "mark_id"))
     assert gone.count() == 1
+    inner = richtext.marks_from_ops(richtext.add_marks(shown, spark.createDataFrame([("d", "m4", 1, 2, "Bold", None, None)], "doc_id string, mark_id string, start int, end int, mark_kind string, a1 string, a2 string")))
     deleted = sequence.visible(sequence.apply_ops(nodes, sequence.delete(shown, spark.createDataFrame([("d", 0, 1)], "doc_id string, start int, length int"))))
-    assert richtext.ranges(marks, deleted).count() == 0  # the anchor is gone
+    assert richtext.ranges(inner, shown).count() == 1 and richtext.ranges(inner, deleted).count() == 0  # the anchor is gone
 
 
 # --- JSON -------------------------------------------------------------------------------------------

@@ -54,7 +54,10 @@ def is_operation_stable(frontier: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def stability_state(frontiers: DataFrame, wanted: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
-    """One row: Unknown, Stable, Partial or Pending for a vector (replica, seq), with delivered and pending holders."""
+    """One row: Unknown, Stable, Partial or Pending for a vector (replica, seq), with delivered and pending holders.
+
+    Unknown: there are fewer than min_peers holders beside oneself.
+    """
     need = wanted.where("seq > 0").agg(F.count(F.lit(1)).alias("entries"))
     has = frontiers.select("holder").distinct().join(
         frontiers.join(wanted.select("replica", F.col("seq").alias("want")), "replica").where("seq >= want and want > 0").groupBy("holder").agg(F.count(F.lit(1)).alias("met")), "holder", "left"
@@ -62,7 +65,7 @@ def stability_state(frontiers: DataFrame, wanted: DataFrame, min_peers: int = MI
     flags = has.join(F.broadcast(need)).select("holder", (F.coalesce("met", F.lit(0)) >= F.col("entries")).alias("delivered"))
     sets = flags.agg(F.array_sort(F.collect_set(F.when(F.col("delivered"), F.col("holder")))).alias("delivered"), F.array_sort(F.collect_set(F.when(~F.col("delivered"), F.col("holder")))).alias("pending"))
     n = F.size("delivered") + F.size("pending")
-    state = F.when(n < min_peers, "Unknown").when(F.size("pending") == 0, "Stable").when(F.size("delivered") > 0, "Partial").otherwise("Pending")
+    state = F.when(n <= min_peers, "Unknown").when(F.size("pending") == 0, "Stable").when(F.size("delivered") > 0, "Partial").otherwise("Pending")
     return sets.select(state.alias("state"), "delivered", "pending")
 
 

@@ -86,14 +86,15 @@ def has_mark(spans: DataFrame, probes: DataFrame) -> DataFrame:
 def add_marks(shown: DataFrame, edits: DataFrame) -> DataFrame:
     """mark_ops rows for edits (doc_id, mark_id, start, end, mark_kind, a1, a2); ranges are held within the text, empty ones left out.
 
-    A mark starts before its first character and ends before the character after its last, or at the text's end.
+    A mark starts after the character before it, or at the text's start, and ends before the character
+    after it, or at the text's end: what is inserted at either border belongs to it.
     """
     size = shown.groupBy("doc_id").agg((F.max("position") + 1).alias("size"))
     e = edits.join(size, "doc_id", "left").withColumns({"start": F.least("start", F.coalesce("size", F.lit(0))), "end": F.least("end", F.coalesce("size", F.lit(0)))}).where("start < end")
-    first = shown.select("doc_id", F.col("position").alias("start"), F.col("id").alias("start_id"))
+    first = shown.select("doc_id", (F.col("position") + 1).alias("start"), F.col("id").alias("start_id"))
     after = shown.select("doc_id", F.col("position").alias("end"), F.col("id").alias("end_id"))
-    e = e.join(first, ["doc_id", "start"]).join(after, ["doc_id", "end"], "left")
-    return e.select("doc_id", "mark_id", F.lit("add").alias("kind"), "mark_kind", "a1", "a2", F.lit("Before").alias("start_kind"), "start_id", F.when(F.col("end_id").isNull(), "End").otherwise("Before").alias("end_kind"), "end_id")
+    e = e.join(first, ["doc_id", "start"], "left").join(after, ["doc_id", "end"], "left")
+    return e.select("doc_id", "mark_id", F.lit("add").alias("kind"), "mark_kind", "a1", "a2", F.when(F.col("start_id").isNull(), "Start").otherwise("After").alias("start_kind"), "start_id", F.when(F.col("end_id").isNull(), "End").otherwise("Before").alias("end_kind"), "end_id")
 
 
 def remove_marks(marks: DataFrame, ids: DataFrame) -> DataFrame:

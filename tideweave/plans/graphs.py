@@ -333,7 +333,7 @@ ORACLE_SQL = {
     "snapshot_stats": f"{_SNAP} SELECT count(*) AS n, coalesce(sum(strlen(event_type)), 0)::BIGINT AS bytes, min(created_at) AS oldest, max(created_at) AS newest FROM s",
     "snapshot_node_round_trip": f"{_SNAP} SELECT sha256(unhex('01') || encode(event_type) || encode(creator) || {le8('event_id')} || {le8('created_at')} || encode(creator)) AS id, creator, created_at, event_type AS state, 'test' AS why FROM s",
     "stability_state": f"""WITH {EV}, h AS (SELECT event_type, count(DISTINCT replica) FILTER (replica IN ('r0', 'r3') AND event_id >= 1) = 2 AS ok FROM ev GROUP BY 1), c AS (SELECT count(*) FILTER (ok)::INT AS delivered, count(*) FILTER (NOT ok)::INT AS pending FROM h)
-        SELECT CASE WHEN delivered + pending < 1 THEN 'Unknown' WHEN pending = 0 THEN 'Stable' WHEN delivered > 0 THEN 'Partial' ELSE 'Pending' END AS state, delivered, pending FROM c""",
+        SELECT CASE WHEN delivered + pending < 2 THEN 'Unknown' WHEN pending = 0 THEN 'Stable' WHEN delivered > 0 THEN 'Partial' ELSE 'Pending' END AS state, delivered, pending FROM c""",
     "stability_stats": f"""WITH {EV}, vv AS (SELECT event_type AS holder, replica, max(event_id) AS seq FROM ev GROUP BY ALL),
         st AS (SELECT min(seq) AS seq FROM vv GROUP BY replica HAVING count(*) = (SELECT count(DISTINCT holder) FROM vv) AND min(seq) > 0),
         x AS (SELECT count(DISTINCT holder) FILTER (holder <> 'click') AS peers, coalesce(sum(seq) FILTER (holder = 'click'), 0)::BIGINT AS local_ops, (SELECT coalesce(sum(seq), 0)::BIGINT FROM st) AS stable_ops FROM vv)
