@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.llm import bpe, brown, neardup, packing, quality, topk, toxicity, warc, wrapper
+from tideweave.llm import bpe, brown, neardup, packing, quality, tokencount, topk, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": tokencount.op1_token_counts,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
