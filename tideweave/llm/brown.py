@@ -1,6 +1,6 @@
 """Class-based n-gram language model with classes from exchange clustering.
 
-1. Counts: blocks of documents send their distinct words with training counts; N, V and the
+1. Counts: documents are written as blocks of numbered words; these send their distinct words with training counts; N, V and the
    ``core`` most frequent words follow from the sums.
 2. Exchange clustering of the core words maximises the class bigram likelihood. Its input, bigram
    counts over core words, has at most (core + 2)^2 cells whatever the corpus.
@@ -19,11 +19,13 @@ and to class frequencies.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -45,13 +47,28 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def numbered_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, blob: blocks of documents as numbered words, so that texts are split and words looked up once for all passes."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in blocks.cut_blocks(batches, BLOCK_BYTES):
+        words, flat, sizes = blocks.numbered(tokens(t.as_py()) for t in b.column("text"))
+        planes = flat.view(np.uint8).reshape(-1, 4)
+        held = np.asarray(b.column("held_out").to_pylist(), bool)
+        blob = pickle.dumps((blocks.squeeze(b.select(["id"])), held, sizes, pack(np.array([len(w) for w in words], np.uint32).tobytes()), pack(b"".join(words)), [pack(planes[:, i].tobytes()) for i in range(4)]), 5)
+        yield pa.RecordBatch.from_arrays([pa.array([blocks.block_name(b)], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
+
+
 class Block:
-    """The tokens of a block: its distinct ones, the number of each occurrence, and the size and fold of each text."""
+    """The tokens of a block: its distinct ones, the number of each occurrence, and id, fold and size of each text."""
 
     def __init__(self, blob: bytes):
-        self.batch = blocks.unsqueeze(blob)
-        self.words, self.flat, self.sizes = blocks.numbered(tokens(t.as_py()) for t in self.batch.column("text"))
-        self.held = np.asarray(self.batch.column("held_out").to_pylist(), bool)
+        unpack = zstandard.ZstdDecompressor().decompress
+        ids, self.held, self.sizes, lengths, joined, planes = pickle.loads(blob)
+        self.ids = blocks.unsqueeze(ids).column("id")
+        ends, joined = np.cumsum(np.frombuffer(unpack(lengths), np.uint32)).tolist(), unpack(joined)
+        self.words = [joined[s:e] for s, e in zip([0, *ends], ends)]
+        bytes_of = np.stack([np.frombuffer(unpack(p), np.uint8) for p in planes], 1)
+        self.flat = np.ascontiguousarray(bytes_of).view(np.int32).reshape(-1)
 
     def training(self) -> np.ndarray:
         """Occurrences in training texts, one text after another."""
@@ -168,7 +185,7 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
-    corpus = materialize(rows.mapInArrow(lambda bs: blocks.packed(bs, BLOCK_BYTES), "block long, blob binary"), "lm-corpus", "none")
+    corpus = materialize(rows.mapInArrow(numbered_blocks, "block long, blob binary"), "lm-corpus", "none")
 
     parts = blocks.parts_of(spark)
 
@@ -298,7 +315,7 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
             begin = np.cumsum(own.sizes) - own.sizes  # no text is without its end token
             seq = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.append(begin, own.sizes.sum()).astype(np.int32)), pa.py_buffer(code[own.flat])])
             sums = [np.add.reduceat(x[own.flat], begin) for x in ((n > 0).astype(np.int64), base, emission)]
-            tables.append(pa.table({"id": own.batch.column("id"), "held_out": own.batch.column("held_out"), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "emission": pa.array(sums[2]), "seq": seq}))
+            tables.append(pa.table({"id": own.ids, "held_out": pa.array(own.held), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "emission": pa.array(sums[2]), "seq": seq}))
         return pa.concat_tables(tables) if tables else pa.schema([("id", id_type), ("held_out", pa.bool_()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("emission", pa.float64()), ("seq", pa.binary())]).empty_table()
 
     words = known.where("block is not null").select("block", "part", "blob")
