@@ -53,6 +53,12 @@ def is_operation_stable(frontier: DataFrame, events: DataFrame) -> DataFrame:
     return vectors.covered(frontier, events)
 
 
+def is_stable(frontiers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row: does the stable frontier of all holders dominate a vector (replica, seq)?"""
+    have = vectors.stable_frontier(frontiers).select("replica", F.col("seq").alias("have"))
+    return wanted.join(have, "replica", "left").agg((F.count_if(F.col("seq") > F.coalesce("have", F.lit(0))) == 0).alias("stable"))
+
+
 def stability_state(frontiers: DataFrame, wanted: DataFrame, min_peers: int = MIN_PEERS) -> DataFrame:
     """One row: Unknown, Stable, Partial or Pending for a vector (replica, seq), with delivered and pending holders.
 
@@ -213,7 +219,7 @@ def tick(nodes: DataFrame, snapshots: DataFrame, frontiers: DataFrame, updates:
     fresh = drop_peers(frontiers, stale_peers(updates, now))
     newest = latest(snapshots)
     wanted = newest.select(F.explode("vv").alias("replica", "seq"))
-    stable = stability_state(fresh, wanted).first()["state"] == "Stable"
+    stable = is_stable(fresh, wanted).first()["stable"]
     if not should_compact(auto, ops_since, snapshots.limit(PRUNE_MIN_SNAPSHOTS).count(), stable):
         return None
     return compact(nodes, newest.select(F.explode("superseded_roots").alias("cid")), now, **policy)
