@@ -81,3 +81,26 @@ def test_odd_inputs(spark):
     assert brown.train_and_score(no_docs(spark), crc_fold("doc_id") == 1).count() == 0
     alone = brown.train_and_score(odd_docs(spark), F.lit(True)).collect()
     assert {(r.score, r.base_score, r.train_tokens, r.n_known) for r in alone} == {(0.0, 0.0, 0, 0)}
+
+
+def test_gains_of_many_words_are_those_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    b = rng.integers(0, 5, (12, 12)).astype(float)
+    of = np.append(rng.integers(0, 3, 10), [3, 4])
+    member = np.eye(5)[of]
+    gains = brown.exchange_gains(member.T @ b @ member, b[:, :10].T @ member, b[:10] @ member, np.diag(b)[:10], of[:10])
+    for w in range(10):
+        def at(k):
+            other = np.eye(5)[np.where(np.arange(12) == w, k, of)]
+            return brown.likelihood(other.T @ b @ other)
+
+        assert np.allclose(gains[w, :3] - gains[w, of[w]], [at(k) - at(of[w]) for k in range(3)])
+
+
+def test_words_outside_the_core_are_exchanged(spark):
+    """Two kinds of 30 words take turns, and core words stand beside both kinds alike: only exchange outside the core can tell the kinds apart."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "the of " * 40 + " ".join(f"{'ab'[(i + j) % 2]}{rng.integers(30)}" for j in range(40)), i % 5 == 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    out = brown.train_and_score(docs, F.col("h"), core=2, classes=4).where("held_out").collect()
+    assert sum(r.score for r in out) / len(out) > -85  # 41 words and ends at log10(60) or log10(30) are 73 or 61, the rest is the core part

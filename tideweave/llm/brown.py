@@ -2,9 +2,12 @@
 
 1. Counts: documents are written as blocks of numbered words; these send their distinct words with training counts; N, V and the
    ``core`` most frequent words follow from the sums.
-2. Exchange clustering of the core words maximises the class bigram likelihood. Its input, bigram
-   counts over core words, has at most (core + 2)^2 cells whatever the corpus.
-3. All other words take the class that an exchange with the core classes held fixed would give
+2. Exchange clustering maximises the class bigram likelihood over all words with ``floor`` training
+   occurrences or more. The core words are exchanged first, one by one on the driver; with them as
+   start, all words are exchanged in sweeps over partitions of their neighbour counts, which are
+   gathered once. A sweep broadcasts the class table, a byte per word; as words move at once, a
+   sweep that lowers the likelihood is undone and repeated with fewer words.
+3. Rarer words take the class that an exchange with all those classes held fixed would give
    them: the best pointwise mutual information with the classes seen left and right of them. They
    are judged per distinct word in one shuffle by word.
 4. Documents become class sequences (a byte per token) with their emission sums; class trigram and
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ from tideweave.llm import blocks
 from tideweave.llm.common import crc_fold, materialize, table
 
 CORE, CLASSES, SWEEPS, BACKOFF, BLOCK_BYTES = 1000, 32, 12, 20.0, 8 << 20
+#: Training occurrences from which a word is exchanged, and the gain in nats per bigram below which sweeps end.
+FLOOR, LEAST_GAIN = 10, 1e-3
 #: The end token's key; no word is empty.
 END = b""
 #: In class sequences: the unknown word, and the flag of a word seen once in training.
@@ -79,8 +85,22 @@ class Block:
         return self.words.index(END)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], core: int) -> Iterator[pa.RecordBatch]:
-    """word, n: the core most frequent words of this partition, which holds all counts of its words."""
+def _keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _find(keys: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Position of each word among the sorted keys, or -1; the end token is not a word."""
+    if not len(keys):
+        return np.full(len(words), -1)
+    own = _keys(words)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return np.where((keys[at] == own) & np.fromiter(map(len, words), bool, len(words)), at, -1)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], core: int, floor: int) -> Iterator[pa.RecordBatch]:
+    """word, key, n: words of this partition, which holds all their counts, with floor occurrences or more; word stands for the core most frequent."""
     count: Counter = Counter()
     for b in batches:
         for blob in b.column("blob"):
@@ -89,7 +109,9 @@ def _frequent(batches: Iterator[pa.RecordBatch], core: int) -> Iterator[pa.Recor
                 count[w] += k
     count.pop(END, None)
     best = heapq.nsmallest(core, count.items(), key=lambda x: (-x[1], x[0]))
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
+    named = {w for w, _ in best}
+    best += [(w, n) for w, n in count.items() if n >= floor and w not in named]
+    yield pa.RecordBatch.from_arrays([pa.array([w if w in named else None for w, _ in best], pa.binary()), pa.array(_keys([w for w, _ in best])), pa.array([n for _, n in best], pa.int64())], ["word", "key", "n"])
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
@@ -121,7 +143,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
             fm, d = f(m), np.arange(total)
             rows, cols = f(m + right) - fm, f(m + left[:, None]) - fm
             gain = rows.sum(1) + cols.sum(0) - rows[d, d] - cols[d, d] + f(m[d, d] + right + left + own) - fm[d, d]
-            out, into = m.sum(1), m.sum(0)
+            out, into = m.sum(1) + left, m.sum(0) + right  # the word stays beside its neighbours, whatever its class
             gain -= f(out + right.sum() + own) - f(out) + f(into + left.sum() + own) - f(into)
             k = int(np.argmax(gain[:classes]))
             if gain[k] <= gain[a] + 1e-9:
@@ -136,6 +158,157 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of[:n]
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Class bigram log likelihood, up to what no exchange changes."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(1)).sum() - _xlogx(m.sum(0)).sum())
+
+
+def exchange_gains(m: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What each word adds to the likelihood in each class, as exchange() judges one word, for many words against one m.
+
+    left, right: counts of the classes beside each word; own: how often it follows itself; of: its class.
+    """
+    w, d = np.arange(len(of)), np.arange(len(m))
+    left, right, each = left.astype(float), right.astype(float), np.repeat(m[None].astype(float), len(of), 0)
+    each[w, of] -= right
+    each[w, :, of] -= left
+    each[w, of, of] += own
+    right[w, of] -= own
+    left[w, of] -= own
+    fm = _xlogx(each)
+    rows, cols = _xlogx(each + right[:, None]) - fm, _xlogx(each + left[:, :, None]) - fm
+    gain = rows.sum(2) + cols.sum(1) - rows[:, d, d] - cols[:, d, d] + _xlogx(each[:, d, d] + right + left + own[:, None]) - fm[:, d, d]
+    out, into = each.sum(2) + left, each.sum(1) + right  # the word stays beside its neighbours, whatever its class
+    return gain - _xlogx(out + (right.sum(1) + own)[:, None]) + _xlogx(out) - _xlogx(into + (left.sum(1) + own)[:, None]) + _xlogx(into)
+
+
+class Links:
+    """Neighbour counts of all exchanged words, in partitions by word, and sweeps over them.
+
+    Words are positions in the sorted keys, n of them; n is any other word and n + 1 the text's edge.
+    """
+
+    def __init__(self, corpus: DataFrame, keys: np.ndarray, classes: int):
+        spark, n, parts = corpus.sparkSession, len(keys), blocks.parts_of(corpus.sparkSession)
+        self.spark, self.n, self.classes = spark, n, classes
+        sent = spark.sparkContext.broadcast(keys)  # 8 bytes per exchanged word
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each block's distinct bigrams, sent to the words on both sides; those of no exchanged word go to part 0."""
+            for b in batches:
+                for blob in b.column("blob"):
+                    own = Block(blob.as_py())
+                    found = _find(sent.value, own.words)
+                    symbol = np.where(found < 0, n, found)
+                    symbol[own.end] = n + 1
+                    at = np.concatenate([[n + 1], symbol[own.training()]])
+                    pair, count = np.unique(at[:-1] * (n + 2) + at[1:], return_counts=True)
+                    a, z = pair // (n + 2), pair % (n + 2)
+                    to_left, to_right = (a < n) | (z >= n), z < n
+                    cell = np.concatenate([(a * 2 + 1)[to_left] * (n + 2) + z[to_left], (z * 2)[to_right] * (n + 2) + a[to_right]])
+                    count = np.concatenate([count[to_left], count[to_right]])
+                    word = np.concatenate([a[to_left], z[to_right]])
+                    part = np.where(word < n, word % parts, 0)
+                    order = np.lexsort((cell, part))
+                    full, begin = np.unique(part[order], return_index=True)
+                    ends = [*begin[1:], len(order)]
+                    blobs = [blocks.answer(cell[order[s:e]], count[order[s:e]]) for s, e in zip(begin, ends)]
+                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            for b in batches:
+                for part, blob in zip(b.column("part").to_pylist(), b.column("blob")):
+                    held.setdefault(part, []).append(blob.as_py())
+            for blobs in held.values():
+                cell, count = (np.concatenate(x) for x in zip(*map(blocks.answered, blobs)))
+                cell, which = np.unique(cell, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([blocks.answer(cell, np.bincount(which, count).astype(np.int64))], pa.binary())], ["blob"])
+
+        self.rows = materialize(corpus.select("blob").mapInArrow(pairs, "part int, blob binary").repartition("part").mapInArrow(merged, "blob binary"), "lm-links", "none")
+
+    def matrix(self, table: np.ndarray) -> np.ndarray:
+        """Class bigram counts under a class table."""
+        n, total = self.n, self.classes + 2
+        sent = self.spark.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = np.zeros(total * total)
+            for b in batches:
+                for blob in b.column("blob"):
+                    cell, count = blocks.answered(blob.as_py())
+                    side, beside = cell // (n + 2), cell % (n + 2)
+                    word = side // 2
+                    here, there = sent.value[word].astype(np.int64), sent.value[beside].astype(np.int64)
+                    # a bigram counts at its left word, and at its right one only if the left is not exchanged
+                    m += np.bincount(np.where(side % 2, here * total + there, there * total + here), np.where((side % 2 == 1) | (beside >= n), count, 0), total * total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total * total)), pa.array(m)], ["cell", "n"])
+
+        got = self.rows.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # total^2 rows
+        m = np.zeros(total * total)
+        m[np.asarray(got.column(0))] = np.asarray(got.column(1))
+        sent.destroy()
+        return m.reshape(total, total)
+
+    def moves(self, table: np.ndarray, m: np.ndarray, share: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words that gain by another class, and that class, among one in share of the words."""
+        n, total, classes = self.n, self.classes + 2, self.classes
+        sent = self.spark.sparkContext.broadcast((table, m))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, m = sent.value
+            for b in batches:
+                for blob in b.column("blob"):
+                    cell, count = blocks.answered(blob.as_py())
+                    side, beside = cell // (n + 2), cell % (n + 2)
+                    # which words move together is drawn anew for each turn
+                    mixed = (side // 2 * 0x9E3779B1 + (turn + 1) * 0x85EBCA6B) & 0xFFFFFFFF
+                    chosen = (side // 2 < n) & ((mixed ^ (mixed >> 15)) % share == 0)
+                    side, beside, count = side[chosen], beside[chosen], count[chosen]
+                    words, which = np.unique(side // 2, return_inverse=True)
+                    cells = (which * 2 + side % 2) * total + table[beside]
+                    profile = np.bincount(cells, count, len(words) * 2 * total).reshape(-1, 2, total)
+                    own = np.bincount(which, np.where((side % 2 == 1) & (beside == side // 2), count, 0), len(words))
+                    of = table[words].astype(np.int64)
+                    best = of.copy()
+                    for at in range(0, len(words), 512):
+                        some = slice(at, at + 512)
+                        gain = exchange_gains(m, profile[some, 0], profile[some, 1], own[some], of[some])
+                        k, i = gain[:, :classes].argmax(1), np.arange(len(gain))
+                        best[some] = np.where((gain[i, k] > gain[i, of[some]] + 1e-9) | (of[some] >= classes), k, of[some])
+                    new = np.flatnonzero(best != of)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[new], pa.int64()), pa.array(best[new].astype(np.int32))], ["word", "class"])
+
+        got = self.rows.mapInArrow(run, "word long, class int").toArrow()  # a row per word that moves
+        sent.destroy()
+        return np.asarray(got.column(0)), np.asarray(got.column(1))
+
+    def sweep(self, table: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+        """The class table after exchange, and its class bigram counts. Words without a class yet stand in class ``classes``."""
+        m = self.matrix(table)
+        share = 1
+        for turn in range(sweeps):
+            who, k = self.moves(table, m, share, turn)
+            first, share = turn == 0, max(share, 2)
+            if not len(who) and not first:
+                break
+            new = table.copy()
+            new[who] = k
+            after = self.matrix(new)
+            gain = likelihood(after) - likelihood(m)
+            if not first and gain < 0:
+                share *= 2
+                continue
+            table, m = new, after
+            if not first and gain * share < LEAST_GAIN * m.sum():
+                break
+        return table, m
+
+
 def _mutual(m: np.ndarray) -> np.ndarray:
     p = (m + 0.1) / (m + 0.1).sum()
     return np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))
@@ -172,7 +345,7 @@ def _contexts(seqs: pa.Array, classes: int) -> tuple[np.ndarray, np.ndarray, np.
     return two, one, target, begin
 
 
-def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", *, core: int = CORE, classes: int = CLASSES) -> DataFrame:
+def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", *, core: int = CORE, classes: int = CLASSES, floor: int = FLOOR) -> DataFrame:
     """Score every text by a model of the rows that are not held out.
 
     id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity.
@@ -198,8 +371,9 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
                 yield blocks.Dealt(own.words, parts).asks(name, lambda at, n=n: (n[at],))
 
     ask = "block long, part int, blob binary"
-    tops = corpus.mapInArrow(counts, ask).repartition("part").mapInArrow(lambda bs: _frequent(bs, core), "word binary, n long")
-    frequent = [bytes(r[0]) for r in tops.orderBy(F.desc("n"), "word").limit(core).collect()]
+    found = corpus.mapInArrow(counts, ask).repartition("part").mapInArrow(lambda bs: _frequent(bs, core, floor), "word binary, key long, n long")
+    tops = materialize(found, "lm-counts")
+    frequent = [bytes(r[0]) for r in tops.where("word is not null").orderBy(F.desc("n"), "word").limit(core).collect()]
     head = {w: i for i, w in enumerate(frequent)}
     size = len(frequent) + 2
     sent_head = spark.sparkContext.broadcast(head)  # core words at most
@@ -221,25 +395,32 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     bigrams[np.asarray(found.column(0))] = np.asarray(found.column(1))
     bigrams = bigrams.reshape(size, size)
     of = exchange(bigrams, classes)
-    member = np.eye(classes + 2)[np.concatenate([of, [classes, classes + 1]]).astype(int)]
-    mutual = _mutual(member.T @ bigrams @ member)
-    # classes 0..classes-1, then the end token's own; the class of core words is fixed
-    sent_class = spark.sparkContext.broadcast(({w: int(k) for w, k in zip(frequent, of)} | {END: classes}, mutual))
+    often = np.asarray(tops.where(F.col("n") >= floor).select("key").toArrow().column(0))
+    keys = np.unique(np.concatenate([often, _keys(frequent)]))  # 8 bytes per exchanged word
+    of_key = np.full(len(keys) + 2, classes, np.uint8)
+    of_key[np.searchsorted(keys, _keys(frequent))], of_key[-1] = of, classes + 1
+    of_key, m = Links(corpus, keys, classes).sweep(of_key)
+    mutual = _mutual(m)
+    # classes 0..classes-1, then the end token's own; the class of exchanged words is fixed
+    sent_class = spark.sparkContext.broadcast((keys, of_key, mutual))
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's distinct words with training counts, and the classes beside those outside the core."""
-        fixed, _ = sent_class.value
+        """Each block's distinct words with training counts, and the classes beside those that were not exchanged."""
+        keys, of_key, _ = sent_class.value
         for b in batches:
             for name, blob in zip(b.column("block").to_pylist(), b.column("blob")):
                 own = Block(blob.as_py())
-                core_word = np.fromiter((w in fixed for w in own.words), bool, len(own.words))
-                cls = np.fromiter((fixed.get(w, classes) if w else classes + 1 for w in own.words), np.uint8, len(own.words))  # other words, edge
+                found = _find(keys, own.words)
+                cls = of_key[np.where(found < 0, len(keys), found)]  # other words
+                cls[own.end] = classes + 1
+                fixed = found >= 0
+                fixed[own.end] = True
                 at = np.concatenate([[own.end], own.training()])
                 n = np.bincount(at[1:], minlength=len(own.words))
-                mid = np.flatnonzero(~core_word[at])
+                mid = np.flatnonzero(~fixed[at])
                 mid = mid[np.argsort(at[mid], kind="stable")]
                 around = np.stack([cls[at[mid - 1]], cls[at[mid + 1]]], 1).reshape(-1) if len(mid) else np.zeros(0, np.uint8)
-                sizes = np.where(core_word, 0, 2 * n)
+                sizes = np.where(fixed, 0, 2 * n)
                 starts = np.cumsum(sizes) - sizes
                 yield blocks.Dealt(own.words, parts).asks(name, lambda at, n=n, a=around, s=starts, z=sizes: (n[at].astype(np.uint32), blocks.take_runs(a, s[at], z[at]).tobytes()))
 
@@ -249,7 +430,7 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
         Rows without a block hold what the distinct words add to each class: tokens, words, and
         words seen once and twice.
         """
-        fixed, mutual = sent_class.value
+        keys, of_key, mutual = sent_class.value
         wide = classes + 2
         seen: dict[bytes, int] = {}
         rows, beside = [], []
@@ -260,7 +441,7 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
                 rows.append((name, part, ids, n))
                 if around:
                     flat = np.frombuffer(around, np.uint8)
-                    sizes = np.fromiter((w not in fixed for w in words), bool, len(words)) * n.astype(np.int64)
+                    sizes = ((_find(keys, words) < 0) & np.fromiter(map(len, words), bool, len(words))) * n.astype(np.int64)
                     who = np.repeat(ids, sizes)
                     beside += [(who * 2 + side) * wide + flat[side::2] for side in (0, 1)]
         if not seen:
@@ -271,9 +452,10 @@ def train_and_score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
         profile = np.bincount(np.concatenate(beside), minlength=len(seen) * 2 * wide).reshape(-1, 2, wide) if beside else np.zeros((len(seen), 2, wide))
         # as the exchange does, judged by the classes to the left and to the right
         cls = (profile[:, 0] @ mutual[:, :classes] + profile[:, 1] @ mutual[:classes].T).argmax(1)
-        for w, i in seen.items():
-            if w in fixed:
-                cls[i] = fixed[w]
+        found = _find(keys, list(seen))  # in the order of their numbers
+        cls = np.where(found < 0, cls, of_key[found])
+        if END in seen:
+            cls[seen[END]] = classes
         names = ["block", "part", "blob", "class", "n", "words", "once", "twice"]
         value = total * 64 + cls
         for at in range(0, len(rows), 256):
