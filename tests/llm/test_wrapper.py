@@ -44,6 +44,18 @@ def test_slots_without_landmarks(spark):
     assert out[10].text == "" and out[12].text == "" and out[11].text == "Alone here" and out[13].text == "a\nb"
 
 
+def test_constant_text_between_slots_is_template(spark):
+    """Without landmarks and role words: two slots far apart are content, what stands the same around them is not."""
+    page = lambda i: f"""<html><body><div class="brand">Daily Example</div><div class="wrap"><div class="col"><h2>Title {i}</h2><p>Words of page {i}</p><p>and more {i * 7}</p></div>
+      <div class="rail"><h3>Most read</h3><p>Other story {i + 1}</p></div></div><div class="imprint">Example Ltd, <b>1 Road</b></div></body></html>"""
+    rows = [(i, f"https://plain.example/{i}", page(i)) for i in range(12)]
+    rows.append((12, "https://plain.example/12", page(12).replace("Daily Example", "Sunday Example")))
+    out = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert out[i] == f"Title {i}\nWords of page {i}\nand more {i * 7}\nOther story {i + 1}"
+    assert out[12].startswith("Sunday Example\nTitle 12\n") and "Ltd" not in out[12]
+
+
 def test_empty(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -5,7 +5,9 @@ the largest order-preserving matching of two DOM trees whose matched nodes have
 matched parents. Reference nodes whose text stays the same on the aligned pages are template; where
 it varies they are slots. The wrapper of a host is the reference node that holds its varying text;
 content of a page is what lies under the nodes that match it, without boilerplate roles (menus,
-forms, adverts, ...). Statistics come from all pages of a host, summed up per partition first.
+forms, adverts, ...) and without template: units of text (a paragraph, list or table as a whole, else
+the text of one block) that say the same on nearly all aligned pages. Landmarks are content whole.
+Statistics come from all pages of a host, summed up per partition first.
 
 Matchings depend on the shapes of trees alone, so each distinct pair of shapes is matched once per
 worker. Reference pages are broadcast only while they are small in sum; else pages and wrappers
@@ -30,6 +32,8 @@ from tideweave.llm.common import materialize, table
 BROADCAST_BYTES = 32 << 20
 #: Share of the varying text that a child must hold to be the wrapper in its parent's stead.
 SHARE = 0.99
+#: Share of the pages matched at a reference node that must carry its text for it to be template, and how many pages that takes.
+CONSTANT, LEAST_PAGES = 0.9, 2
 MATCHES, DEPTH = 4096, 128
 
 _RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|title"
@@ -52,6 +56,8 @@ _ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended pagination pager search toolbar widget masthead topbar skip".split()
 )
 _LANDMARKS = frozenset(("article", "main"))
+#: Blocks that are read as a whole: one varying item makes all of a list content.
+_UNITS = frozenset("p ul ol dl table pre blockquote figure h1 h2 h3 h4 h5 h6".split())
 _PLAIN_WORDS = re.compile(r"[a-z]+")
 
 
@@ -165,8 +171,8 @@ class Page:
                 out[at].append(text)
         return {at: " ".join("".join(x).split()) for at, x in out.items()}
 
-    def text(self, wanted: list[int]) -> str:
-        """Blocks under the wanted elements, without those of boilerplate roles."""
+    def text(self, wanted: list[int], template: frozenset[int] = frozenset()) -> str:
+        """Blocks under the wanted elements, without those of boilerplate roles and the own text of template elements."""
         spans = [(w, self.ends[w]) for w in wanted]
         lines, line = [], []
         for at, text in self.texts:
@@ -174,7 +180,7 @@ class Page:
                 if line:
                     lines.append(" ".join("".join(line).split()))
                     line = []
-            elif not self.role[at] and any(a <= at < b for a, b in spans):
+            elif not self.role[at] and at not in template and any(a <= at < b for a, b in spans):
                 line.append(text)
         lines.append(" ".join("".join(line).split()))
         return "\n".join(x for x in lines if x)
@@ -318,6 +324,49 @@ def varying_text(page: Page, ref: Page, match: dict[int, int]) -> dict[int, int]
     return out
 
 
+def unit(page: Page, at: int) -> int:
+    """The element whose text is judged as one with that of element at: the outermost of _UNITS, else the nearest block."""
+    near, outer = 0, 0
+    while at > 0:
+        near = near or (at if page.tags[at] in _BLOCK else 0)
+        outer = at if page.tags[at] in _UNITS else outer
+        at = page.parents[at]
+    return outer or near
+
+
+def units_seen(page: Page, ref: Page, match: dict[int, int]) -> tuple[set[int], set[int]]:
+    """Units of the reference with text that the page matches, and those of them where its text is another."""
+    mine, theirs = page.own_text(), ref.own_text()
+    back = {y: x for x, y in match.items()}
+    seen, changed = set(), set()
+    for y, text in theirs.items():
+        if text and not ref.role[y]:
+            of = unit(ref, y)
+            if of in back:
+                seen.add(of)
+                if y not in back or mine.get(back[y], "") != text:
+                    changed.add(of)
+    for x, text in mine.items():
+        if text and not theirs.get(match.get(x, -1)):  # text where the reference has none
+            of = match.get(unit(page, x))
+            if of in seen:
+                changed.add(of)
+    return seen, changed
+
+
+def template_units(ref: Page, node: int, seen: dict[int, int], changed: dict[int, int]) -> list[int]:
+    """Units beside and under the wrapper node, outside landmarks, that say the same on nearly all pages."""
+    top, out = max(ref.parents[node], 0), []
+    for at, n in seen.items():
+        up, within = at, False
+        while up >= 0 and ref.tags[up] not in _LANDMARKS:
+            within |= up == top
+            up = ref.parents[up]
+        if up < 0 and within and n >= LEAST_PAGES and n - changed.get(at, 0) >= CONSTANT * n:
+            out.append(at)
+    return sorted(out)
+
+
 def wrapper_node(ref: Page, varying: dict[int, int], share: float = SHARE) -> int:
     """The reference element that holds the varying text: a landmark, or the deepest with nearly all of it."""
     own = [0] * len(ref.tags)
@@ -334,15 +383,25 @@ def wrapper_node(ref: Page, varying: dict[int, int], share: float = SHARE) -> in
     return at
 
 
-def content(page: Page, match: dict[int, int], node: int) -> str:
-    """Text of what matches the wrapper node and of its like-labelled siblings; else of the page's own landmarks, else all."""
+def template_elements(page: Page, ref: Page, match: dict[int, int], units: list[int]) -> frozenset[int]:
+    """Elements of the page in units that the reference has as template and that say the same here."""
+    if not units:
+        return frozenset()
+    _, changed = units_seen(page, ref, match)
+    units = set(units) - changed
+    same = {x for x, y in match.items() if y in units}
+    return frozenset(x for x in range(len(page.tags)) if same and unit(page, x) in same)
+
+
+def content(page: Page, match: dict[int, int], node: int, template: frozenset[int] = frozenset()) -> str:
+    """Text of what matches the wrapper node and of its like-labelled siblings; else of the page's own landmarks, else all. Without template."""
     wanted = [x for x, y in match.items() if y == node]
     if wanted and wanted[0]:
         like = (page.parents[wanted[0]], page.labels[wanted[0]])
         wanted = [i for i in range(1, len(page.tags)) if (page.parents[i], page.labels[i]) == like]
     if not wanted or not wanted[0]:
         wanted = [i for i, t in enumerate(page.tags) if t in _LANDMARKS and not page.role[i]] or [0]
-    return page.text(wanted)
+    return page.text(wanted, template)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -360,39 +419,47 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     near = F.broadcast if small else (lambda df: df)
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, sums = Aligner(), defaultdict(int)
+        align, sums = Aligner(), defaultdict(lambda: [0, 0, 0])
         for b in batches:
             for h, source, ref in zip(*(b.column(c).to_pylist() for c in ("host", "html", "ref"))):
                 if source != ref:  # equal pages tell nothing
-                    for at, n in varying_text(*align(source, ref)).items():
-                        sums[h, at] += n
+                    aligned = align(source, ref)
+                    for at, n in varying_text(*aligned).items():
+                        sums[h, at][0] += n
+                    for i, units in enumerate(units_seen(*aligned), 1):
+                        for at in units:
+                            sums[h, at][i] += 1
         keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["host", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(3))], ["host", "at", "n", "seen", "changed"])
 
-    seen = rows.join(near(refs), "host").select("host", "html", "ref").mapInArrow(statistics, "host string, at int, n long").groupBy("host", "at").agg(F.sum("n").alias("n"))
-    varying = seen.groupBy("host").agg(F.collect_list(F.struct("at", "n")).alias("varying"))  # an entry per reference element at most
+    seen = rows.join(near(refs), "host").select("host", "html", "ref").mapInArrow(statistics, "host string, at int, n long, seen long, changed long").groupBy("host", "at").agg(*[F.sum(c).alias(c) for c in ("n", "seen", "changed")])
+    varying = seen.groupBy("host").agg(F.collect_list(F.struct("at", "n", "seen", "changed")).alias("varying"))  # an entry per reference element at most
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [wrapper_node(Page(ref), {x["at"]: x["n"] for x in v or []}) for ref, v in zip(b.column("ref").to_pylist(), b.column("varying").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("ref"), pa.array(out, pa.int32())], ["host", "ref", "node"])
+            nodes, templates = [], []
+            for source, v in zip(b.column("ref").to_pylist(), b.column("varying").to_pylist()):
+                ref, v = Page(source), v or []
+                nodes.append(wrapper_node(ref, {x["at"]: x["n"] for x in v if x["n"]}))
+                templates.append(template_units(ref, nodes[-1], {x["at"]: x["seen"] for x in v if x["seen"]}, {x["at"]: x["changed"] for x in v}))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("ref"), pa.array(nodes, pa.int32()), pa.array(templates, pa.list_(pa.int32()))], ["host", "ref", "node", "template"])
 
-    wrappers = materialize(refs.join(varying, "host", "left").mapInArrow(chosen, "host string, ref string, node int"), "wrappers")
+    wrappers = materialize(refs.join(varying, "host", "left").mapInArrow(chosen, "host string, ref string, node int, template array<int>"), "wrappers")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner()
         for b in batches:
             out = []
-            for source, ref, node in zip(*(b.column(c).to_pylist() for c in ("html", "ref", "node"))):
+            for source, ref, node, units in zip(*(b.column(c).to_pylist() for c in ("html", "ref", "node", "template"))):
                 if ref is None:
                     out.append("")
                     continue
-                page, _, match = align(source, ref)
-                out.append(content(page, match, node))
+                page, held, match = align(source, ref)
+                out.append(content(page, match, node, template_elements(page, held, match, units)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["id", "url", "text", "n_chars"])
 
     schema = T.StructType([rows.schema["id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    joined = rows.join(near(wrappers), "host", "left").select(*names, "ref", "node")
+    joined = rows.join(near(wrappers), "host", "left").select(*names, "ref", "node", "template")
     return joined.mapInArrow(extracted, schema).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 
