@@ -2,9 +2,10 @@
 
 Writing makes two tables: ``payloads`` (SHA-256 key, payload) and ``headers`` (the exact bytes of
 each record up to its payload, and the payload's key). Reading verifies every payload against its
-key, parses the headers and rebuilds whole records through joins. All of it is native SQL
-functions; payload bytes are shuffled once per partition and distinct payload at most, since equal
-payloads meet in the partial aggregate, and reading moves only digests and lengths.
+key, rebuilds whole records through a join and reads them. All of it is native SQL functions.
+Payload bytes are shuffled once per partition and distinct payload when they are written, since equal
+payloads meet in the partial aggregate, and once per thousand records when they are read: a
+payload that many records share is dealt into parts, so that no task gets all of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tideweave.llm.common import shared_path, table
 
 REVISIT_BYTES = 1000
+#: Records of one payload that meet one copy of it when they are rebuilt.
+PART_RECORDS = 1000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -28,23 +31,23 @@ def _record_id(page, url, copy) -> F.Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.substring(F.sha1(F.coalesce(url, F.lit("")).cast("binary")), 1, 16), F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
-def record_heads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """payload_key, head: a row per page, with everything of its record that comes before the payload."""
+def record_heads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES, part_records: int = PART_RECORDS) -> DataFrame:
+    """payload_key, part, head: a row per page, with everything of its record that comes before the payload.
+
+    Null html is the empty payload, null ids and urls are kept as such. Of equal payloads the greatest
+    (page, url) is the response, nulls least; of repeated rows the first copy is it, and copies differ
+    in their record ids. part deals the records of one payload into groups of about part_records.
+    No rows give no rows; other columns of pages are not read.
+    """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     facts = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).select(
         "page", "url", F.unhex(F.sha2("payload", 256)).alias("payload_key"), F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")
     )
     rows = facts.groupBy("page", "url", "payload_key", "sha1", "bytes").agg(F.count(F.lit(1)).alias("copies"))
-    kept = (
-        rows.where(F.col("bytes") >= revisit_bytes)
-        .groupBy("payload_key")
-        .agg(F.max(F.struct("page", "url")).alias("w"), F.sum("copies").alias("n"))
-        .where("n > 1")
-        .select("payload_key", F.col("w.page").alias("w_page"), F.col("w.url").alias("w_url"), F.lit(True).alias("shared"))
-    )
+    kept = rows.groupBy("payload_key").agg(F.max(F.struct("page", "url")).alias("w"), F.sum("copies").alias("n")).where("n > 1").select("payload_key", F.col("w.page").alias("w_page"), F.col("w.url").alias("w_url"), "n")
     each = rows.join(kept, "payload_key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     is_kept = F.col("page").eqNullSafe(F.col("w_page")) & F.col("url").eqNullSafe(F.col("w_url")) & (F.col("copy") == 1)
-    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~is_kept
+    revisit = (F.col("bytes") >= revisit_bytes) & F.col("n").isNotNull() & ~is_kept
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     block = F.length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))
     uri = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A")
@@ -61,53 +64,66 @@ def record_heads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.lit(CRLF),
         http,
     )
-    return each.select("payload_key", head.alias("head"))
+    part = F.pmod(F.xxhash64("page", "url", "copy"), _parts(F.coalesce("n", F.lit(1)), part_records)).cast("int")
+    return each.select("payload_key", part.alias("part"), head.alias("head"))
+
 
+def _parts(records: F.Column, part_records: int) -> F.Column:
+    return F.ceil(records / part_records).cast("long")
 
-def payload_store(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """payload_key, payload: each distinct payload once."""
+
+def payload_store(pages: DataFrame, html_col: str = "html", *, part_records: int = PART_RECORDS) -> DataFrame:
+    """payload_key, parts, payload: each distinct payload once, and into how many parts its records are dealt."""
     payload = pages.select(F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    return payload.withColumn("payload_key", F.unhex(F.sha2("payload", 256))).groupBy("payload_key").agg(F.first("payload").alias("payload"))
+    once = payload.withColumn("payload_key", F.unhex(F.sha2("payload", 256))).groupBy("payload_key").agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"))
+    return once.select("payload_key", _parts(F.col("n"), part_records).cast("int").alias("parts"), "payload")
 
 
 def write_archive(pages: DataFrame, path: str, **columns) -> str:
     """Write the two tables of the archive under path."""
-    html = {k: v for k, v in columns.items() if k == "html_col"}
+    html = {k: v for k, v in columns.items() if k in ("html_col", "part_records")}
     record_heads(pages, **columns).write.option("compression", "zstd").parquet(f"{path}/headers")
     payload_store(pages, **html).write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
-def read_records(spark: SparkSession, path: str, with_record: bool = False) -> DataFrame:
-    """Parse the archive: a row per record.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Rebuild the archive's records through a join by payload and part, and parse them: a row per record.
 
-    page_id, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to, url, verified (the
-    payload's bytes have the key and the digest that its record states), and with with_record the
-    exact bytes of the record. Payload bytes leave the scan only then.
+    page_id, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to, url, record (its exact
+    bytes), verified. Length and digest are those of the payload that the rebuilt record ends with, for a
+    revisit of the payload that it refers to; they are null where the payload is not in the archive.
+    verified: the payload has the key and the digest that the headers state, and the record the length.
     """
     heads = spark.read.parquet(f"{path}/headers")
-    store = spark.read.parquet(f"{path}/payloads").select(
-        "payload_key", (F.unhex(F.sha2("payload", 256)) == F.col("payload_key")).alias("key_ok"), F.lower(F.hex(F.unhex(F.sha1("payload")))).alias("payload_sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"), *(["payload"] if with_record else [])
-    )
+    store = spark.read.parquet(f"{path}/payloads").select("payload_key", "payload", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     field = lambda name, pattern: F.regexp_extract("head", rf"\r\n{name}: {pattern}\r\n", 1)
     number = lambda c: F.when(c != "", c.cast("long"))
-    parsed = heads.join(store, "payload_key", "left")
-    kind, digest = field("WARC-Type", "([a-z]+)"), field("WARC-Payload-Digest", "sha1:([0-9a-f]+)")
-    out = parsed.select(
+    parsed = heads.join(store, ["payload_key", "part"], "left").withColumn("record_type", field("WARC-Type", "([a-z]+)"))
+    body = F.when(F.col("record_type") == "response", F.coalesce("payload", F.lit(b""))).otherwise(F.lit(b""))
+    built = parsed.withColumn("record", F.concat(F.col("head").cast("binary"), body, F.lit(CRLF * 2).cast("binary")))
+    whole = built.withColumn("block", F.expr(f"octet_length(record) - octet_length(split_part(head, '{CRLF * 2}', 1)) - 8"))  # a blank line before the block, two line ends after it
+    at_end = F.expr("substring(record, octet_length(head) + 1, octet_length(record) - octet_length(head) - 4)")
+    read = whole.withColumn("found", F.when(F.col("payload").isNotNull(), F.when(F.col("record_type") == "response", at_end).otherwise(F.col("payload"))))
+    digest = F.lower(F.hex(F.unhex(F.sha1("found"))))
+    ok = (F.unhex(F.sha2("found", 256)) == F.col("payload_key")) & (digest == field("WARC-Payload-Digest", "sha1:([0-9a-f]+)")) & (F.col("block") == number(field("Content-Length", "([0-9]+)")))
+    return read.select(
         number(field("WARC-Record-ID", "<urn:x-page:(-?[0-9]*):[^>]*>")).alias("page_id"),
-        "payload_bytes",
+        F.octet_length("found").cast("long").alias("payload_bytes"),
         digest.alias("payload_digest"),
-        kind.alias("record_type"),
+        "record_type",
         number(field("WARC-Refers-To", "<urn:x-page:(-?[0-9]*):[^>]*>")).alias("refers_to"),
         field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
-        F.coalesce(F.col("key_ok") & (F.col("payload_sha1") == digest), F.lit(False)).alias("verified"),
-        *([F.concat(F.col("head").cast("binary"), F.when(kind == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n")).alias("record")] if with_record else []),
+        F.coalesce(ok, F.lit(False)).alias("verified"),
+        "record",
     )
-    return out
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per page, read back from the archive; null html counts as empty, a null page_id stays null."""
+    """A row per page, from its record as rebuilt from the archive; null html counts as empty, a null page_id stays null.
+
+    Ties of page_id, repeated rows and empty tables are as record_heads() says. Length and digest are
+    taken from the rebuilt bytes, so a damaged payload shows; verified tells it from an intact one.
+    """
     path = write_archive(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    out = read_records(spark, path)
-    return out.select("page_id", F.when(F.col("verified"), F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
