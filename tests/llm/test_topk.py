@@ -35,11 +35,33 @@ def test_repeated_rows_and_negative_scores(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(0, [3e9, 1.0]), (1, [1e3, -5.0]), (2, [1e3, 7.0]), (3, [2.5, 0.0])]
+    rows = [(0, [2e6, 1.0]), (1, [1e6, -5.0]), (2, [1e6, 7.0]), (3, [2.5, 0.0])]  # products beyond 2^53
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") == 0).collect())) == brute(rows, lambda i: i == 0, 10)
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [3e9]), (1, [3e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.search(df, F.col("vec_id") == 0)
+
+
+def test_lists_do_not_grow_with_the_rows():
+    """Over many chunks a partition keeps k partial scores per query and slice, the best ones."""
+    rng = np.random.default_rng(4)
+    scores = rng.integers(-50, 50, (2, 3, 1000))
+    best = topk.Best(3, 2, 10)
+    mine = rng.random((3, 1000)) < 0.9
+    for s in range(0, 1000, 7):
+        best.add(scores[..., s : s + 7], np.arange(s, min(s + 7, 1000)), mine[:, s : s + 7])
+    got = best.batch(5).to_pandas()
+    assert len(got) == 2 * 3 * 11
+    for j in range(2):
+        for q in range(3):
+            own = got[(got.q == q + 5) & (got.slice == j)]
+            assert sorted(own[own.row.notna()].partial) == sorted(scores[j, q][mine[q]])[-10:] and own[own.row.isna()].partial.item() == scores[j, q][mine[q]].min()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(none, F.col("vec_id") % 100 == 0).count() == 0

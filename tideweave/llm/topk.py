@@ -8,7 +8,8 @@ are collected, since a vector below it everywhere cannot reach the cutoff. Phase
 whose upper bound stays below the cutoff and resolves the others' scores exactly.
 
 Partial scores are taken above the slice's least one, so that the bounds hold for negative scores.
-Queries are processed in blocks of at most ``query_block`` vectors, which bounds what is broadcast.
+Phase 1 keeps its lists running, so a partition sends k entries per query and slice however many rows
+it has. Queries are processed in blocks of at most ``query_block`` vectors, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tideweave.llm.common import materialize, table
 K, SLICES, QUERY_BLOCK = 10, 4, 8192
 #: Rows and queries that are multiplied at a time.
 ROWS, SUB = 4096, 128
-EXACT, BIGGEST, LOWEST = 2.0**53, (1 << 62) - 1, (1 << 63) - 1
+EXACT, BIGGEST, LOWEST = 2.0**53, 2.0**62, (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -50,12 +51,35 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows, exact: in doubles where no sum can leave their exact range, else in
-    whole numbers of any size, held at 2^62."""
+    """Integer inner products of rows, exact below BIGGEST: in doubles where no sum can leave their exact range, else in 64-bit integers."""
     if not a.size or not b.size or np.abs(a).sum(1).max() * np.abs(b).max() < EXACT:
         return (a @ b.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    return np.clip(whole(a) @ whole(b).T, -BIGGEST, BIGGEST).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
+class Best:
+    """The k best partial scores, and the least, of each query and slice over all rows of a partition so far."""
+
+    def __init__(self, queries: int, slices: int, k: int):
+        self.k, self.score, self.row = k, np.full((slices, queries, 0), -LOWEST), np.zeros((slices, queries, 0), np.int64)
+        self.low = np.full((slices, queries), LOWEST)
+
+    def add(self, scores: np.ndarray, rows: np.ndarray, mine: np.ndarray) -> None:
+        """scores: slices x queries x rows; mine: which rows are candidates of which query."""
+        self.low = np.minimum(self.low, np.where(mine, scores, LOWEST).min(2))
+        some = np.argpartition(np.where(mine, -scores, LOWEST), min(self.k, len(rows)) - 1, axis=2)[..., : self.k]
+        score = np.concatenate([self.score, np.where(np.take_along_axis(np.broadcast_to(mine, scores.shape), some, 2), np.take_along_axis(scores, some, 2), -LOWEST)], 2)
+        row = np.concatenate([self.row, rows[some]], 2)
+        best = np.argpartition(-score, min(self.k, score.shape[2]) - 1, axis=2)[..., : self.k]
+        self.score, self.row = np.take_along_axis(score, best, 2), np.take_along_axis(row, best, 2)
+
+    def batch(self, first: int) -> pa.RecordBatch:
+        """q, slice, row, partial; the rows with row null hold the least."""
+        j, q, i = np.nonzero(self.score > -LOWEST)
+        lj, lq = np.nonzero(self.low < LOWEST)
+        low = np.arange(len(j) + len(lj)) >= len(j)
+        fields = (np.concatenate([q, lq]) + first, np.concatenate([j, lj]), np.concatenate([self.row[j, q, i], np.zeros(len(lj), np.int64)]), np.concatenate([self.score[j, q, i], self.low[lj, lq]]))
+        return pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int32()), pa.array(fields[2], pa.int64(), mask=low), pa.array(fields[3], pa.int64())], ["q", "slice", "row", "partial"])
 
 
 def _cuts(width: int, slices: int) -> list[slice]:
@@ -83,24 +107,16 @@ def _search_block(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int, sli
     sent = spark.sparkContext.broadcast((q_ids, q))  # at most query_block vectors
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1: of each slice k of the best partial scores, and as row null the least."""
+        """Phase 1: of each slice the partition's k best partial scores, and as row null the least."""
         qi, qv = sent.value
         row = TaskContext.get().partitionId() << 40  # rows of one vec_id stay apart
+        best = [Best(min(SUB, n - s), len(cuts), k) for s in range(0, n, SUB)]
         for ids, v in _chunks(batches, width):
             at = row + np.arange(len(ids))
             row += len(ids)
             for s in range(0, n, SUB):
-                mine = qi[s : s + SUB, None] != ids[None, :]
-                for j, c in enumerate(cuts):
-                    part = _product(qv[s : s + SUB, c], v[:, c])
-                    best = np.argpartition(np.where(mine, -part, LOWEST), min(k, len(ids)) - 1, axis=1)[:, :k]
-                    who = np.repeat(np.arange(len(part)), best.shape[1])
-                    ok = mine[who, best.ravel()]
-                    low = np.where(mine, part, LOWEST).min(1)
-                    some = np.flatnonzero(mine.any(1))
-                    fields = (np.concatenate([who[ok], some]) + s, np.full(int(ok.sum()) + len(some), j), np.concatenate([at[best.ravel()][ok], np.zeros(len(some), np.int64)]), np.concatenate([part[who, best.ravel()][ok], low[some]]))
-                    is_low = np.arange(len(fields[0])) >= int(ok.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(fields[0], pa.int32()), pa.array(fields[1], pa.int32()), pa.array(fields[2], pa.int64(), mask=is_low), pa.array(fields[3], pa.int64())], ["q", "slice", "row", "partial"])
+                best[s // SUB].add(np.stack([_product(qv[s : s + SUB, c], v[:, c]) for c in cuts]), at, qi[s : s + SUB, None] != ids[None, :])
+        yield from (b.batch(i * SUB) for i, b in enumerate(best))
 
     gathered = materialize(rows.mapInArrow(lists, "q int, slice int, row long, partial long"), "topk-lists")
     least = gathered.where("row is null").groupBy("q", "slice").agg(F.min("partial").alias("low"))
@@ -142,11 +158,18 @@ def search(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vec_c
     """query_id, rank, vec_id, score: each query's k highest integer inner products, ties to the smaller vec_id.
 
     is_query: a condition on vec_id. Repeated rows of one vec_id count once each as candidates, and as
-    one query if they are equal. Fewer candidates than k give fewer rows; no queries give no rows.
+    one query if they are equal. Vectors that are null, or that hold null or non-finite components, and
+    rows without a vec_id take no part; shorter vectors count as filled up with zeros. Fewer candidates
+    than k give fewer rows; no queries give no rows. Components so large that a score might leave 64
+    bits are an error.
     """
     rows = scaled(vectors, id_col, vec_col)
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    width, longest = rows.agg(F.max(F.size("v")), F.max(length)).first()
+    width = width or 0
     asked = rows.where(is_query).distinct()
+    if width and longest * (asked.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0) >= BIGGEST:
+        raise ValueError("inner products of these vectors may not fit into 64 bits")
     spark, blocks = vectors.sparkSession, max(1, -(-asked.count() // query_block))
     found = []
     for b in range(blocks):
