@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from functools import lru_cache
 
 import pytest
@@ -91,3 +92,72 @@ def test_simple_tree_matching_is_optimal():
         return 1 + rest(0, 0)
 
     assert m.weight(a.shape[0], b.shape[0]) == best(0, 0) == len(m.match(a, b))
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_article_parts_that_are_named_like_page_parts_stay():
+    page = """<body><div class="social-links">Share it</div><article><h1>T</h1><h2 id="related-work">Related work</h2><section id="search"><p>How we search</p></section>
+      <div class="social-policy"><p>On policy</p></div><p>Formula <math><mi>x</mi></math> in <svg><text>a figure</text></svg> and <object>what stands for it</object></p>
+      <div class="ad">Buy</div><ol class="comments"><li>First!</li></ol><div id="comments">Second!</div></article></body>"""
+    assert wrapper.alone(page) == "T\nRelated work\nHow we search\nOn policy\nFormula x in a figure and what stands for it"
+
+
+def test_constant_text_inside_articles_is_template(spark):
+    """A notice that all pages of the host carry goes, with landmarks and without; headings and what varies stay."""
+    for name, (before, after) in enumerate((("<article>", "</article>"), ("<div class=x>", "</div>"))):
+        rows = [(i, f"https://news{name}.example/{i}", f"<body>{before}<h1>Story {i}</h1><p>Words {i * 3} of it</p><h2>More</h2><p>and {i * 7} more</p><p>Written by our newsroom. All rights reserved.</p>{after}</body>") for i in range(8)]
+        out = texts(spark, rows)
+        for i in range(8):
+            assert out[i].replace("\nMore\n", "\n") == f"Story {i}\nWords {i * 3} of it\nand {i * 7} more"
+            assert ("\nMore\n" in out[i]) == (before == "<article>")
+
+
+def test_copies_tell_nothing_about_template(spark):
+    body = "".join(f"<p>Paragraph {j} of a text that many pages copy</p>" for j in range(20))
+    rows = [(i, f"https://copies.example/{i}", f"<body><article><h1>Copy</h1>{body}<p>Edition {i}</p></article></body>") for i in range(9)]
+    out = texts(spark, rows)
+    assert all(out[i].count("\n") == 21 and out[i].endswith(f"Edition {i}") for i in range(9))
+
+
+def test_named_parts_inside_articles_go_if_the_template_has_them(spark):
+    page = lambda i, cls: f'<body><article><h1>Story {i}</h1><p>Words of story {i}</p><div class="{cls}"><p>Other story {i + 5}</p></div></article></body>'
+    out = texts(spark, [(i, f"https://blog.example/{i}", page(i, "related-posts")) for i in range(6)] + [(9, "https://one.example/", page(9, "related-posts"))])
+    assert all(out[i] == f"Story {i}\nWords of story {i}" for i in range(6)) and out[9].endswith("Other story 14")
+
+
+def test_kinds_of_pages_of_a_host_are_aligned_apart(spark):
+    item = lambda i: f"<body><div class=top>Site</div><article><h1>Item {i}</h1><p>Text {i}</p></article></body>"
+    listing = lambda i: "<body><div class=top>Site</div>" + "".join(f"<article><h2>Teaser {i} {j}</h2></article>" for j in range(4)) + "</body>"
+    out = texts(spark, [(i, f"https://mixed.example/{i}", item(i) if i % 2 else listing(i)) for i in range(12)])
+    for i in range(12):
+        assert out[i] == (f"Item {i}\nText {i}" if i % 2 else "\n".join(f"Teaser {i} {j}" for j in range(4)))
+
+
+def test_pages_without_a_host_stand_alone(spark):
+    rows = [(i, None if i % 2 else "no host here", f"<div><p>Same words</p><p>Page {i}</p></div>") for i in range(8)]
+    assert texts(spark, rows) == {i: f"Same words\nPage {i}" for i in range(8)}
+
+
+def test_wide_pages_take_time_in_proportion_to_their_width():
+    def page(n, step):
+        rows = (f"<tr><td>{i}</td>{'<td><b>x</b></td>' * ((i * 7919 + step) % 13)}<td class=c{i * step % n}>u</td></tr>" for i in range(n))
+        return f"<body><article><table>{''.join(rows)}</table></article></body>"
+
+    began = time.time()
+    mine, ref, match = wrapper.Aligner()(page(50_000, 3), page(50_000, 5))
+    assert len(match) > 50_000 and wrapper.content(mine, match, match[2]).count("\n") >= 50_000
+    assert time.time() - began < 60
+    short = wrapper.Matcher()
+    a, b = wrapper.Page(page(120, 3)), wrapper.Page(page(120, 5))
+    short.shape(a), short.shape(b)
+    whole, cells = len(short.match(a, b)), wrapper.CELLS
+    try:
+        wrapper.CELLS = 200
+        cut = wrapper.Matcher()
+        cut.shape(a), cut.shape(b)
+        assert 0.2 * whole < len(cut.match(a, b)) <= whole
+    finally:
+        wrapper.CELLS = cells
