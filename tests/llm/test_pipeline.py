@@ -23,7 +23,7 @@ def test_stages_in_order(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(i)))
         kept.append(docs)
     first = table(spark, d, "documents")
-    scored = toxicity.score(first, *toxicity.build_index(first, table(spark, d, "labels").where(crc_fold("doc_id") != 0)))
+    scored = toxicity.score(first, toxicity.build_index(first, table(spark, d, "labels").where(crc_fold("doc_id") != 0)))
     assert {r.doc_id for r in kept[0].collect()} == {r.doc_id for r in scored.where("predicted = 0").select("row.doc_id").collect()}
     judged = quality.verdicts(kept[0], quality.trusted_sample(table(spark, d, "labels")))
     assert {r.doc_id for r in kept[1].collect()} == {r.doc_id for r in judged.where("kept").select("row.doc_id").collect()}
