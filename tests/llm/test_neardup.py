@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import no_docs, odd_docs
 from tideweave.llm import neardup
@@ -55,10 +56,10 @@ def near_copies(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("tile", [4, 256])
-def test_against_brute_force(spark, tile):
+@pytest.mark.parametrize("tile,broadcast_rows", [(4, 1 << 20), (256, 0)])
+def test_against_brute_force(spark, tile, broadcast_rows):
     rows = near_copies(7, 160) + [(None, "only five words stand here"), (None, "only five words stand here"), (200, None), (201, ""), (202, "one two"), (203, "one two"), (204, "two one")]
-    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile=tile).collect()
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile=tile, broadcast_rows=broadcast_rows).collect()
     key = lambda x: tuple((v is None, v or 0) for v in x)
     assert sorted(((r.id, r.class_id, r.n_links) for r in got), key=key) == sorted(brute(rows), key=key)
 
@@ -76,6 +77,25 @@ def test_one_row_of_each_class_stays(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted((i or -1) for i in ids) == [-1, 1, 2, 3, 4, 6, 7]
     assert neardup.keepers(no_docs(spark)).count() == 0
+    assert sorted(map(repr, neardup.keepers(docs, broadcast_rows=0).collect())) == sorted(map(repr, kept.collect()))
+    twice = spark.createDataFrame([(1, "some words of it", "b"), (1, "some words of it", "a"), (2, "some words of it", "0"), (3, "other", None)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.source) for r in neardup.keepers(twice).collect()) == [(1, "a"), (3, None)]
+
+
+def test_chains_do_not_grow_together(spark):
+    """5,000 texts, each like the next at a similarity below the threshold: pair work stays near linear, and nothing is linked."""
+    rng = random.Random(3)
+    words, rows = [f"w{rng.randrange(10**9)}" for _ in range(5000 * 10 + 100)], []
+    for i in range(5000):
+        rows.append((i, " ".join(words[10 * i : 10 * i + 100])))  # 96 n-grams, 86 shared with the next: 0.81 if all of them were
+    rows = [(i, t + f" x{i} y{i}") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = neardup.signatures(docs, "doc_id", "text", 5, neardup.bands_for(0.8, 0.9995, 5), 5).groupBy("node").agg(F.first("bands").alias("bands"))
+    groups = neardup.candidate_groups(sig).selectExpr("explode(groups) AS g").groupBy("g.label").count()
+    sizes = [r["count"] for r in groups.collect()]
+    assert sum(sizes) > 5000  # nearly all collide with a neighbour
+    assert sum(n * n for n in sizes) < 100 * 5000 and max(sizes) < 60
+    assert {r.n_links for r in neardup.classes(docs).collect()} == {0}
 
 
 def test_bands_reach_the_recall():

@@ -4,13 +4,15 @@
    exact copies cost one row of a partial aggregate each.
 2. Nodes are shuffled on band hashes. Band and row counts follow from the similarity and the
    recall aimed at. Buckets of one node end here.
-3. Nodes that share a bucket, directly or through others, form a candidate group. Only nodes in such
-   groups fetch their text again, and each n-gram set travels to its group once.
-4. Groups are verified in tiles: a group of any size is cut into blocks of about ``tile`` nodes (or
+3. A bucket's leader is its least node; a candidate group is all buckets of one leader. Nodes that share a
+   bucket meet in its leader's group, so no two that collide are missed, and a group is never more than the
+   buckets of one node: chains of collisions do not grow together before they are verified.
+4. Only nodes in groups fetch their text again, and each n-gram set travels to its groups once.
+5. Groups are verified in tiles: a group of any size is cut into blocks of about ``tile`` nodes (or
    the root of its size, if that is more), and each pair of blocks is a piece of work of its own. Pairs are counted inside a tile and never
-   become rows: a tile gives each node its number of links and a root of its linked nodes. No group,
-   bucket or candidate is capped.
-5. Classes are the connected components of the links.
+   become rows: a tile gives each node its number of links and a root of its linked nodes. A pair that
+   meets in several groups counts in that of the least leader. No group, bucket or candidate is capped.
+6. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tideweave.llm.common import materialize, table
 
 GRAM, SIMILARITY, RECALL, ROWS, TILE = 5, 0.8, 0.9995, 5, 64
 KNOWN_WORDS = 1 << 17
+#: Rows of keys (some 16 bytes each) up to which they are broadcast; more meet the texts in a shuffle join.
+BROADCAST_ROWS = 1 << 21
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -126,11 +130,16 @@ def components(member: DataFrame, name: str) -> DataFrame:
         label = new
 
 
-def tile_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, at_least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None, at_least: Fraction, met: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of each set: the documents (copies) that it is linked with, and the least position connected with it.
 
-    side: which of two blocks each set is of; then only pairs across the blocks are looked at.
+    side: which of two blocks each set is of; then only pairs across the blocks are looked at. met:
+    other groups of each set; pairs that have one of them in common are left to it.
     """
+    elsewhere: dict[int, list[int]] = {}
+    for i, groups in enumerate(met or ()):
+        for g in groups:
+            elsewhere.setdefault(g, []).append(i)
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
@@ -164,6 +173,8 @@ def tile_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | No
         linked[i] = False
         if side is not None:
             linked &= side != side[i]
+        for g in met[i] if met else ():
+            linked[elsewhere[g]] = False
         at = np.flatnonzero(linked)
         if len(at):
             links[i] = copies[at].sum()
@@ -194,7 +205,20 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]
         yield key, pa.Table.from_batches(held)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+def candidate_groups(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """node, groups: of each node that shares a bucket the labels of its groups in order, and into how many blocks each group is cut.
+
+    A node has no more groups than bands.
+    """
+    band = nodes.select("node", F.explode("bands").alias("bucket"))  # the band's number is in its hash
+    buckets = materialize(band.groupBy("bucket").agg(F.min(F.xxhash64("node")).alias("label"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "label"), "buckets")
+    member = materialize(band.join(buckets, "bucket").select("node", "label").distinct(), "candidates")
+    size = materialize(member.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    cut = F.ceil(F.col("size") / F.greatest(F.lit(tile), F.sqrt("size"))).cast("int")
+    return member.join(size, "label").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("label", cut.alias("nb")))).alias("groups"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = GRAM, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, text_key, class_id, keeper_key, n_links: a row per row of docs.
 
     class_id: the least id among the rows that are linked with this one, directly or through others
@@ -206,22 +230,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     sig = materialize(signatures(docs, id_col, text_col, n, bands_for(similarity, recall, rows), rows), "minhash")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key"))
     nodes = materialize(sig.where("node is not null").groupBy("node").agg(least.alias("least"), F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
-    band = nodes.select("node", F.explode("bands").alias("grp"))  # the band's number is in its hash
-    shared = materialize(band.groupBy("grp").count().where("count > 1").select("grp"), "shared")
-    member = materialize(band.join(shared, "grp"), "buckets")
-    near = components(member, "candidates")
-    size = materialize(near.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    placed = near.join(size, "label").withColumn("nb", F.ceil(F.col("size") / F.greatest(F.lit(tile), F.sqrt("size"))).cast("int")).join(nodes.select("node", "text_key", "copies"), "node")
+    placed = materialize(candidate_groups(nodes, tile).join(nodes.select("node", "text_key", "copies"), "node"), "placed")
 
-    texts = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if placed.count() <= broadcast_rows:  # else the join below shuffles all texts
+        texts = texts.join(F.broadcast(placed.select(F.col("text_key.a").alias("wanted")).distinct()), F.col("text_key.a") == F.col("wanted"), "left_semi")
+    texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in blocks.cut_blocks(batches, 4 << 20):
             sets = [gram_set(t.as_py(), known, n).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "label", "copies", "nb")), pa.array(sets, pa.binary())], ["node", "label", "copies", "nb", "grams"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "copies", "groups")), pa.array(sets, pa.binary())], ["node", "copies", "groups", "grams"])
 
-    full = placed.join(texts, "text_key").select("node", "label", "copies", "nb", "text").mapInArrow(with_sets, "node binary, label binary, copies long, nb int, grams binary")
+    found_sets = placed.join(texts, "text_key").select("node", "copies", "groups", "text").mapInArrow(with_sets, "node binary, copies long, groups array<struct<label: bigint, nb: int>>, grams binary")
+    full = found_sets.withColumn("g", F.explode("groups")).select("node", "copies", "g.label", "g.nb", F.transform(F.filter("groups", lambda x: x["label"] < F.col("g.label")), lambda x: x["label"]).alias("met"), "grams")
     block = F.when(F.col("nb") > 1, F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).otherwise(0)
     dealt = full.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
@@ -232,12 +255,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             sets = [np.frombuffer(g.as_py(), np.uint64) for g in t.column("grams")]
             side = None if low == high else np.asarray(t.column("block").combine_chunks())
             node = t.column("node").to_pylist()
-            links, root = tile_links(sets, np.asarray(t.column("copies").combine_chunks()), side, at_least)
-            names = [xxhash.xxh3_128_digest(b"%d|%d|" % (low, high) + label + node[r]) for r in root]
+            links, root = tile_links(sets, np.asarray(t.column("copies").combine_chunks()), side, at_least, t.column("met").to_pylist())
+            names = [xxhash.xxh3_128_digest(b"%d|%d|%d|" % (label, low, high) + node[r]) for r in root]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(links), pa.array(names, pa.binary())], ["node", "links", "grp"])
 
     in_tiles = dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
-    found = materialize(in_tiles.select("label", "low", "high", "node", "copies", "block", "grams").mapInArrow(verify, "node binary, links long, grp binary"), "links")
+    found = materialize(in_tiles.select("label", "low", "high", "node", "copies", "block", "met", "grams").mapInArrow(verify, "node binary, links long, grp binary"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = materialize(found.groupBy("grp").count().where("count > 1").select("grp"), "joined")
     root = components(materialize(found.select("node", "grp").join(joined, "grp"), "linked"), "classes")
@@ -257,16 +280,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     )
 
 
-def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All columns of docs, of one row of each class: the one with the least id (null last), then text key."""
-    known = classes(docs, id_col, text_col, **options)
-    chosen = known.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("keeper_key"))).select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    mark = "text_key"
-    while mark in docs.columns:
-        mark += "_"
-    rows = docs.withColumn(mark, _text_key(text_col))
-    kept = rows.join(chosen, rows[id_col].cast("long").eqNullSafe(chosen["kept_id"]) & (rows[mark] == chosen["kept_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, mark]).drop(mark)
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """All columns of docs, of one row of each class: the one with the least id (null last), then text key.
+
+    Of rows with this id and text but other columns the least as JSON text stays. Null and empty texts
+    are classes of their own, one for each id. Rows that go are told by their keys, so the texts of
+    those that stay are shuffled only if more than ``broadcast_rows`` go.
+    """
+    known = materialize(classes(docs, id_col, text_col, broadcast_rows=broadcast_rows, **options).select("id", "text_key", "class_id", "keeper_key"), "known-classes")
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("keeper_key"))
+    key = [F.col("id").alias("key_id"), F.col("text_key").alias("key_text")]
+    gone = materialize(known.where(~kept).select(*key).distinct(), "gone")
+    several = materialize(known.where(kept).groupBy(*key).count().where("count > 1").select("key_id", "key_text"), "several")
+    near = (lambda df: F.broadcast(df)) if gone.count() + several.count() <= broadcast_rows else (lambda df: df)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), _text_key(f"`{text_col}`").alias("text_key"))
+    same = lambda df: rows["id"].eqNullSafe(df["key_id"]) & (rows["text_key"] == df["key_text"])
+    other = gone.unionAll(several)
+    single = rows.join(near(other), same(other), "left_anti").select("row.*")
+    least = rows.join(near(several), same(several), "left_semi").groupBy("id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return single.unionAll(least)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
