@@ -104,3 +104,109 @@ def test_words_outside_the_core_are_exchanged(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
     out = brown.train_and_score(docs, F.col("h"), core=2, classes=4).where("held_out").collect()
     assert sum(r.score for r in out) / len(out) > -85  # 41 words and ends at log10(60) or log10(30) are 73 or 61, the rest is the core part
+
+
+class PlainModel:
+    """The whole model by its definition, in loops over one list of training texts; every training word is exchanged."""
+
+    def __init__(self, texts, classes):
+        self.classes = classes
+        tokens = [brown.tokens(t) for t in texts]
+        self.count = Counter(w for t in tokens for w in t)
+        words = sorted((w for w in self.count if w != brown.END), key=lambda w: (-self.count[w], w))
+        self.of = self.exchanged(tokens, words)
+        self.of[brown.END] = classes
+        self.n_k, self.v_k = Counter(), Counter()
+        for w, n in self.count.items():
+            self.n_k[self.of[w]] += n
+            self.v_k[self.of[w]] += 1
+        once, twice = (sum(n == k for n in self.count.values()) for k in (1, 2))
+        self.discount = min(max(once / (once + 2 * twice) if once else 0.1, 0.05), 0.95)
+        self.tri, self.bi, self.uni = Counter(), Counter(), Counter()
+        for t in tokens:
+            before = ("start", "start")
+            for w in t:
+                k = self.of[w]
+                self.tri[(*before, k)] += 1
+                self.bi[before[1], k] += 1
+                self.uni[k] += 1
+                before = (before[1], self.context(w))
+
+    def exchanged(self, tokens, words):
+        """Exchange one by one, then sweeps in which chosen words move at once."""
+        n, k = len(words), self.classes
+        at = {w: i for i, w in enumerate(words)} | {brown.END: n + 1}
+        flat = [n + 1] + [at[w] for t in tokens for w in t]
+        b = np.zeros((n + 2, n + 2))
+        for x, y in zip(flat, flat[1:]):
+            b[x, y] += 1
+        of = np.append(brown.exchange(b, k), [k, k + 1])
+        place = np.argsort(brown._keys(words))  # words in order of their hashes
+        rank = np.empty(n, np.int64)
+        rank[place] = np.arange(n)
+
+        def matrix(c):
+            member = np.eye(k + 2)[c]
+            return member.T @ b @ member
+
+        m, share = matrix(of), 1
+        for turn in range(brown.SWEEPS):
+            new, member = of.copy(), np.eye(k + 2)[of]
+            mixed = (rank * 0x9E3779B1 + (turn + 1) * 0x85EBCA6B) & 0xFFFFFFFF
+            chosen = np.flatnonzero((mixed ^ (mixed >> 15)) % share == 0)
+            gain = brown.exchange_gains(m, (b.T @ member)[chosen], (b @ member)[chosen], np.diag(b)[chosen], of[chosen])[:, :k]
+            for g, w in zip(gain, chosen):
+                best = int(np.argmax(g))
+                new[w] = best if g[best] > g[of[w]] + 1e-9 else of[w]
+            first, share = turn == 0, max(share, 2)
+            if (new == of).all() and not first:
+                break
+            after = matrix(new)
+            better = brown.likelihood(after) - brown.likelihood(m)
+            if not first and better < 0:
+                share *= 2
+                continue
+            of, m = new, after
+            if not first and better * share < brown.LEAST_GAIN * m.sum():
+                break
+        return {w: int(of[i]) for i, w in enumerate(words)}
+
+    def context(self, w):
+        return self.of[w] if self.count[w] > 1 else "rare"
+
+    def transition(self, two, one, k):
+        uni = (self.uni[k] + 0.5) / (sum(self.uni.values()) + 0.5 * (self.classes + 1))
+        bi = (self.bi[one, k] + brown.BACKOFF * uni) / (sum(self.bi[one, j] for j in range(self.classes + 1)) + brown.BACKOFF)
+        return (self.tri[two, one, k] + brown.BACKOFF * bi) / (sum(self.tri[two, one, j] for j in range(self.classes + 1)) + brown.BACKOFF)
+
+    def probability(self, two, one, w):
+        if self.count[w]:
+            k = self.of[w]
+            return self.transition(two, one, k) * (self.count[w] - (self.discount if w != brown.END else 0)) / self.n_k[k]
+        rest = [self.discount * self.v_k[k] / self.n_k[k] if self.n_k[k] else 1.0 for k in range(self.classes)]
+        return sum(self.transition(two, one, k) * rest[k] for k in range(self.classes))
+
+    def score(self, text):
+        total, before = 0.0, ("start", "start")
+        for w in brown.tokens(text):
+            total += math.log10(self.probability(*before, w))
+            before = (before[1], self.context(w))
+        return total
+
+
+def test_scores_against_the_plain_model(spark):
+    """Every text's score is the plain model's, and that adds up to 1 over all continuations of any history."""
+    rng = np.random.default_rng(6)
+    kinds = [["the", "a", "this"], [f"n{i}" for i in range(14)], ["sees", "has", "is"]]
+    say = lambda: " ".join(str(rng.choice(kinds[i % 3])) for i in range(int(rng.integers(0, 14))))
+    texts = [say() for _ in range(150)] + ["the N1 rare", "unique words stand here", ""]
+    tests = [say() for _ in range(30)] + ["the unknown sees nothing known", "rare n1", "", "zzz"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(tests)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    out = {r.doc_id: r.score for r in brown.train_and_score(docs, F.col("h"), classes=4, floor=1).collect()}
+    plain = PlainModel(texts, 4)
+    for i, t, _ in rows:
+        assert math.isclose(out[i], plain.score(t), rel_tol=1e-9, abs_tol=1e-9)
+    for two in ("start", "rare", 0, 3):
+        for one in ("start", "rare", 0, 1, 2, 3):
+            assert math.isclose(sum(plain.probability(two, one, w) for w in [*plain.count, b"never seen"]), 1.0, rel_tol=1e-9)
