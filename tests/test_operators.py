@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideweave.functions import hashing, paths, scalars
-from tideweave.operators import compaction, counters, dag, docstore, jsondoc, maps, presence, registers, relay, replication, richtext, sequence, sets, undo, vectors
+from tideweave.operators import compaction, counters, dag, docstore, jsondoc, lattice, maps, presence, registers, relay, replication, richtext, sequence, sets, undo, vectors
 from tideweave.schemas import COUNTER_OPS, JSON_OPS, SEQ_OPS
 from tideweave.sources import store
 
@@ -127,7 +127,7 @@ def test_dag_tree(spark):
     full = dag.sync_all(sets.union_all(*[p.withColumn("replica", F.lit(f"r{i % 3}")) for i, p in enumerate(parts)]))
     assert full.count() == 18 and dag.converged(full).first().converged
     assert [r.depth for r in dag.ancestors(nodes, parts[4]).orderBy("depth").collect()] == [1, 2]
-    kept, gone = compaction.compact(nodes, dag.heads(nodes), 10_000, preserve_depth=0, min_age=0, genesis_path=False)
+    kept, gone = compaction.pruned_below(nodes, dag.heads(nodes), 10_000, preserve_depth=0, min_age=0, genesis_path=False)
     assert gone.count() == 3 and compaction.disconnected(kept, gone).count() == 0 and compaction.disconnected(kept).count() == 3
 
 
@@ -136,13 +136,68 @@ def test_snapshots(spark):
     snaps = compaction.make_snapshots(spark.createDataFrame(rows, "vv map<string, bigint>, superseded_roots array<string>, state binary, created_at long, creator string"))
     wanted = spark.createDataFrame([("a", 4)], "replica string, seq long")
     assert [r.created_at for r in compaction.covering(snaps, wanted).collect()] == [20] and compaction.best_covering(snaps, wanted).first().created_at == 20
-    assert compaction.latest(snaps).first().creator == "d"
+    # arrivals are a:3, then b:9 beside it, then a:5 b:1 above the first: concurrent ones never replace the latest
+    assert [r.created_at for r in compaction.latest(snaps).collect()] == [20] and [r.created_at for r in compaction.latest(snaps.where("created_at < 20")).collect()] == [10]
+    assert as_set(compaction.latest(snaps, "creator").select("creator", "created_at", "total_ops")) == {("c", 20, 6), ("d", 15, 9)}
+    assert compaction.latest(snaps.limit(0)).count() == 0
     assert as_set(compaction.retained(snaps, 1).select("creator", "created_at")) == {("c", 20), ("d", 15)}
     log = spark.createDataFrame([("a", i) for i in range(1, 8)], "replica string, seq long")
     assert compaction.bootstrap(vectors.from_entries(spark.createDataFrame([("s", [("a", 5)])], "holder string, entries array<struct<replica: string, seq: bigint>>")), log).count() == 2
     assert compaction.should_snapshot(0, 0, 0) and not compaction.should_snapshot(1, 5, 5) and compaction.should_compact(True, 500, 2, True)
 
 
+def snapshot_rows(spark, rows):
+    return compaction.make_snapshots(spark.createDataFrame(rows, "vv map<string, bigint>, superseded_roots array<string>, state binary, created_at long, creator string"))
+
+
+def test_compaction(spark):
+    """Snapshot when due, prune below a stable one only, verify, report; a tick drops stale peers first."""
+    nodes = sets.union_all(*[spark.createDataFrame(p.collect(), p.schema) for p in tree(spark)])
+    vv = "holder string, replica string, seq long"
+    both = spark.createDataFrame([("me", "a", 5), ("me", "b", 2), ("peer", "a", 5), ("peer", "b", 2)], vv)
+    behind = spark.createDataFrame([("me", "a", 5), ("me", "b", 2), ("peer", "a", 1)], vv)
+    none = snapshot_rows(spark, [])
+    policy = {"preserve_depth": 0, "min_age": 0, "genesis_path": False}
+    done = compaction.compact(nodes, none, both, "me", b"s", 10_000, **policy)
+    assert done.snapshot_created and done.snapshots.count() == 1 and done.nodes_pruned == 3 and done.nodes.count() == 3
+    made = done.snapshots.first()
+    assert (made.id, made.vv, bytes(made.state), made.creator) == (done.snapshot_created, {"a": 5, "b": 2}, b"s", "me") and sorted(made.superseded_roots) == sorted(r.cid for r in dag.heads(nodes).collect())
+    waits = compaction.compact(nodes, none, behind, "me", b"s", 10_000, **policy)
+    assert waits.snapshot_created and waits.nodes_pruned == 0 and waits.pruned is None and waits.nodes.count() == 6
+    assert compaction.compact(nodes, none, behind, "me", b"s", 10_000, require_stable=False, **policy).nodes_pruned == 3
+    assert compaction.compact(nodes, done.snapshots, both, "me", b"s", 10_001, **policy).snapshot_created is None  # no new operations, no age
+    assert compaction.compact(nodes, done.snapshots, both, "me", b"t", 30_000, **policy).snapshot_created  # old
+    gap = nodes.where(F.col("cid") != nodes.where("payload = encode('a', 'utf-8')").first().cid)
+    with pytest.raises(ValueError, match="missing below the heads"):
+        compaction.compact(gap, none, behind, "me", b"s", 10_000, **policy)
+    updates = spark.createDataFrame([("peer", 1, 9_000)], "peer string, arrival long, updated_at long")
+    tick = lambda now, **x: compaction.tick(nodes, done.snapshots, behind, updates, "me", b"s", now, **({"compact_ops": 7, "min_snapshots": 1} | policy | x))
+    assert tick(10_001) is None  # the peer is behind
+    late = tick(19_001, max_age=10**6)
+    assert late.nodes_pruned == 3 and late.snapshot_created is None  # stale and dropped
+    assert tick(19_001, auto=False) is None and tick(19_001, compact_ops=8) is None and tick(19_001, min_snapshots=2) is None
+
+
+def test_replicas_with_the_same_rows(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 2), ("b", "x", 1)], "holder string, k string, n int")
+    assert replication.converged(rows, "k", "n").first()[0]
+    assert not replication.converged(rows.unionAll(spark.createDataFrame([("b", "x", 1)], rows.schema)), "k", "n").first()[0]
+    assert not replication.converged(rows.withColumn("n", F.when(F.col("holder") == "a", 3).otherwise(F.col("n"))), "k", "n").first()[0]
+
+
+def test_declared_lattice(spark):
+    span = lattice.lookup("span")
+    values = lambda *rows: spark.createDataFrame(list(rows), "key string, value long, replica string")
+    a, delta = span.apply("observe", span.zero(spark), values(("k", 3, "r"), ("k", 9, "q"), ("l", 1, "r")))
+    b, _ = span.apply("observe", a, values(("k", 1, "p")))
+    plain = lambda df: {(r.key, r.least, r.most, tuple(r.seen)) for r in df.select("key", "least", "most", "seen").collect()}
+    assert plain(b) == plain(span.join(b, a, delta)) == plain(span.join(delta, b)) == {("k", 1, 9, ("p", "q", "r")), ("l", 1, 1, ("r",))}
+    assert span.leq(a, b).first().leq and not span.leq(b, a).first().leq and span.leq(span.zero(spark), a).first().leq
+    assert plain(span.apply_all(a, [])) == plain(a)
+    own = lattice.register(lattice.Lattice("top", "k string, v long", ["k"], {"v": F.max}))
+    assert lattice.lookup("top") is own and own.join(own.zero(spark), spark.createDataFrame([("x", 2), ("x", 5)], own.schema)).first().v == 5
+
+
 # --- sequences against a plain interpreter ----------------------------------------------------------
 
 
@@ -372,6 +427,26 @@ def test_undo(spark):
     assert as_set(undo.stacks(df, max_history=1).select("n_undo")) == {(1,)}
 
 
+UNDO = "doc_id string, replica string, clock long, action string, group_id string, op_kind string, position int, deleted string, inserted string"
+
+
+def test_undo_takes_the_whole_group_wherever_it_stands(spark):
+    actions = [("record", "g"), ("record", None), ("record", "g"), ("undo", None), ("undo", None), ("redo", None), ("redo", None), ("undo", None), ("remote", None), ("clear", None), ("undo", None)]
+    df = spark.createDataFrame([("d", "r", i, a, g, "insert", i, None, "x") for i, (a, g) in enumerate(actions)], UNDO)
+    got = [(r.at, r.how, r.source_clock) for r in undo.replay(df).collect()]
+    assert got == [(3, "undo", 2), (3, "undo", 0), (4, "undo", 1), (5, "redo", 1), (6, "redo", 0), (6, "redo", 2), (7, "undo", 2), (7, "undo", 0)]
+    assert as_set(undo.stacks(df.where("clock < 4"))) == {("d", "r", 1, 1)} and as_set(undo.stacks(df.where("clock < 8"))) == {("d", "r", 1, 1)} and as_set(undo.stacks(df)) == {("d", "r", 0, 0)}
+
+
+def test_undo_folds_many_long_histories(spark):
+    """Histories of several batches each; remote operations fill the history and push old ones out."""
+    rows = [(f"d{j}", "r", i, "remote" if i % 3 == 0 else "record", None, "insert", i, None, "x") for j in range(5) for i in range(12_000)] + [(f"d{j}", "r", 20_000 + i, "undo", None, None, None, None, None) for j in range(5) for i in range(3)]
+    df = spark.createDataFrame(rows, UNDO).repartition(7, "clock")
+    assert as_set(undo.stacks(df, 90).select("doc_id", "n_undo", "n_redo")) == {(f"d{j}", 57, 3) for j in range(5)}
+    assert sorted(r.source_clock for r in undo.replay(df, 90).where("doc_id = 'd3'").collect()) == [11_996, 11_998, 11_999]
+    assert undo.replay(df.limit(0)).count() == 0
+
+
 def test_replication(spark):
     log = spark.createDataFrame([("r", i, f"p{i}") for i in range(1, 11)], "replica string, seq long, payload string")
     acks = replication.merged_acks(replication.registered(spark, [("r", "p"), ("r", "q")]), spark.createDataFrame([("r", "p", 4), ("r", "p", 2), ("r", "x", 9)], "replica string, peer string, acked long"))

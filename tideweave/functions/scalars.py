@@ -49,12 +49,12 @@ def color_for_user(user: Column, palette: tuple[str, ...] = CURSOR_COLORS) -> Co
 
 def picked_color(key: Column, palette: tuple[str, ...] = USER_COLORS) -> Column:
     """A palette entry that looks random but repeats for equal keys."""
-    return F.element_at(F.array(*map(F.lit, palette)), (F.pmod(F.xxhash64(key), F.lit(len(palette))) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, palette)), (F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % len(palette) + 1).cast("int"))
 
 
 def replica_name(ts_ms: Column, key: Column) -> Column:
     """"<ms>-<hex>", the hex from a hash of key, so that it repeats."""
-    return F.concat(ts_ms.cast("string"), F.lit("-"), F.lower(F.hex(F.xxhash64(key))))
+    return F.concat(ts_ms.cast("string"), F.lit("-"), F.substring(F.sha2(key, 256), 1, 8))
 
 
 def mark_open_tag(kind: Column, a1: Column, a2: Column) -> Column:

@@ -6,8 +6,10 @@ vector as a map. Everything that depends on time takes ``now`` as a parameter.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def latest_frontiers(updates: DataFrame) -> DataFrame:
     return best.select("peer", "u.*")
 
 
+def peers(updates: DataFrame) -> DataFrame:
+    """Peers that have told a frontier."""
+    return updates.select("peer").distinct()
+
+
 def frontier_rows(updates: DataFrame) -> DataFrame:
     """holder, replica, seq of frontier updates."""
     return updates.select(F.col("peer").alias("holder"), F.explode("vv").alias("replica", "seq"))
@@ -75,10 +82,10 @@ def stability_state(frontiers: DataFrame, wanted: DataFrame, min_peers: int = MI
     return sets.select(state.alias("state"), "delivered", "pending")
 
 
-def has_quorum(n_peers: int, responding: int, min_peers: int = MIN_PEERS, fraction: float = QUORUM, all_peers: bool = True) -> bool:
-    """Whether enough replicas (self counted) take part."""
+def has_quorum(n_peers, responding, min_peers: int = MIN_PEERS, fraction: float = QUORUM, all_peers: bool = True):
+    """Whether enough replicas (self counted) take part; of numbers or of columns."""
     members = n_peers + 1
-    return members >= min_peers and responding + 1 >= (members if all_peers else math.ceil(members * fraction))
+    return (members >= min_peers) & (responding + 1 >= (members if all_peers else members * fraction))
 
 
 def stability_stats(frontiers: DataFrame, local: str) -> DataFrame:
@@ -132,35 +139,56 @@ def best_covering(snapshots: DataFrame, wanted: DataFrame) -> DataFrame:
     return covering(snapshots, wanted).withColumn("total_ops", total).orderBy(F.desc("total_ops"), F.desc("id")).limit(1)
 
 
-def latest(snapshots: DataFrame) -> DataFrame:
-    """The latest by dominance: no other snapshot's vector strictly dominates it; of several the newest, then the greater id.
+def latest(snapshots: DataFrame, by: str | None = None) -> DataFrame:
+    """The latest snapshot, of all or of each value of ``by``, with total_ops.
 
-    A dominating vector has a greater total, so only snapshots of the greatest total can qualify.
+    Snapshots arrive in order of (created_at, id); one becomes the latest if there is none or if its
+    vector dominates that of the latest so far, so concurrent ones never replace each other. This depends
+    on the order and has no partial aggregate: ids and vectors alone stream past in order, one task for
+    each value of ``by`` (without it one task; snapshots are few beside the operations they stand for).
     """
+    key = F.col(by) if by else F.lit("")
+    rows = snapshots.select(key.cast("string").alias("of"), "created_at", "id", F.map_keys("vv").alias("replicas"), F.map_values("vv").alias("seqs"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, best, vv, seen = None, None, {}, False
+        done: list[str] = []
+        for b in batches:
+            for name, _, i, replicas, seqs in zip(*(c.to_pylist() for c in b.columns)):
+                new = dict(zip(replicas or (), seqs or ()))
+                if not seen or name != of:
+                    done += [best] if seen else []
+                    of, best, vv, seen = name, i, new, True
+                elif all(new.get(r, 0) >= n for r, n in vv.items()):
+                    best, vv = i, new
+        yield pa.RecordBatch.from_arrays([pa.array(done + ([best] if seen else []), pa.string())], ["id"])
+
+    placed = rows.repartition("of") if by else rows.coalesce(1)
+    ids = placed.sortWithinPartitions("of", "created_at", "id").mapInArrow(fold, "id string")
     total = F.aggregate(F.map_values("vv"), F.lit(0).cast("long"), lambda a, x: a + x)
-    return snapshots.withColumn("total_ops", total).orderBy(F.desc("total_ops"), F.desc("created_at"), F.desc("id")).limit(1)
+    return snapshots.dropDuplicates(["id"]).join(ids, "id", "left_semi").withColumn("total_ops", total)
 
 
 def retained(snapshots: DataFrame, keep: int = SNAPSHOT_KEEP) -> DataFrame:
     """At most ``keep`` snapshots per creator: the latest always, then the newest."""
-    total = F.aggregate(F.map_values("vv"), F.lit(0).cast("long"), lambda a, x: a + x)
-    w = Window.partitionBy("creator")
-    top = F.row_number().over(w.orderBy(F.desc("_total"), F.desc("created_at"), F.desc("id"))) == 1
-    ranked = snapshots.withColumn("_total", total).withColumn("_top", top)
-    ranked = ranked.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_top"), F.desc("created_at"), F.desc("id"))))
-    return ranked.where(F.col("_rank") <= keep).drop("_total", "_top", "_rank")
+    top = latest(snapshots, "creator").select("id", F.lit(True).alias("_top"))
+    ranked = snapshots.join(top, "id", "left").withColumn("_top", F.coalesce("_top", F.lit(False)))
+    w = Window.partitionBy("creator").orderBy(F.desc("_top"), F.desc("created_at"), F.desc("id"))
+    return ranked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= keep).select(*snapshots.columns)
 
 
 def snapshot_stats(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("state")), F.lit(0)).alias("bytes"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
-def should_snapshot(n_snapshots: int, ops_since: int, age: int, min_ops: int = SNAPSHOT_MIN_OPS, max_age: int = SNAPSHOT_MAX_AGE) -> bool:
-    return n_snapshots == 0 or ops_since >= min_ops or age >= max_age
+def should_snapshot(n_snapshots, ops_since, age, min_ops: int = SNAPSHOT_MIN_OPS, max_age: int = SNAPSHOT_MAX_AGE):
+    """Of numbers or of columns."""
+    return (n_snapshots == 0) | (ops_since >= min_ops) | (age >= max_age)
 
 
-def should_compact(auto: bool, ops_since: int, n_snapshots: int, latest_stable: bool, min_ops: int = COMPACT_MIN_OPS, min_snapshots: int = PRUNE_MIN_SNAPSHOTS) -> bool:
-    return auto and ops_since >= min_ops and n_snapshots >= min_snapshots and latest_stable
+def should_compact(auto, ops, n_snapshots, latest_stable, min_ops: int = COMPACT_MIN_OPS, min_snapshots: int = PRUNE_MIN_SNAPSHOTS):
+    """Of numbers or of columns."""
+    return auto & (ops >= min_ops) & (n_snapshots >= min_snapshots) & latest_stable
 
 
 def prunable(nodes: DataFrame, roots: DataFrame, now: int, *, min_age: int = PRUNE_MIN_AGE, max_nodes: int = PRUNE_MAX_NODES, preserve_depth: int = PRESERVE_DEPTH, pinned: DataFrame | None = None, genesis_path: bool = True) -> DataFrame:
@@ -199,27 +227,70 @@ def disconnected(live: DataFrame, pruned: DataFrame | None = None) -> DataFrame:
     return gone if pruned is None else gone.join(pruned.select("cid"), "cid", "left_anti")
 
 
-def compact(nodes: DataFrame, roots: DataFrame, now: int, **policy) -> tuple[DataFrame, DataFrame]:
-    """(nodes kept, cids pruned): a batch job that rewrites the node table."""
+def pruned_below(nodes: DataFrame, roots: DataFrame, now: int, **policy) -> tuple[DataFrame, DataFrame]:
+    """(nodes kept, cids pruned) of a batch job that rewrites the node table."""
     gone = materialize(prunable(nodes, roots, now, **policy).select("cid"), "pruned")
     return prune(nodes, gone), gone
 
 
+@dataclass
+class Compaction:
+    """What a compaction did: nodes and snapshots as they are now, the id of a snapshot it made, the cids it pruned (none: None)."""
+
+    nodes: DataFrame
+    snapshots: DataFrame
+    snapshot_created: str | None
+    pruned: DataFrame | None
+
+    @property
+    def nodes_pruned(self) -> int:
+        return self.pruned.count() if self.pruned is not None else 0
+
+
+def _vector(frontiers: DataFrame, holder: str) -> dict[str, int]:
+    """A holder's own vector: an entry per replica."""
+    return {r["replica"]: r["seq"] for r in frontiers.where(F.col("holder") == holder).groupBy("replica").agg(F.max("seq").alias("seq")).where("seq > 0").collect()}
+
+
+def compact(nodes: DataFrame, snapshots: DataFrame, frontiers: DataFrame, local: str, state: bytes, now: int, *, min_ops: int = SNAPSHOT_MIN_OPS, max_age: int = SNAPSHOT_MAX_AGE, verify: bool = True, **policy) -> Compaction:
+    """Snapshot if due, prune below the latest one if it is stable, verify that no ancestor is lost but the pruned ones.
+
+    frontiers: holder, replica, seq; the local holder's entries are its own vector. A new snapshot
+    carries that vector and state and supersedes the heads. policy: of prunable(), and require_stable.
+    """
+    vv, created = _vector(frontiers, local), None
+    newest = latest(snapshots).select("total_ops", "created_at").first()
+    if newest is None or should_snapshot(1, sum(vv.values()) - newest["total_ops"], now - newest["created_at"], min_ops, max_age):
+        heads = dag.heads(nodes).agg(F.array_sort(F.collect_list("cid")).alias("superseded_roots"))
+        own = F.map_from_entries(F.array(*[F.struct(F.lit(r), F.lit(n).cast("long")) for r, n in sorted(vv.items())])) if vv else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+        new = materialize(make_snapshots(heads.select(own.alias("vv"), "superseded_roots", F.lit(state).alias("state"), F.lit(now).cast("long").alias("created_at"), F.lit(local).alias("creator"))), "snapshot")
+        created, snapshots = new.first()["id"], snapshots.unionByName(new.select(*snapshots.columns))
+    last = materialize(latest(snapshots), "latest")
+    wanted = last.select(F.explode("vv").alias("replica", "seq"))
+    require = policy.pop("require_stable", True)
+    pruned = None
+    if should_prune(nodes, is_stable(frontiers, wanted).first()["stable"], require, policy.get("preserve_depth", PRESERVE_DEPTH)):
+        nodes, pruned = pruned_below(nodes, last.select(F.explode("superseded_roots").alias("cid")), now, **policy)
+    if verify and not disconnected(nodes, pruned).isEmpty():
+        raise ValueError("nodes are missing below the heads that no compaction pruned")
+    return Compaction(nodes, snapshots, created, pruned)
+
+
 def bootstrap(snapshot_vv: DataFrame, log: DataFrame) -> DataFrame:
     """Operations to replay on a snapshot: those (replica, seq) beyond its vector."""
     have = snapshot_vv.select("replica", F.col("seq").alias("have"))
     return log.join(have, "replica", "left").where(F.col("seq") > F.coalesce("have", F.lit(0))).drop("have")
 
 
-def tick(nodes: DataFrame, snapshots: DataFrame, frontiers: DataFrame, updates: DataFrame, now: int, *, ops_since: int, auto: bool = True, **policy) -> tuple[DataFrame, DataFrame] | None:
-    """A scheduled run: drops stale peers, and compacts below the latest snapshot's roots if that is due and stable.
+def tick(nodes: DataFrame, snapshots: DataFrame, frontiers: DataFrame, updates: DataFrame, local: str, state: bytes, now: int, *, auto: bool = True, compact_ops: int = COMPACT_MIN_OPS, min_snapshots: int = PRUNE_MIN_SNAPSHOTS, **policy) -> Compaction | None:
+    """A scheduled run at time now: drops stale peers, then compacts if that is due; None when it is not.
 
-    (nodes kept, cids pruned), or None when nothing is due.
+    Due: the local holder has compact_ops operations, there are min_snapshots snapshots, and the latest
+    is stable among the peers that are left.
     """
     fresh = drop_peers(frontiers, stale_peers(updates, now))
-    newest = latest(snapshots)
-    wanted = newest.select(F.explode("vv").alias("replica", "seq"))
-    stable = is_stable(fresh, wanted).first()["stable"]
-    if not should_compact(auto, ops_since, snapshots.limit(PRUNE_MIN_SNAPSHOTS).count(), stable):
+    last = latest(snapshots).select(F.explode("vv").alias("replica", "seq"))
+    stable = snapshots.limit(1).count() > 0 and is_stable(fresh, last).first()["stable"]
+    if not should_compact(auto, sum(_vector(fresh, local).values()), snapshots.limit(min_snapshots).count(), stable, compact_ops, min_snapshots):
         return None
-    return compact(nodes, newest.select(F.explode("superseded_roots").alias("cid")), now, **policy)
+    return compact(nodes, snapshots, fresh, local, state, now, **policy)

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions.hashing import node_cid
+from tideweave.operators.sets import same_rows
 from tideweave.sources.shared import materialize
 
 GENESIS, DELTA, SNAPSHOT = 0, 1, 2
+#: Hops up to which ancestors are found without a round per hop.
+FEW_HOPS = 4
 
 
 def with_cid(nodes: DataFrame) -> DataFrame:
@@ -39,6 +42,22 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("cid").alias("child"), F.explode("parents").alias("parent")).distinct()
 
 
+def is_parent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (child, parent) with ``direct``: whether the one is a direct parent of the other."""
+    return pairs.join(edges(nodes).withColumn("direct", F.lit(True)), ["child", "parent"], "left").fillna(False, ["direct"])
+
+
+def n_parents(nodes: DataFrame) -> DataFrame:
+    """cid, n."""
+    return nodes.select("cid", F.size(F.array_distinct("parents")).alias("n"))
+
+
+def payload_kinds(nodes: DataFrame) -> DataFrame:
+    """cid, is_genesis, is_delta, is_snapshot; a genesis also has no parents."""
+    kind = F.col("payload_type")
+    return nodes.select("cid", ((kind == GENESIS) & (F.size("parents") == 0)).alias("is_genesis"), (kind == DELTA).alias("is_delta"), (kind == SNAPSHOT).alias("is_snapshot"))
+
+
 def children(nodes: DataFrame, cids: DataFrame) -> DataFrame:
     """parent, child of the wanted parents (cid)."""
     return edges(nodes).join(cids.select(F.col("cid").alias("parent")), "parent", "left_semi").select("parent", "child")
@@ -46,7 +65,7 @@ def children(nodes: DataFrame, cids: DataFrame) -> DataFrame:
 
 def heads(nodes: DataFrame) -> DataFrame:
     """Nodes that no node has as parent."""
-    return nodes.select("cid").distinct().join(edges(nodes).select(F.col("parent").alias("cid")), "cid", "left_anti").orderBy("cid")
+    return nodes.select("cid").distinct().join(nodes.select(F.explode("parents").alias("cid")), "cid", "left_anti")
 
 
 def missing(nodes: DataFrame) -> DataFrame:
@@ -59,9 +78,20 @@ def need(nodes: DataFrame, announced: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, include_self: bool = False) -> DataFrame:
-    """start, cid, depth: nodes reachable over parents, absent ones included; depth is the least. start: cid."""
-    up = materialize(edges(nodes), "edges")
+    """start, cid, depth: nodes reachable over parents, absent ones included; depth is the least. start: cid.
+
+    A few hops are one plan of equi joins with one aggregate at its end; a closure runs a round per level.
+    """
     frontier = start.select(F.col("cid").alias("start"), "cid").distinct()
+    if max_depth is not None and max_depth <= FEW_HOPS:
+        up = nodes.select("cid", F.explode("parents").alias("parent"))
+        found = frontier.withColumn("depth", F.lit(0))
+        for depth in range(1, max_depth + 1):
+            frontier = frontier.join(up, "cid").select("start", F.col("parent").alias("cid"))
+            found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        least = found.groupBy("start", "cid").agg(F.min("depth").alias("depth"))
+        return least if include_self else least.where("depth > 0")
+    up = materialize(edges(nodes), "edges")
     found = frontier.withColumn("depth", F.lit(0))
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -159,29 +189,52 @@ def handle_request(nodes: DataFrame, want: DataFrame, have: DataFrame, limit: in
     return placed.join(F.broadcast(first), "cid", "left").fillna(False, ["sent"])
 
 
+def sync_from(nodes: DataFrame, peer: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(nodes, new): one exchange with a peer. It is told what is lacking of its heads and which heads are here,
+    answers with at most ``limit`` nodes in topological order, and these are stored after a check."""
+    answer = handle_request(peer, need(nodes, heads(peer)), heads(nodes), limit).where("sent").select(*nodes.columns)
+    new = materialize(put(nodes, answer).select(*nodes.columns), "received")
+    return nodes.unionByName(new), new
+
+
 def is_synced(nodes: DataFrame, peer_heads: DataFrame) -> DataFrame:
     """One row: all of the peer's heads are there and nothing is missing."""
     return need(nodes, peer_heads).unionAll(missing(nodes)).agg((F.count(F.lit(1)) == 0).alias("synced"))
 
 
-def sync_all(replicas: DataFrame) -> DataFrame:
-    """Full exchange between replicas in one step: every replica gets every node. replicas: replica and node columns."""
+def sync_all(replicas: DataFrame, most: int = 10_000) -> DataFrame:
+    """Full exchange between replicas in one step: every replica gets every node. replicas: replica and node columns.
+
+    The result is replicas times nodes rows by definition; the names of at most ``most`` replicas are
+    laid beside the nodes as one array.
+    """
     every = replicas.drop("replica").dropDuplicates(["cid"])
-    return replicas.select("replica").distinct().hint("broadcast").join(every)
+    names = [r[0] for r in replicas.select("replica").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} replicas")
+    return every.withColumn("replica", F.explode(F.lit(sorted(names)))).select(*replicas.columns)
+
+
+def seeded(spark: SparkSession, names: list[str], creator: str) -> DataFrame:
+    """Replicas (replica and node columns) that all hold one genesis."""
+    return genesis(spark, creator).withColumn("replica", F.explode(F.lit(names))).select("replica", "cid", "parents", "payload_type", "payload", "timestamp", "creator")
+
+
+def n_replicas(replicas: DataFrame) -> DataFrame:
+    return replicas.agg(F.countDistinct("replica").alias("n"))
 
 
 def converged(replicas: DataFrame) -> DataFrame:
-    """One row: all replicas have the same heads."""
-    up = replicas.select("replica", F.explode("parents").alias("cid")).distinct()
+    """One row: all replicas have the same heads, as far as their number and two sums of hashes tell."""
+    up = replicas.select("replica", F.explode("parents").alias("cid"))
     own = replicas.select("replica", "cid").distinct().join(up, ["replica", "cid"], "left_anti")
-    sets = own.groupBy("replica").agg(F.array_sort(F.collect_set("cid")).alias("heads"))
-    return sets.agg((F.countDistinct("heads") <= 1).alias("converged"))
+    return same_rows(own, "replica", "cid")
 
 
 def first_parent_path(nodes: DataFrame) -> DataFrame:
     """The chain of first parents from the least head: cid, depth."""
     chain = nodes.select("cid", F.get("parents", F.lit(0)).alias("parent"))
-    at = heads(nodes).limit(1)
+    at = heads(nodes).agg(F.min("cid").alias("cid")).where("cid is not null")
     path, depth = at.withColumn("depth", F.lit(0)), 0
     while True:
         depth += 1

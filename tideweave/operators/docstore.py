@@ -37,6 +37,10 @@ def document_ids(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").orderBy("doc_id")
 
 
+def count(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n"))
+
+
 def get(docs: DataFrame, doc_id: str) -> DataFrame:
     return docs.where(F.col("doc_id") == doc_id)
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,34 +115,43 @@ def to_json(won: DataFrame, items: DataFrame | None = None) -> DataFrame:
     if items is not None:
         rows = rows.unionByName(items.select("doc_id", F.col("array_id").alias("owner"), F.lit(None).cast("string").alias("key"), F.col("position").cast("int").alias("position"), *VALUE))
 
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        objects: dict[str, dict] = {}
-        arrays: dict[str, list] = {}
-        for r in pdf.itertuples(index=False):
-            if r.key is None:
-                arrays.setdefault(r.owner, []).append((r.position, r))
-            else:
-                objects.setdefault(r.owner, {})[r.key] = r
-
-        def value(r, path: tuple):
-            if r.kind == "Object":
-                return None if r.ref in path else obj(r.ref, (*path, r.ref))
-            if r.kind == "Array":
-                return [] if r.ref in path else [value(x, (*path, r.ref)) for _, x in sorted(arrays.get(r.ref, []), key=lambda p: p[0])]
-            if r.kind == "Bool":
-                return bool(r.b)
-            if r.kind == "Int":
-                return int(r.i)
-            if r.kind == "Float":
-                return float(r.f) if math.isfinite(r.f) else None
-            return r.s if r.kind == "String" else None
-
-        def obj(name: str, path: tuple) -> dict:
-            return {k: value(r, path) for k, r in sorted(objects.get(name, {}).items()) if r.kind != "Null"}
-
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "json": [json.dumps(obj(ROOT, (ROOT,)), ensure_ascii=False, separators=(",", ":"))]})
-
-    return rows.groupBy("doc_id").applyInPandas(assemble, "doc_id string, json string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, objects, arrays = None, {}, {}
+        for b in batches:
+            done: list[tuple[str, str]] = []
+            for doc, owner, key, position, *value in zip(*(b.column(c).to_pylist() for c in ("doc_id", "owner", "key", "position", *VALUE))):
+                if doc != name:
+                    if name is not None:
+                        done.append((name, _assembled(objects, arrays)))
+                    name, objects, arrays = doc, {}, {}
+                if key is None:
+                    arrays.setdefault(owner, []).append((position, value))
+                else:
+                    objects.setdefault(owner, {})[key] = value
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(2)], ["doc_id", "json"])
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([_assembled(objects, arrays)])], ["doc_id", "json"])
+
+    return rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id string, json string")
+
+
+def _assembled(objects: dict[str, dict], arrays: dict[str, list]) -> str:
+    """One document as JSON. A container inside itself is null or empty."""
+
+    def value(v: list, path: frozenset):
+        kind, b, i, f, s, ref = v
+        if kind == "Object":
+            return None if ref in path else obj(ref, path | {ref})
+        if kind == "Array":
+            return [] if ref in path else [value(x, path | {ref}) for _, x in sorted(arrays.get(ref, []), key=lambda p: p[0])]
+        if kind == "Float":
+            return f if f is not None and math.isfinite(f) else None
+        return {"Bool": b, "Int": i, "String": s}.get(kind)
+
+    def obj(name: str, path: frozenset) -> dict:
+        return {k: value(v, path) for k, v in sorted(objects.get(name, {}).items()) if v[0] != "Null"}
+
+    return json.dumps(obj(ROOT, frozenset((ROOT,))), ensure_ascii=False, separators=(",", ":"))
 
 
 def array_key(doc_id: Column, array_id: Column) -> Column:
@@ -166,6 +176,13 @@ def array_lengths(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.count_if(~F.col("deleted")).alias("n"))
 
 
+def checked_index(shown: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits of array elements (doc_id as array_key names it, position) with ``error``: IndexOutOfBounds or null."""
+    size = shown.groupBy("doc_id").agg((F.max("position") + 1).alias("_size"))
+    out = (F.col("position") < 0) | (F.col("position") >= F.coalesce("_size", F.lit(0)))
+    return edits.join(size, "doc_id", "left").withColumn("error", F.when(out, "IndexOutOfBounds")).drop("_size")
+
+
 def counter_totals(won: DataFrame) -> DataFrame:
     """Counters kept in documents as root.counters.<name>.<replica>.{inc, dec}: doc_id, counter, replica, inc, dec."""
     ref = lambda df, owner, name: df.where("kind = 'Object'").select("doc_id", F.col("object_id").alias(owner), F.col("key").alias(name), "ref")

@@ -73,6 +73,17 @@ def document_events(opens: DataFrame) -> DataFrame:
     return opens.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("event", F.lit("DocumentOpened"))
 
 
+def document_changes(log: DataFrame) -> DataFrame:
+    """session_id, doc_id, arrival, event: DocumentOpened and DocumentClosed where a log (kind open or close) changes what is open.
+
+    Opening an open document and closing one that is not open give no event.
+    """
+    w = Window.partitionBy("session_id", "doc_id").orderBy("arrival")
+    before = F.coalesce(F.lag("kind").over(w), F.lit("close"))
+    event = F.when(F.col("kind") == "open", "DocumentOpened").otherwise("DocumentClosed")
+    return log.withColumn("_before", before).where("kind <> _before").select("session_id", "doc_id", "arrival", event.alias("event"))
+
+
 def open_documents(events: DataFrame) -> DataFrame:
     """session_id, doc_id whose last event (kind open or close) is an opening."""
     last = events.groupBy("session_id", "doc_id").agg(F.max_by("kind", "arrival").alias("kind"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideweave.functions.hashing import message_id
 from tideweave.functions.scalars import lcg_next, lcg_uniform
-from tideweave.operators.sets import union_all
+from tideweave.operators.sets import same_rows, union_all
 from tideweave.sources.shared import materialize
 
 BUFFER, FANOUT, TTL, SEEN = 100, 3, 6, 1000
@@ -87,15 +87,19 @@ def interval_acks(applied: DataFrame) -> DataFrame:
     return applied.where("applied").groupBy("from_replica", "to_replica").agg(F.max("to_seq").alias("acked"))
 
 
+def buffered_intervals(applied: DataFrame) -> DataFrame:
+    """to_replica, from_replica, n: intervals that wait for a gap to be filled."""
+    return applied.where("not applied").groupBy("to_replica", "from_replica").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pending_intervals(applied: DataFrame) -> DataFrame:
-    return applied.where("not applied").groupBy("to_replica").agg(F.count(F.lit(1)).alias("n"))
+    """to_replica, n: how many intervals of any sender wait there."""
+    return buffered_intervals(applied).groupBy("to_replica").agg(F.sum("n").alias("n"))
 
 
 def converged(states: DataFrame, *content: str) -> DataFrame:
     """One row: whether all holders have the same rows. states: holder and content columns."""
-    rows = F.array_sort(F.collect_list(F.to_json(F.struct(*content))))
-    digests = states.groupBy("holder").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("digest"))
-    return digests.agg((F.countDistinct("digest") <= 1).alias("converged"))
+    return same_rows(states, "holder", *content)
 
 
 def link(messages: DataFrame, loss: float = 0.0, dup: float = 0.0, reorder: float = 0.0, seed: int = 12345) -> DataFrame:
@@ -118,6 +122,16 @@ def delivered(sent: DataFrame) -> DataFrame:
     return sent.where("not lost").orderBy("deliver_at")
 
 
+def next_delivery(sent: DataFrame, link_: str) -> DataFrame:
+    """The head of each link's queue (a column): the message to be delivered first, of equal ones the lesser number."""
+    return sent.where("not lost").groupBy(link_).agg(F.min(F.struct("deliver_at", "n", "copy")).alias("head")).select(link_, "head.*")
+
+
+def cleared(log: DataFrame, acks: DataFrame) -> DataFrame:
+    """Peers' buffers (replica, peer, seq, ...) without those of the peers that acknowledge anything, whatever number they give."""
+    return log.join(acks.select("replica", "peer").distinct(), ["replica", "peer"], "left_anti")
+
+
 def retransmitted(sent: DataFrame) -> DataFrame:
     """What was lost, to be sent again."""
     return sent.where("lost and copy = 0")
@@ -128,6 +142,35 @@ def mesh(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(a, b) for a in names for b in names if a != b], "src string, dst string")
 
 
+def channel_pair(spark: SparkSession, a: str, b: str) -> DataFrame:
+    """src, dst of a channel between two replicas, in both directions."""
+    return mesh(spark, [a, b])
+
+
+def connections(log: DataFrame) -> DataFrame:
+    """src, dst of the peers that are connected after a log (src, dst, kind connect or disconnect, arrival); a channel goes with its peer."""
+    last = log.groupBy("src", "dst").agg(F.max_by("kind", "arrival").alias("kind"))
+    return last.where("kind = 'connect'").select("src", "dst")
+
+
+def peers(edges: DataFrame) -> DataFrame:
+    """src, peers: the connected peers of each replica by name."""
+    return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("peers"))
+
+
+def hello(edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, events) when replicas (src) come up: a Hello to each connected peer, and one Connected event of their own."""
+    messages = fanned_out(names.select("src").distinct().withColumn("kind", F.lit("Hello")), edges)
+    return messages.select("src", "dst", "kind"), names.select(F.col("src").alias("replica")).distinct().withColumn("event", F.lit("Connected"))
+
+
+def drain(events: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events not yet taken, the position after them): events have replica and arrival; taken is replica, arrival, its last position."""
+    upto = taken.select("replica", F.col("arrival").alias("_upto"))
+    new = events.join(upto, "replica", "left").where(F.col("arrival") > F.coalesce("_upto", F.lit(-1))).drop("_upto")
+    return new, union_all(taken.select("replica", "arrival"), new.select("replica", "arrival")).groupBy("replica").agg(F.max("arrival").alias("arrival"))
+
+
 def routed(messages: DataFrame, edges: DataFrame) -> DataFrame:
     """Point-to-point messages (src, dst) with ``error``: PeerNotFound where there is no edge."""
     known = edges.select("src", "dst", F.lit(True).alias("_ok"))

@@ -2,7 +2,8 @@
 
 id and origin are STRUCT<seq, replica>; the origin of the first element is the genesis (0, "").
 Order is the pre-order walk from the genesis with siblings by descending id. States merge with one
-aggregate per id. The walk is one grouped Arrow call per document, iterative and linear in its size.
+aggregate per id. The walk is one grouped Arrow call per document over arrays, which visits runs of
+typed characters at once.
 """
 
 from __future__ import annotations
@@ -46,25 +47,47 @@ def sibling_rank(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("sibling", F.row_number().over(w))
 
 
-def _walk(seq: list[int], replica: list[str], o_seq: list[int], o_replica: list[str]) -> np.ndarray:
-    """Place of each node in the pre-order walk; nodes that the genesis does not reach come to -1."""
+def _walk(seq: np.ndarray, replica: np.ndarray, o_seq: np.ndarray, o_replica: np.ndarray, genesis_replica: int) -> np.ndarray:
+    """Place of each node in the pre-order walk; nodes that the genesis does not reach come to -1. Replicas are numbers in order of their names.
+
+    In order of ids most nodes of a typed text are the first child of the node before them. Such runs
+    are contiguous in the walk, so only runs are walked one by one.
+    """
     n = len(seq)
-    at = {k: i for i, k in enumerate(zip(seq, replica))}
-    children: dict[int, list[int]] = {}
-    for i, k in enumerate(zip(o_seq, o_replica)):
-        parent = at.get(k, -1 if k == (0, "") else -2)
-        if parent != -2:
-            children.setdefault(parent, []).append(i)
-    place, count = np.full(n, -1, np.int64), 0
-    for c in children.values():
-        c.sort(key=lambda i: (seq[i], replica[i]))  # the greatest is popped first
-    stack = list(children.get(-1, ()))
+    order = np.lexsort((replica, seq))
+    seq, replica, o_seq, o_replica = seq[order], replica[order], o_seq[order], o_replica[order]
+    # position of each origin among the ids, by ranks of equal (seq, replica) pairs
+    pairs = np.stack([np.concatenate([seq, o_seq]), np.concatenate([replica, o_replica])])
+    both = np.lexsort((pairs[1], pairs[0]))
+    fresh = np.append(True, (np.diff(pairs[:, both], axis=1) != 0).any(0)) if n else np.zeros(0, bool)
+    rank = np.empty(2 * n, np.int64)
+    rank[both] = np.cumsum(fresh) - 1
+    at = np.full(2 * n + 1, -2)
+    at[rank[:n]] = np.arange(n)
+    parent = at[rank[n:]]
+    parent[(parent == -2) & (o_seq == 0) & (o_replica == genesis_replica)] = -1
+    last = np.full(n + 2, -1)
+    np.maximum.at(last, parent, np.arange(n))  # the greatest child is visited first
+    here = np.arange(n)
+    run = (parent == here - 1) & (here > 0) & (last[np.maximum(here - 1, 0)] == here)
+    start = np.flatnonzero(~run)
+    end = np.append(start[1:], n)
+    heads = start[parent[start] >= 0]
+    heads = heads[np.argsort(parent[heads], kind="stable")]
+    above = parent[heads]
+    stack, parts = start[parent[start] == -1].tolist(), []
     while stack:
-        i = stack.pop()
-        place[i] = count
-        count += 1
-        stack += children.get(i, ())
-    return place
+        s = stack.pop()
+        e = int(end[np.searchsorted(start, s)])
+        parts.append((s, e))
+        stack += heads[np.searchsorted(above, s) : np.searchsorted(above, e)].tolist()  # the last one is next: deepest parent, greatest id
+    place, count = np.full(n, -1, np.int64), 0
+    for s, e in parts:
+        place[s:e] = np.arange(count, count + e - s)
+        count += e - s
+    out = np.empty(n, np.int64)
+    out[order] = place
+    return out
 
 
 def ordered(nodes: DataFrame) -> DataFrame:
@@ -72,8 +95,13 @@ def ordered(nodes: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        field = lambda c, f: pc.struct_field(t.column(c), f).to_pylist()
-        place = _walk(field("id", "seq"), field("id", "replica"), field("origin", "seq"), field("origin", "replica"))
+        field = lambda c, f: pc.struct_field(t.column(c), f).combine_chunks()
+        names = pa.concat_arrays([field("id", "replica"), field("origin", "replica").fill_null("")]).dictionary_encode()
+        known = names.dictionary.to_pylist()
+        number = {name: i for i, name in enumerate(sorted({*known, ""}))}
+        code = np.array([number[x] for x in known] or [0], np.int64)[names.indices.to_numpy(zero_copy_only=False)]
+        n = t.num_rows
+        place = _walk(field("id", "seq").to_numpy(zero_copy_only=False), code[:n], field("origin", "seq").fill_null(-1).to_numpy(zero_copy_only=False), code[n:], number[""])
         return t.append_column("place", pa.array(place)).filter(pa.array(place >= 0))
 
     rows = nodes.select(*NODE).where("id is not null")

@@ -60,6 +60,16 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return rest.select(F.when((F.col("a") == 0) & (F.col("b") == 0), "Equal").when(F.col("a") == 0, "Less").when(F.col("b") == 0, "Greater").otherwise("None").alias("ordering"))
 
 
+def same_rows(states: DataFrame, holder: str, *content: str) -> DataFrame:
+    """One row: whether all holders have the same rows, told by their number and two commutative sums of 64-bit hashes.
+
+    Partial sums are added up per holder, so no holder's rows are gathered in one place.
+    """
+    h = lambda seed: F.xxhash64(F.lit(seed), *content)
+    digests = states.groupBy(holder).agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(h(1).cast("decimal(38,0)")).alias("sum"), F.bit_xor(h(2)).alias("xor")).alias("digest"))
+    return digests.agg((F.countDistinct("digest") <= 1).alias("converged"))
+
+
 def orset_from_ops(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(added tags, removed tags) of a set_ops log."""
     added = ops.where("kind = 'add'").select("set_id", "element", *TAG).distinct()

@@ -8,6 +8,7 @@ from tideweave.functions import paths, scalars
 from tideweave.operators import docstore, jsondoc, presence, relay, richtext, sequence, undo
 from tideweave.plans.sql import EV
 from tideweave.sources import logs
+from tideweave.sources.shared import materialize
 
 
 def _store(spark, d):
@@ -52,11 +53,15 @@ def docstore_pending(spark, d):
 
 
 def _chars(spark, d):
-    """Whole texts of benchmark as typed characters, every seventh deleted."""
-    b = logs.table(spark, d, "benchmark")
-    nodes = sequence.typed_nodes(b, "item_id", F.coalesce("text", F.lit("")))
+    """Whole texts of documents as typed characters, every seventh deleted."""
+    nodes = sequence.typed_nodes(logs.table(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")))
     gone = nodes.where("id.seq % 7 = 0").select("doc_id", "id", "origin", F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"))
-    return sequence.join(nodes, gone, nodes)
+    return sequence.join(nodes, gone)
+
+
+def _shown(spark, d):
+    """Their visible characters, walked once for all that reads them."""
+    return materialize(sequence.visible(_chars(spark, d)), "shown")
 
 
 def text_render(spark, d):
@@ -68,32 +73,32 @@ def text_length(spark, d):
 
 
 def text_slice(spark, d):
-    return sequence.text_slice(sequence.visible(_chars(spark, d)), 10, 30)
+    return sequence.text_slice(sequence.visible(_chars(spark, d)), 100, 5000)
 
 
 def text_char_at(spark, d):
     shown = sequence.visible(_chars(spark, d))
-    probes = logs.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), (F.col("item_id") % 20).cast("int").alias("position"))
+    probes = logs.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") * 37 % 3000).cast("int").alias("position"))
     return sequence.at(shown, probes).select("doc_id", "position", "value")
 
 
 def text_positions(spark, d):
-    shown = sequence.visible(_chars(spark, d))
-    return sequence.position_of(shown, shown.where("id.seq % 5 = 0").select("doc_id", "id")).select("doc_id", F.col("id.seq").alias("seq"), "position")
+    """Where each visible character stands, as sums over the document."""
+    shown = _shown(spark, d)
+    found = sequence.position_of(shown, shown.select("doc_id", "id"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("position") * (F.col("id.seq") % 1009)).alias("weighted"))
 
 
 def text_splice(spark, d):
     """Five characters from position 3 give way to "XYZ", by another replica."""
-    nodes = _chars(spark, d)
-    shown = sequence.visible(nodes)
+    nodes, shown = _chars(spark, d), _shown(spark, d)
     edits = shown.select("doc_id").distinct().select("doc_id", F.lit(3).alias("start"), F.lit(5).alias("length"), F.lit("XYZ").alias("text"))
     return sequence.render(sequence.visible(sequence.apply_ops(nodes, sequence.splice(shown, nodes, edits, "r1"))))
 
 
 def list_move(spark, d):
     """The element at 4 moves to 1."""
-    nodes = _chars(spark, d)
-    shown = sequence.visible(nodes)
+    nodes, shown = _chars(spark, d), _shown(spark, d)
     moves = shown.select("doc_id").distinct().select("doc_id", F.lit(4).alias("src"), F.lit(1).alias("dst"))
     after = sequence.visible(sequence.apply_ops(nodes, sequence.move(shown, nodes, moves, "r1")))
     return sequence.to_list(after).select("doc_id", F.array_join("items", "").alias("text"))
@@ -103,15 +108,20 @@ _KINDS = ("Bold", "Italic", "Code", "Link")
 
 
 def _spans(spark, d):
-    """Four marks per document over visible positions."""
-    shown = sequence.visible(_chars(spark, d))
-    docs = shown.select("doc_id").distinct().withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
+    """Four marks per document, two fifths of its length each, spread over all of it."""
+    shown = _shown(spark, d)
+    docs = _sized(shown).withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
+    part = lambda k: F.floor(F.col("size") * k / 5).cast("int")
     edits = docs.select(
-        "doc_id", F.concat(F.lit("m"), F.col("i").cast("string")).alias("mark_id"), (F.col("i") * 6).alias("start"), (F.col("i") * 8 + 10).alias("end"),
+        "doc_id", F.concat(F.lit("m"), F.col("i").cast("string")).alias("mark_id"), part(F.col("i")).alias("start"), part(F.col("i") + 2).alias("end"),
         F.element_at(F.array(*map(F.lit, _KINDS)), F.col("i") + 1).alias("mark_kind"), F.when(F.col("i") == 3, "u").alias("a1"), F.lit(None).cast("string").alias("a2"),
     )
     marks = richtext.marks_from_ops(richtext.add_marks(shown, edits))
-    return richtext.ranges(marks, shown), shown, marks
+    return materialize(richtext.ranges(marks, shown), "spans"), shown, marks
+
+
+def _sized(shown):
+    return shown.groupBy("doc_id").agg(F.count(F.lit(1)).alias("size"))
 
 
 def richtext_ranges(spark, d):
@@ -119,19 +129,30 @@ def richtext_ranges(spark, d):
 
 
 def richtext_marks_at(spark, d):
+    """The marks at every position, as sums over the document and mark."""
+    spans, shown, _ = _spans(spark, d)
+    hit = richtext.marks_at(spans, shown.select("doc_id", "position"))
+    return hit.groupBy("doc_id", "mark_id").agg(F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions"))
+
+
+def richtext_has_mark(spark, d):
+    """Of two marks asked for at every hundredth position those that stand there, as counts."""
     spans, shown, _ = _spans(spark, d)
-    return richtext.marks_at(spans, shown.select("doc_id", "position")).select("doc_id", "position", "mark_id")
+    null = F.lit(None).cast("string")
+    at = shown.where("position % 100 = 0").select("doc_id", "position")
+    asked = at.select("*", F.lit("Bold").alias("mark_kind"), null.alias("a1"), null.alias("a2")).unionByName(at.select("*", F.lit("Link").alias("mark_kind"), F.lit("u").alias("a1"), null.alias("a2"))).unionByName(at.select("*", F.lit("Link").alias("mark_kind"), F.lit("other").alias("a1"), null.alias("a2")))
+    return richtext.has_mark(spans, asked).groupBy("doc_id", "mark_kind", "a1").agg(F.count(F.lit(1)).alias("n"))
 
 
 def richtext_overlap(spark, d):
     spans, shown, _ = _spans(spark, d)
-    probes = shown.select("doc_id").distinct().select("doc_id", F.lit(12).alias("from_pos"), F.lit(18).alias("to_pos"))
+    probes = _sized(shown).select("doc_id", F.floor(F.col("size") / 3).cast("int").alias("from_pos"), F.floor(F.col("size") / 2).cast("int").alias("to_pos"))
     return richtext.overlapping(spans, probes).select("doc_id", "mark_id")
 
 
 def richtext_remove(spark, d):
     spans, shown, marks = _spans(spark, d)
-    probes = shown.select("doc_id").distinct().select("doc_id", F.lit(0).alias("from_pos"), F.lit(9).alias("to_pos"), F.lit("Italic").alias("p_kind"), F.lit(None).cast("string").alias("p_a1"), F.lit(None).cast("string").alias("p_a2"))
+    probes = _sized(shown).select("doc_id", F.lit(0).alias("from_pos"), F.floor(F.col("size") / 4).cast("int").alias("to_pos"), F.lit("Italic").alias("p_kind"), F.lit(None).cast("string").alias("p_a1"), F.lit(None).cast("string").alias("p_a2"))
     gone = richtext.remove_in_range(marks, spans, probes)
     gone = gone.withColumn("deleted", F.lit(True)).drop("kind")
     return richtext.active(richtext.join_marks(marks, gone.select(*marks.columns))).select("doc_id", "mark_id")
@@ -246,7 +267,7 @@ def relay_room_users(spark, d):
 
 
 def relay_fanout(spark, d):
-    return relay.fan_out(logs.relay_messages(spark, d)).select("arrival", "doc_id", "sender", "receiver")
+    return relay.fan_out(logs.relay_messages(spark, d)).select("arrival", "doc_id", "sender", "receiver", F.sha2("state", 256).alias("digest"))
 
 
 def relay_notices(spark, d):
@@ -257,7 +278,7 @@ def relay_json(spark, d):
     """Messages written as JSON lines, with some broken ones, and parsed again."""
     m = logs.relay_messages(spark, d)
     lines = m.select("arrival", F.when(F.col("arrival") % 10 == 9, "{broken").otherwise(F.to_json(F.struct(*[c for c in m.columns if c != "arrival"]))).alias("value"))
-    return relay.parse(lines).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return relay.parse(lines).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("state")).alias("chars"))
 
 
 def _undo_ops(spark, d):
@@ -271,12 +292,13 @@ def _undo_ops(spark, d):
 
 
 def undo_effective_ops(spark, d):
+    """Histories of fifty operations, so that the oldest are forgotten."""
     ops = _undo_ops(spark, d)
-    return undo.effective(ops, undo.replay(ops))
+    return undo.effective(ops, undo.replay(ops, 50))
 
 
 def undo_stacks(spark, d):
-    return undo.stacks(_undo_ops(spark, d))
+    return undo.stacks(_undo_ops(spark, d), 50)
 
 
 def undo_trimmed(spark, d):
@@ -317,21 +339,35 @@ def approx_users(spark, d):
 _STORE = """WITH docs AS (SELECT doc_id AS n, 'd' || lpad(doc_id::VARCHAR, 9, '0') AS doc_id, ['Text', 'RichText', 'Json'][1 + doc_id % 3] AS doc_type, source || '/' || (doc_id % 97) AS title, doc_id * 10 AS created_at FROM documents),
 q AS (SELECT 'd' || lpad(doc_id::VARCHAR, 9, '0') AS doc_id, max(quality)::VARCHAR AS quality FROM labels GROUP BY 1),
 store AS (SELECT d.doc_id, title, doc_type, created_at, created_at + CASE WHEN q.doc_id IS NULL THEN 0 ELSE 5 END AS modified_at, quality FROM docs d LEFT JOIN q USING (doc_id) WHERE n % 13 <> 0)"""
-_TEXT = """WITH t AS (SELECT item_id, item_id::VARCHAR AS doc_id, list_filter(string_split(coalesce(text, ''), ''), lambda c, i: i % 7 <> 0) AS cs FROM benchmark),
-c AS (SELECT item_id, doc_id, unnest(cs) AS value, generate_subscripts(cs, 1) - 1 AS position, len(cs) AS size FROM t)"""
-_MARKS = f"""{_TEXT}, m AS (SELECT doc_id, cs, 'm' || i AS mark_id, ['Bold', 'Italic', 'Code', 'Link'][i + 1] AS mark_kind, least(i * 6, len(cs)) AS s, least(i * 8 + 10, len(cs)) AS e FROM t, range(4) r(i) WHERE least(i * 6, len(cs)) < least(i * 8 + 10, len(cs)))"""
+_TEXT = """WITH t AS (SELECT doc_id AS num, doc_id::VARCHAR AS doc_id, list_filter(string_split(coalesce(text, ''), ''), lambda c, i: i % 7 <> 0) AS cs FROM documents WHERE text <> ''),
+c AS (SELECT num, doc_id, unnest(cs) AS value, generate_subscripts(cs, 1) - 1 AS position, len(cs) AS size FROM t)"""
+_MARKS = f"""{_TEXT}, m AS (SELECT doc_id, len(cs) AS size, 'm' || i AS mark_id, ['Bold', 'Italic', 'Code', 'Link'][i + 1] AS mark_kind, len(cs) * i // 5 AS s, len(cs) * (i + 2) // 5 AS e FROM t, range(4) r(i) WHERE len(cs) * i // 5 < len(cs) * (i + 2) // 5)"""
 _JSON = f"""WITH {EV}, w AS (SELECT 'j' || (user_id % 50) AS doc_id, 'a' || (k % 5) AS a, 'b' || (k % 3) AS b, max(event_id) AS i FROM ev WHERE event_type <> 'error' GROUP BY 1, 2, 3)"""
 _PRES = f"""WITH {EV}, p AS (SELECT 'u' || user_id AS user_id, event_id AS clock, ts_ms, CASE event_type WHEN 'error' THEN 'Offline' WHEN 'click' THEN 'Typing' ELSE 'Online' END AS status, 'doc' || (k % 20) AS doc_id, k::INT AS position,
   CASE WHEN event_type = 'view' THEN (k + 5)::INT END AS anchor FROM ev), now AS (SELECT max(ts_ms) AS t FROM ev),
 cur AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY clock DESC) = 1)"""
 _ROOM = """WITH rooms AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
 mem AS (SELECT conv_id, 'room' || conv_id AS doc_id, 'u' || j AS user_id, 'name' || j AS user_name, conv_id * 1000 + j AS joined, CASE WHEN j = 3 AND conv_id % 2 = 0 THEN conv_id * 1000 + 503 END AS lft FROM rooms, range(4) t(j)),
-sent AS (SELECT conv_id, conv_id * 1000 + 500 + turn AS arrival, 'u' || (turn % 4) AS sender FROM conversations WHERE conv_id IS NOT NULL)"""
+sent AS (SELECT conv_id, conv_id * 1000 + 500 + turn AS arrival, 'u' || (turn % 4) AS sender, text FROM conversations WHERE conv_id IS NOT NULL)"""
+#: The stack machine, one action of every history a round: h is the history (clock, group, undone), un and re the stacks, em what the action emits.
+_UNDO = f"""WITH RECURSIVE {EV}, o AS (SELECT 'u' || user_id AS doc_id, event_id AS clock, CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'record' END AS action,
+  CASE WHEN k % 4 = 0 THEN 'g' || (event_id // 400) END AS grp, CASE WHEN k % 3 = 0 THEN 'delete' ELSE 'insert' END AS op_kind, k::INT AS position,
+  CASE WHEN k % 3 = 0 THEN 'x' END AS deleted, CASE WHEN k % 3 <> 0 THEN 'y' END AS inserted, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM ev),
+st AS (SELECT doc_id, 0::BIGINT AS i, NULL::BIGINT AS step, NULL::VARCHAR AS action, []::STRUCT(c BIGINT, g VARCHAR, u BOOLEAN)[] AS h, []::BIGINT[] AS un, []::BIGINT[] AS re, []::BIGINT[] AS em FROM (SELECT DISTINCT doc_id FROM o)
+  UNION ALL
+  SELECT doc_id, i, clock, action, h2, CASE WHEN action = 'record' THEN list_filter(un || [clock], lambda y: y >= h2[1].c) WHEN top IS NULL THEN un WHEN action = 'redo' THEN un || [top]
+    ELSE list_filter(un[:-2], lambda y: tg IS NULL OR NOT list_contains(members, y)) END,
+    CASE WHEN action = 'record' THEN [] WHEN top IS NULL THEN re WHEN action = 'undo' THEN re || [top] ELSE re[:-2] END, em
+  FROM (SELECT *, CASE WHEN action = 'record' THEN (h || [{{'c': clock, 'g': grp, 'u': false}}])[-50:] ELSE list_transform(h, lambda x: {{'c': x.c, 'g': x.g, 'u': CASE WHEN list_contains(em, x.c) THEN action = 'undo' ELSE x.u END}}) END AS h2
+    FROM (SELECT *, CASE WHEN top IS NULL THEN [] WHEN tg IS NULL THEN [top] WHEN action = 'undo' THEN list_transform(list_filter(h, lambda x: x.g = tg AND NOT x.u), lambda x: x.c) ELSE list_transform(list_filter(h, lambda x: x.g = tg AND x.u), lambda x: x.c) END AS em,
+      list_transform(list_filter(h, lambda x: x.g = tg), lambda x: x.c) AS members
+      FROM (SELECT *, list_filter(h, lambda x: x.c = top)[1].g AS tg
+        FROM (SELECT st.doc_id, o.i, o.clock, o.action, o.grp, st.h, st.un, st.re, CASE o.action WHEN 'undo' THEN st.un[-1] WHEN 'redo' THEN st.re[-1] END AS top FROM st JOIN o ON o.doc_id = st.doc_id AND o.i = st.i + 1)))))"""
 
 QUERIES = {f.__name__: f for f in (
     docstore_replay, docstore_query, docstore_title_index, docstore_find_title, docstore_prefix_scan, docstore_metadata, docstore_checked_edits, docstore_pending,
     text_render, text_length, text_slice, text_char_at, text_positions, text_splice, list_move,
-    richtext_ranges, richtext_marks_at, richtext_overlap, richtext_remove, richtext_html,
+    richtext_ranges, richtext_marks_at, richtext_has_mark, richtext_overlap, richtext_remove, richtext_html,
     json_winner, json_keys, json_get, json_delete, json_materialise, json_counters, path_parse,
     presence_current, presence_online, presence_in_doc, presence_cursors, presence_expired, presence_merge, presence_sessions,
     relay_members, relay_room_users, relay_fanout, relay_notices, relay_json,
@@ -351,15 +387,16 @@ ORACLE_SQL = {
         t AS (SELECT replica, max(seq) // 2 AS upto FROM c GROUP BY 1) SELECT replica, kind, count(*) AS n FROM c JOIN t USING (replica) WHERE seq > upto GROUP BY 1, 2""",
     "text_render": f"{_TEXT} SELECT doc_id, array_to_string(cs, '') AS text FROM t WHERE len(cs) > 0",
     "text_length": f"{_TEXT} SELECT doc_id, len(cs) AS n FROM t WHERE len(cs) > 0",
-    "text_slice": f"{_TEXT} SELECT doc_id, array_to_string(cs[11:30], '') AS text FROM t WHERE len(cs) > 10",
-    "text_char_at": f"{_TEXT} SELECT doc_id, position::INT AS position, value FROM c WHERE position = item_id % 20",
-    "text_positions": "WITH x AS (SELECT item_id::VARCHAR AS doc_id, unnest(range(1, len(text) + 1)) AS seq FROM benchmark) SELECT doc_id, seq, (seq - seq // 7 - 1)::INT AS position FROM x WHERE seq % 5 = 0 AND seq % 7 <> 0",
+    "text_slice": f"{_TEXT} SELECT doc_id, array_to_string(cs[101:5000], '') AS text FROM t WHERE len(cs) > 100",
+    "text_char_at": f"{_TEXT} SELECT doc_id, position::INT AS position, value FROM c WHERE position = num * 37 % 3000",
+    "text_positions": "WITH x AS (SELECT doc_id::VARCHAR AS doc_id, unnest(range(1, len(text) + 1)) AS seq FROM documents) SELECT doc_id, count(*) AS n, sum((seq - seq // 7 - 1) * (seq % 1009))::BIGINT AS weighted FROM x WHERE seq % 7 <> 0 GROUP BY 1",
     "text_splice": f"{_TEXT} SELECT doc_id, array_to_string(cs[1:3], '') || 'XYZ' || array_to_string(cs[9:], '') AS text FROM t WHERE len(cs) > 0",
     "list_move": f"{_TEXT} SELECT doc_id, CASE WHEN len(cs) > 4 THEN cs[1] || cs[5] || array_to_string(cs[2:4], '') || array_to_string(cs[6:], '') ELSE array_to_string(cs, '') END AS text FROM t WHERE len(cs) > 0",
     "richtext_ranges": f"{_MARKS} SELECT doc_id, mark_id, mark_kind, s::INT AS start, e::INT AS \"end\" FROM m",
-    "richtext_marks_at": f"{_MARKS} SELECT doc_id, position::INT AS position, mark_id FROM c JOIN m USING (doc_id) WHERE position >= s AND position < e",
-    "richtext_overlap": f"{_MARKS} SELECT doc_id, mark_id FROM m WHERE s < 18 AND e > 12",
-    "richtext_remove": f"{_MARKS} SELECT doc_id, mark_id FROM m WHERE NOT (mark_kind = 'Italic' AND s < 9 AND e > 0)",
+    "richtext_marks_at": f"{_MARKS} SELECT doc_id, mark_id, (e - s)::BIGINT AS n, ((s + e - 1) * (e - s) // 2)::BIGINT AS positions FROM m",
+    "richtext_has_mark": f"{_MARKS} SELECT doc_id, mark_kind, CASE mark_kind WHEN 'Link' THEN 'u' END AS a1, (e + 99) // 100 - (s + 99) // 100 AS n FROM m WHERE mark_kind IN ('Bold', 'Link') AND (e + 99) // 100 > (s + 99) // 100",
+    "richtext_overlap": f"{_MARKS} SELECT doc_id, mark_id FROM m WHERE s < size // 2 AND e > size // 3 AND size // 3 < size // 2",
+    "richtext_remove": f"{_MARKS} SELECT doc_id, mark_id FROM m WHERE NOT (mark_kind = 'Italic' AND s < size // 4 AND e > 0 AND size // 4 > 0)",
     "richtext_html": f"""{_MARKS}, x AS (SELECT doc_id, position AS p, 2 AS r, '' AS id, value AS piece FROM c
         UNION ALL SELECT doc_id, e, 0, mark_id, CASE mark_kind WHEN 'Bold' THEN '</strong>' WHEN 'Italic' THEN '</em>' WHEN 'Code' THEN '</code>' ELSE '</a>' END FROM m
         UNION ALL SELECT doc_id, s, 1, mark_id, CASE mark_kind WHEN 'Bold' THEN '<strong>' WHEN 'Italic' THEN '<em>' WHEN 'Code' THEN '<code>' ELSE '<a href="u">' END FROM m)
@@ -382,10 +419,15 @@ ORACLE_SQL = {
         SELECT user_id, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS n FROM s GROUP BY user_id, sid""",
     "relay_members": f"{_ROOM} SELECT doc_id, user_id, user_name FROM mem WHERE lft IS NULL",
     "relay_room_users": f"{_ROOM} SELECT doc_id, string_agg(user_id, ',' ORDER BY user_id) AS users FROM mem WHERE lft IS NULL GROUP BY 1",
-    "relay_fanout": f"{_ROOM} SELECT arrival, doc_id, sender, user_id AS receiver FROM sent JOIN mem USING (conv_id) WHERE user_id <> sender AND joined < arrival AND (lft IS NULL OR lft > arrival)",
+    "relay_fanout": f"{_ROOM} SELECT arrival, doc_id, sender, user_id AS receiver, sha256(text) AS digest FROM sent JOIN mem USING (conv_id) WHERE user_id <> sender AND joined < arrival AND (lft IS NULL OR lft > arrival)",
     "relay_notices": f"""{_ROOM}, n AS (SELECT 'user_joined' AS notice, b.user_id AS receiver FROM mem a JOIN mem b USING (conv_id) WHERE b.joined < a.joined UNION ALL SELECT 'user_left', b.user_id FROM mem a JOIN mem b USING (conv_id) WHERE a.lft IS NOT NULL AND a.user_id <> b.user_id)
         SELECT notice, receiver, count(*) AS n FROM n GROUP BY 1, 2""",
-    "relay_json": f"{_ROOM}, m AS (SELECT 'join' AS type, joined AS arrival FROM mem UNION ALL SELECT 'leave', lft FROM mem WHERE lft IS NOT NULL UNION ALL SELECT 'sync', arrival FROM sent) SELECT type, count(*) AS n FROM m WHERE arrival % 10 <> 9 GROUP BY 1",
+    "relay_json": f"{_ROOM}, m AS (SELECT 'join' AS type, joined AS arrival, NULL AS text FROM mem UNION ALL SELECT 'leave', lft, NULL FROM mem WHERE lft IS NOT NULL UNION ALL SELECT 'sync', arrival, text FROM sent) SELECT type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM m WHERE arrival % 10 <> 9 GROUP BY 1",
+    "undo_effective_ops": f"""{_UNDO}, e AS (SELECT doc_id, step, action, unnest(em) AS source FROM st)
+        SELECT doc_id, clock AS "at", op_kind, position, deleted, inserted, clock AS source_clock, 'record' AS how FROM o WHERE action = 'record'
+        UNION ALL SELECT e.doc_id, step, CASE WHEN e.action = 'redo' THEN op_kind WHEN op_kind = 'insert' THEN 'delete' ELSE 'insert' END, position, CASE WHEN e.action = 'redo' THEN deleted ELSE inserted END, CASE WHEN e.action = 'redo' THEN inserted ELSE deleted END, source, e.action
+        FROM e JOIN o ON o.doc_id = e.doc_id AND o.clock = e.source""",
+    "undo_stacks": f"{_UNDO} SELECT doc_id, 'r' AS replica, len(un)::BIGINT AS n_undo, len(re)::BIGINT AS n_redo FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1",
     "undo_trimmed": f"WITH {EV} SELECT 'u' || user_id AS doc_id, event_id AS clock FROM ev WHERE event_type NOT IN ('purchase', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "undo_inverse": f"WITH {EV} SELECT event_id AS clock, CASE WHEN k % 3 = 0 THEN 'insert' ELSE 'delete' END AS op_kind, k::INT AS position, CASE WHEN k % 3 <> 0 THEN 'y' END AS deleted, CASE WHEN k % 3 = 0 THEN 'x' END AS inserted FROM ev WHERE event_type NOT IN ('purchase', 'error')",
     "rollup_activity": f"WITH {EV} SELECT event_type, replica, count(*) AS n, sum(k)::BIGINT AS k FROM ev GROUP BY ROLLUP (event_type, replica)",

@@ -15,8 +15,11 @@ def _dag(spark, d):
 
 
 def _hashed(spark, d):
+    return hashed(logs.events(spark, d))
+
+
+def hashed(ev):
     """Two real levels: a genesis per user, and each event as its child."""
-    ev = logs.events(spark, d)
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     none = F.array().cast("array<string>")
     roots = ev.select("user_id", user.alias("creator")).distinct().withColumns({"parents": none, "payload_type": F.lit(0).cast("tinyint"), "payload": F.lit(b""), "timestamp": F.lit(0).cast("long")})
@@ -55,7 +58,7 @@ def dag_children(spark, d):
 
 
 def dag_stats(spark, d):
-    return dag.stats(_dag(spark, d).where("cid not like '%50'"), with_depth=False)
+    return dag.stats(_dag(spark, d).where("cid not like '%50'"))
 
 
 def dag_levels(spark, d):
@@ -118,8 +121,8 @@ def disconnected_check(spark, d):
 
 
 def _snapshots(spark, d):
-    """Every hundredth event is a snapshot of its replica."""
-    ev = logs.events(spark, d).where("event_id % 100 = 0")
+    """Every event is a snapshot of its replica."""
+    ev = logs.events(spark, d)
     return compaction.make_snapshots(ev.select(F.create_map("replica", "event_id").alias("vv"), F.array().cast("array<string>").alias("superseded_roots"), F.encode("event_type", "utf-8").alias("state"), F.col("ts_ms").alias("created_at"), F.col("replica").alias("creator")))
 
 
@@ -277,7 +280,7 @@ def cursor_scalars(spark, d):
 
 
 _CLOSURE = f"""WITH RECURSIVE {EV}, {NODES}, heads AS (SELECT cid FROM nodes WHERE cid NOT IN (SELECT parent FROM edges))"""
-_SNAP = f"WITH {EV}, s AS (SELECT replica AS creator, ts_ms AS created_at, event_id, event_type FROM ev WHERE event_id % 100 = 0)"
+_SNAP = f"WITH {EV}, s AS (SELECT replica AS creator, ts_ms AS created_at, event_id, event_type FROM ev)"
 _LOG = f"""WITH {EV}, log AS (SELECT replica, k, row_number() OVER (PARTITION BY replica ORDER BY event_id) AS seq FROM ev),
 acks AS (SELECT replica, 'p' || i AS peer, max(seq) * (i + 1) // 4 AS acked FROM log, range(3) t(i) GROUP BY replica, i)"""
 _INT = f"""{_LOG}, i AS (SELECT replica AS from_replica, seq - 10 AS from_seq, seq AS to_seq, unnest(CASE WHEN seq % 50 = 0 THEN [seq, seq + 3] ELSE [seq] END) AS arrival
@@ -307,8 +310,8 @@ ORACLE_SQL = {
     "dag_heads": f"{_CLOSURE} SELECT cid FROM heads",
     "dag_missing": f"WITH {EV}, {NODES} SELECT DISTINCT parent AS cid FROM edges WHERE child NOT LIKE '%50' AND parent LIKE '%50'",
     "dag_children": f"WITH {EV}, {NODES} SELECT parent, child FROM edges",
-    "dag_stats": f"""WITH {EV}, {NODES}, e AS (SELECT * FROM edges WHERE child NOT LIKE '%50'), n AS (SELECT cid FROM nodes WHERE cid NOT LIKE '%50')
-        SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE cid NOT IN (SELECT parent FROM e)) AS heads,
+    "dag_stats": f"""WITH RECURSIVE {EV}, {NODES}, e AS (SELECT * FROM edges WHERE child NOT LIKE '%50'), n AS (SELECT cid FROM nodes WHERE cid NOT LIKE '%50'),
+        l AS (SELECT cid, 1 AS level FROM n UNION SELECT child, level + 1 FROM l JOIN e ON parent = cid) SELECT (SELECT max(level) FROM l)::BIGINT AS depth, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE cid NOT IN (SELECT parent FROM e)) AS heads,
         (SELECT count(DISTINCT parent) FROM e WHERE parent NOT IN (SELECT cid FROM n)) AS missing, (SELECT count(*) / count(DISTINCT parent) FROM e) AS branching""",
     "dag_levels": f"{_CLOSURE}, l AS (SELECT cid, 1 AS level FROM nodes UNION SELECT child, level + 1 FROM l JOIN edges ON parent = cid) SELECT cid, max(level) AS level FROM l GROUP BY 1",
     "dag_ancestors": f"{_CLOSURE}, a AS (SELECT cid AS start, cid FROM heads UNION SELECT start, parent FROM a JOIN edges ON child = cid) SELECT start, count(*) - 1 AS n FROM a GROUP BY 1 HAVING count(*) > 1",
@@ -329,7 +332,7 @@ ORACLE_SQL = {
     "snapshot_retention": f"{_SNAP} SELECT creator, created_at FROM s QUALIFY row_number() OVER (PARTITION BY creator ORDER BY created_at DESC) <= 3",
     "snapshot_ids": f"{_SNAP} SELECT sha256(unhex('01') || encode(event_type) || encode(creator) || {le8('event_id')} || {le8('created_at')} || encode(creator)) AS id, creator, created_at FROM s",
     "snapshot_covering": f"{_SNAP} SELECT creator, created_at FROM s WHERE creator = 'r3' AND event_id >= 500",
-    "snapshot_latest": f"{_SNAP} SELECT creator, created_at FROM s ORDER BY event_id DESC LIMIT 1",
+    "snapshot_latest": f"{_SNAP}, f AS (SELECT creator FROM s WHERE event_id > 0 ORDER BY created_at, event_id LIMIT 1) SELECT creator, created_at FROM s JOIN f USING (creator) ORDER BY event_id DESC LIMIT 1",
     "snapshot_stats": f"{_SNAP} SELECT count(*) AS n, coalesce(sum(strlen(event_type)), 0)::BIGINT AS bytes, min(created_at) AS oldest, max(created_at) AS newest FROM s",
     "snapshot_node_round_trip": f"{_SNAP} SELECT sha256(unhex('01') || encode(event_type) || encode(creator) || {le8('event_id')} || {le8('created_at')} || encode(creator)) AS id, creator, created_at, event_type AS state, 'test' AS why FROM s",
     "stability_state": f"""WITH {EV}, h AS (SELECT event_type, count(DISTINCT replica) FILTER (replica IN ('r0', 'r3') AND event_id >= 1) = 2 AS ok FROM ev GROUP BY 1), c AS (SELECT count(*) FILTER (ok)::INT AS delivered, count(*) FILTER (NOT ok)::INT AS pending FROM h)

@@ -104,5 +104,5 @@ def relay_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("j")).alias("arrival"), F.lit("join").alias("type"), F.concat(F.lit("room"), F.col("conv_id").cast("string")).alias("doc_id"), user(F.col("j")).alias("user_id"), F.concat(F.lit("name"), F.col("j").cast("string")).alias("user_name"), F.lit("#000000").alias("user_color"), null.cast("string").alias("state"), *tail
     )
     leaves = rooms.where("conv_id % 2 = 0").select((F.col("conv_id") * 1000 + 503).alias("arrival"), F.lit("leave").alias("type"), F.concat(F.lit("room"), F.col("conv_id").cast("string")).alias("doc_id"), user(F.lit(3)).alias("user_id"), null.cast("string").alias("user_name"), null.cast("string").alias("user_color"), null.cast("string").alias("state"), *tail)
-    turns = c.select((F.col("conv_id") * 1000 + 500 + F.col("turn")).alias("arrival"), F.lit("sync").alias("type"), F.concat(F.lit("room"), F.col("conv_id").cast("string")).alias("doc_id"), user(F.col("turn") % 4).alias("user_id"), null.cast("string").alias("user_name"), null.cast("string").alias("user_color"), F.substring("text", 1, 20).alias("state"), *tail)
+    turns = c.select((F.col("conv_id") * 1000 + 500 + F.col("turn")).alias("arrival"), F.lit("sync").alias("type"), F.concat(F.lit("room"), F.col("conv_id").cast("string")).alias("doc_id"), user(F.col("turn") % 4).alias("user_id"), null.cast("string").alias("user_name"), null.cast("string").alias("user_color"), F.col("text").alias("state"), *tail)
     return joins.unionByName(leaves).unionByName(turns)

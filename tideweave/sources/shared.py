@@ -8,13 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local-mode session without it (tests) gets a folder of its own."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = "file:///tmp/checkpoints"
+    """``spark.checkpoint.dir``. Where it is unset, as in a local test session, a folder under the warehouse, which is shared as well."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return place.rstrip("/")
 
 

@@ -15,6 +15,13 @@ def persist(state: DataFrame, path: str) -> None:
     state.write.mode("overwrite").partitionBy("replica").parquet(path)
 
 
+def flush(spark: SparkSession, path: str) -> bool:
+    """Barrier: whether everything persisted under path is committed; a write that is under way or failed leaves its staging folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(place)) and not any(f.getPath().getName().startswith((".spark-staging", "_temporary")) for f in fs.listStatus(place))
+
+
 def load(spark: SparkSession, path: str, replica: str) -> DataFrame:
     """State of one replica (no rows if it has none); only its folder is read."""
     return spark.read.parquet(path).where(F.col("replica") == replica)

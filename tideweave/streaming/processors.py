@@ -5,6 +5,7 @@ They run with transformWithStateInPandas and need the RocksDB state store.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +30,7 @@ class CausalDelivery(StatefulProcessor):
         self.acked = handle.getValueState("acked", "seq long")
         self.early = handle.getMapState("early", "from_seq long, to_seq long", "payload string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         acked = self.acked.get()[0] if self.acked.exists() else 0
         for frame in rows:
             for r in frame.itertuples(index=False):
@@ -60,9 +61,10 @@ class DeltaBuffer(StatefulProcessor):
         self.deltas = handle.getMapState("deltas", "seq long", "payload string")
         self.peers = handle.getMapState("peers", "peer string", "seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for r in frame.sort_values("arrival").itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = [r for frame in rows for r in frame.itertuples(index=False)]  # of one replica and batch
+        if arrived:
+            for r in sorted(arrived, key=lambda r: r.arrival):
                 if r.kind == "delta":
                     self.deltas.updateValue((int(r.seq),), (r.payload,))
                 elif r.kind == "peer" and not self.peers.containsKey((r.peer,)):
@@ -95,17 +97,24 @@ class SeenSet(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "id string", "arrival long")
+        self.count = handle.getValueState("count", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        out = []
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first: dict[str, int] = {}  # of the ids that are new in this batch, whichever frame they come in
         for frame in rows:
-            for r in frame.sort_values("arrival").itertuples(index=False):
-                if not self.seen.containsKey((r.id,)):
-                    self.seen.updateValue((r.id,), (int(r.arrival),))
-                    out.append((key[0], r.id, int(r.arrival)))
-        held = sorted((tuple(v)[0], tuple(k)[0]) for k, v in self.seen.iterator())
-        for _, name in held[: max(0, len(held) - self.size)]:
-            self.seen.removeKey((name,))
+            for name, arrival in frame.groupby("id")["arrival"].min().items():
+                if name in first or not self.seen.containsKey((name,)):
+                    first[name] = min(int(arrival), first.get(name, int(arrival)))
+        out = sorted(((key[0], name, arrival) for name, arrival in first.items()), key=lambda x: (x[2], x[1]))
+        for _, name, arrival in out:
+            self.seen.updateValue((name,), (arrival,))
+        count = (self.count.get()[0] if self.count.exists() else 0) + len(out)
+        if count > self.size:  # the oldest go, found in one pass over what is held
+            held = heapq.nsmallest(count - self.size, ((tuple(v)[0], tuple(k)[0]) for k, v in self.seen.iterator()))
+            for _, name in held:
+                self.seen.removeKey((name,))
+            count = self.size
+        self.count.update((count,))
         yield pd.DataFrame(out, columns=["replica", "id", "arrival"])
 
     def close(self) -> None:
@@ -122,7 +131,7 @@ class PresenceExpiry(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ts_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = max(int(frame["ts_ms"].max()) for frame in rows)
         before = self.last.get()[0] if self.last.exists() else None
         if before is None or newest > before:
@@ -132,7 +141,7 @@ class PresenceExpiry(StatefulProcessor):
             self.handle.registerTimer(newest + self.timeout_ms)
         yield pd.DataFrame({"user_id": pd.Series([], dtype=str), "last_ms": pd.Series([], dtype="int64")})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"user_id": [key[0]], "last_ms": [self.last.get()[0]]})
         self.last.clear()
 
