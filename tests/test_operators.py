@@ -357,11 +357,12 @@ def test_tick(spark):
     snaps = compaction.make_snapshots(spark.createDataFrame([({"a": 3}, roots, b"6", 10, "c"), ({"a": 1}, [], b"1", 5, "c")], shape))
     frontiers = spark.createDataFrame([("p", "a", 3), ("q", "a", 1)], "holder string, replica string, seq long")
     updates = spark.createDataFrame([("p", 1, 99_000), ("q", 1, 0)], "peer string, arrival long, updated_at long")
-    due = dict(ops_since=500, preserve_depth=0, min_age=0, genesis_path=False)
-    assert compaction.tick(nodes, snaps, frontiers, updates.withColumn("updated_at", F.lit(99_000).cast("long")), 100_000, **due) is None  # q lags behind
-    kept, gone = compaction.tick(nodes, snaps, frontiers, updates, 100_000, **due)  # q is stale and dropped
-    assert gone.count() == 3 and kept.count() == 3
-    assert compaction.tick(nodes, snaps, frontiers, updates, 100_000, **{**due, "ops_since": 1}) is None
+    due = dict(compact_ops=3, preserve_depth=0, min_age=0, max_age=10**6, genesis_path=False)
+    tick = lambda u, **x: compaction.tick(nodes, snaps, frontiers, u, "p", b"s", 100_000, **due | x)
+    assert tick(updates.withColumn("updated_at", F.lit(99_000).cast("long"))) is None  # q lags behind
+    done = tick(updates)  # q is stale and dropped
+    assert done.nodes_pruned == 3 and done.nodes.count() == 3 and done.snapshot_created is None
+    assert tick(updates, compact_ops=4) is None
 
 
 def test_paths_and_scalars(spark):
