@@ -10,7 +10,7 @@ from tideweave.plans import registry
 from tideweave.sources import logs
 
 #: Queries that join one-row totals; those joins have no key.
-SCALARS = {"pncounter_converged", "vv_dominance_pairs", "snapshot_covering", "stability_state", "stability_stats"}
+SCALARS = {"pncounter_converged", "vv_dominance_pairs", "snapshot_covering", "snapshot_best_covering", "stability_state", "stability_stats", "frontier_announced", "dag_seeded"}
 #: Queries whose rounds already run when they are made.
 ITERATED = {"dag_ancestors", "dag_levels", "dag_missing_ancestors", "dag_first_parents", "dag_k_hop", "dag_put", "prune_candidates", "gossip_reach"}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideweave.functions.scalars import mark_close_tag, mark_open_tag
+from tideweave.operators.sequence import joined_pieces
 from tideweave.operators.sets import union_all
 
 MARK = ["mark_kind", "a1", "a2", "start_kind", "start_id", "end_kind", "end_id"]
@@ -121,5 +122,4 @@ def to_html(spans: DataFrame, shown: DataFrame) -> DataFrame:
         sized.select("doc_id", F.col("end").alias("position"), F.lit(0).alias("rank"), "mark_id", mark_close_tag(F.col("mark_kind")).alias("piece")),
         sized.select("doc_id", F.col("start").alias("position"), F.lit(1).alias("rank"), "mark_id", mark_open_tag(F.col("mark_kind"), F.col("a1"), F.col("a2")).alias("piece")),
     ]
-    parts = F.array_sort(F.collect_list(F.struct("position", "rank", "mark_id", "piece")))
-    return union_all(*rows).groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("html"))
+    return joined_pieces(union_all(*rows).where("piece is not null"), ["position", "rank", "mark_id"], "piece", "html")

@@ -36,8 +36,11 @@ def from_ops(ops: DataFrame) -> DataFrame:
 
 
 def join(*states: DataFrame) -> DataFrame:
-    """Merge by id: deleted if any side says so, and then without value."""
-    merged = union_all(*states).groupBy("doc_id", "id").agg(F.max("origin").alias("origin"), F.max("value").alias("value"), F.bool_or("deleted").alias("deleted"))
+    """Merge by id: deleted if any side says so, and then without value.
+
+    Rows are dealt by document, as the walk needs them, so that one shuffle serves both.
+    """
+    merged = union_all(*states).repartition("doc_id").groupBy("doc_id", "id").agg(F.max("origin").alias("origin"), F.max("value").alias("value"), F.bool_or("deleted").alias("deleted"))
     return merged.select("doc_id", "id", "origin", F.when(~F.col("deleted"), F.col("value")).alias("value"), "deleted")
 
 
@@ -90,28 +93,61 @@ def _walk(seq: np.ndarray, replica: np.ndarray, o_seq: np.ndarray, o_replica: np
     return out
 
 
+def _places(t: pa.Table) -> np.ndarray:
+    """Places of the nodes of one document."""
+    field = lambda c, f: pc.struct_field(t.column(c), f).combine_chunks()
+    names = pa.concat_arrays([field("id", "replica"), field("origin", "replica").fill_null("")]).dictionary_encode()
+    known = names.dictionary.to_pylist()
+    number = {name: i for i, name in enumerate(sorted({*known, ""}))}
+    code = np.array([number[x] for x in known] or [0], np.int64)[names.indices.to_numpy(zero_copy_only=False)]
+    n = t.num_rows
+    return _walk(field("id", "seq").to_numpy(zero_copy_only=False), code[:n], field("origin", "seq").fill_null(-1).to_numpy(zero_copy_only=False), code[n:], number[""])
+
+
+def _nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*NODE).where("id is not null")
+
+
+def _shown(t: pa.Table) -> pa.Table:
+    """Visible nodes of one document in order."""
+    place = _places(t)
+    live = np.flatnonzero((place >= 0) & ~t.column("deleted").to_numpy())
+    return t.take(pa.array(live[np.argsort(place[live], kind="stable")]))
+
+
 def ordered(nodes: DataFrame) -> DataFrame:
     """Nodes with ``place``, their position in document order with tombstones counted; unreachable nodes are left out."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        field = lambda c, f: pc.struct_field(t.column(c), f).combine_chunks()
-        names = pa.concat_arrays([field("id", "replica"), field("origin", "replica").fill_null("")]).dictionary_encode()
-        known = names.dictionary.to_pylist()
-        number = {name: i for i, name in enumerate(sorted({*known, ""}))}
-        code = np.array([number[x] for x in known] or [0], np.int64)[names.indices.to_numpy(zero_copy_only=False)]
-        n = t.num_rows
-        place = _walk(field("id", "seq").to_numpy(zero_copy_only=False), code[:n], field("origin", "seq").fill_null(-1).to_numpy(zero_copy_only=False), code[n:], number[""])
+        place = _places(t)
         return t.append_column("place", pa.array(place)).filter(pa.array(place >= 0))
 
-    rows = nodes.select(*NODE).where("id is not null")
+    rows = _nodes(nodes)
     return rows.groupBy("doc_id").applyInArrow(run, T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())]))
 
 
 def visible(nodes: DataFrame) -> DataFrame:
     """Visible nodes with ``position`` from 0: element_at, index_of, iterate with index and slice are filters over it."""
-    live = ordered(nodes).where("not deleted")
-    return live.select("doc_id", "id", "value", (F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).alias("position"))
+
+    def run(t: pa.Table) -> pa.Table:
+        out = _shown(t).select(["doc_id", "id", "value"])
+        return out.append_column("position", pa.array(np.arange(out.num_rows, dtype=np.int32)))
+
+    rows = _nodes(nodes)
+    return rows.groupBy("doc_id").applyInArrow(run, T.StructType([*(rows.schema[c] for c in ("doc_id", "id", "value")), T.StructField("position", T.IntegerType())]))
+
+
+def text_of(nodes: DataFrame) -> DataFrame:
+    """doc_id, text of a state, in one pass per document; documents without a visible character are left out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = _shown(t)
+        if not out.num_rows:
+            return out.select(["doc_id"]).append_column("text", pa.array([], pa.string()))
+        return out.slice(0, 1).select(["doc_id"]).append_column("text", pa.array(["".join(out.column("value").to_pylist())], pa.string()))
+
+    rows = _nodes(nodes)
+    return rows.groupBy("doc_id").applyInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
 def at(shown: DataFrame, probes: DataFrame) -> DataFrame:
@@ -124,9 +160,19 @@ def position_of(shown: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(shown, ["doc_id", "id"]).select("doc_id", "id", "position")
 
 
+def joined_pieces(rows: DataFrame, order: list[str], piece: str, name: str) -> DataFrame:
+    """doc_id and the pieces of each document joined in order, as column name."""
+
+    def run(t: pa.Table) -> pa.Table:
+        whole = "".join(t.sort_by([(c, "ascending") for c in order]).column(piece).to_pylist())
+        return t.slice(0, 1).select(["doc_id"]).append_column(name, pa.array([whole], pa.string()))
+
+    kept = rows.select("doc_id", *order, piece)
+    return kept.groupBy("doc_id").applyInArrow(run, T.StructType([kept.schema["doc_id"], T.StructField(name, T.StringType())]))
+
+
 def _text(rows: DataFrame) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("position", "value")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("text"))
+    return joined_pieces(rows.where("value is not null"), ["position"], "value", "text")
 
 
 def render(shown: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def _shown(spark, d):
 
 
 def text_render(spark, d):
-    return sequence.render(sequence.visible(_chars(spark, d)))
+    return sequence.text_of(_chars(spark, d))
 
 
 def text_length(spark, d):
@@ -93,7 +93,7 @@ def text_splice(spark, d):
     """Five characters from position 3 give way to "XYZ", by another replica."""
     nodes, shown = _chars(spark, d), _shown(spark, d)
     edits = shown.select("doc_id").distinct().select("doc_id", F.lit(3).alias("start"), F.lit(5).alias("length"), F.lit("XYZ").alias("text"))
-    return sequence.render(sequence.visible(sequence.apply_ops(nodes, sequence.splice(shown, nodes, edits, "r1"))))
+    return sequence.text_of(sequence.apply_ops(nodes, sequence.splice(shown, nodes, edits, "r1")))
 
 
 def list_move(spark, d):
