@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideweave.functions import hashing, paths, scalars
-from tideweave.operators import compaction, counters, dag, docstore, jsondoc, lattice, maps, presence, registers, relay, replication, richtext, sequence, sets, undo, vectors
+from tideweave.operators import compaction, counters, dag, docstore, jsondoc, lattice, maps, prefix, presence, registers, relay, replication, richtext, sequence, sets, undo, vectors
 from tideweave.schemas import COUNTER_OPS, JSON_OPS, SEQ_OPS
 from tideweave.sources import store
 
@@ -483,3 +483,24 @@ def test_durable_state(spark, tmp_path):
     back, version = store.restore(spark, str(tmp_path / "e"), "replica string, counter string, inc long")
     assert version == 7 and as_set(back.select(*s.columns)) == as_set(s)
     assert as_set(store.deserialized(store.serialized(s, "replica"), "replica", "counter string, inc long")) == as_set(s)
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_running_totals_over_many_partitions(spark, parts):
+    """One key holds most rows and covers several partitions; totals equal those of a loop."""
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice("abc"), i, rng.choice([None, *range(-5, 9)])) for i in range(5000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "key string, at long, v long")
+        got = prefix.running(df, ["key"], ["at"], total=("sum", F.col("v")), top=("max", F.col("v")), above=("max before", F.col("v")), n=("sum before", F.lit(1)))
+        got = {(r.key, r.at): (r.total, r.top, r.above, r.n) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    state = {}
+    for key, at, v in rows:
+        total, top, n = state.get(key, (0, None, 0))
+        state[key] = total + (v or 0), max((x for x in (top, v) if x is not None), default=None), n + 1
+        assert got[key, at] == (*state[key][:2], top, n)
+    assert prefix.running(df.limit(0), ["key"], ["at"], n=("sum", F.lit(1))).count() == 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideweave.functions.scalars import clamp_long
+from tideweave.operators import prefix
 from tideweave.operators.sets import union_all
 
 
@@ -17,9 +18,8 @@ def from_ops(ops: DataFrame) -> DataFrame:
 
 def running(ops: DataFrame) -> DataFrame:
     """The log with each replica's totals after each operation: every delta of the counter."""
-    seen = Window.partitionBy("counter", "replica").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    amount = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("amount")).otherwise(0)).over(seen)
-    return ops.withColumns({"inc": amount("inc"), "dec": amount("dec")})
+    amount = lambda kind: F.when(F.col("kind") == kind, F.col("amount")).otherwise(0)
+    return prefix.running(ops, ["counter", "replica"], ["seq"], inc=("sum", amount("inc")), dec=("sum", amount("dec")))
 
 
 def join(*states: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideweave.functions.hashing import message_id
 from tideweave.functions.scalars import lcg_next, lcg_uniform
+from tideweave.operators import prefix
 from tideweave.operators.sets import same_rows, union_all
 from tideweave.sources.shared import materialize
 
@@ -19,8 +20,7 @@ BUFFER, FANOUT, TTL, SEEN = 100, 3, 6, 1000
 
 def numbered(arrivals: DataFrame) -> DataFrame:
     """Delta log with sequence numbers by arrival, per replica."""
-    w = Window.partitionBy("replica").orderBy("arrival")
-    return arrivals.withColumn("seq", F.row_number().over(w).cast("long"))
+    return prefix.running(arrivals, ["replica"], ["arrival"], seq=("sum", F.lit(1)))
 
 
 def deltas_since(log: DataFrame, acks: DataFrame) -> DataFrame:
@@ -55,8 +55,10 @@ def collected(log: DataFrame, acks: DataFrame) -> DataFrame:
 
 def bounded_buffer(log: DataFrame, capacity: int = BUFFER) -> DataFrame:
     """The log with ``slot``: beyond the capacity the oldest rows share slot 0, to be joined into one delta."""
-    w = Window.partitionBy("replica").orderBy(F.desc("seq"))
-    return log.withColumn("slot", F.greatest(F.lit(capacity) - F.row_number().over(w), F.lit(0)))
+    ranked = prefix.running(log, ["replica"], ["seq"], _rank=("sum", F.lit(1)))
+    sizes = log.groupBy("replica").agg(F.count(F.lit(1)).alias("_size"))
+    back = F.col("_size") - F.col("_rank") + 1  # how many rows from the newest on
+    return ranked.join(sizes, "replica").withColumn("slot", F.greatest(F.lit(capacity) - back, F.lit(0)).cast("int")).select(*log.columns, "slot")
 
 
 def has_pending(log: DataFrame, acks: DataFrame) -> DataFrame:
@@ -76,10 +78,11 @@ def causal_prefix(sent: DataFrame) -> DataFrame:
 
     Duplicates and intervals inside what others cover are applied as well (they change nothing).
     """
-    w = Window.partitionBy("from_replica", "to_replica").orderBy("from_seq", "to_seq", "arrival")
-    reach = F.coalesce(F.max("to_seq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = sent.withColumn("joins", F.col("from_seq") <= reach)
-    return joined.withColumn("applied", F.bool_and("joins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("joins")
+    pair, order = ["from_replica", "to_replica"], F.struct("from_seq", "to_seq", "arrival")
+    seen = prefix.running(sent, pair, ["from_seq", "to_seq", "arrival"], _reach=("max before", F.col("to_seq")))
+    gaps = seen.where(F.col("from_seq") > F.coalesce("_reach", F.lit(0))).groupBy(*pair).agg(F.min(order).alias("_gap"))  # one row per pair
+    applied = F.col("_gap").isNull() | (order < F.col("_gap"))
+    return seen.join(gaps, pair, "left").withColumn("applied", applied).select(*sent.columns, "applied")
 
 
 def interval_acks(applied: DataFrame) -> DataFrame:
