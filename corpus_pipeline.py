@@ -26,12 +26,15 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of documents whose five-word n-gram sets are linked at 0.8 or more."""
+    """One row of each class of documents whose five-word n-gram sets are linked at 0.8 or more.
+
+    Texts without a word are their own classes; of rows with equal id and text one stays.
+    """
     return neardup.keepers(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its sequence and offset."""
+    """A row per piece with its sequence and offset; null and empty texts are one token long."""
     return packing.pack(docs)
 
 
@@ -47,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage kept is written to the shared folder for the next."""
+    """All stages over documents; what a stage kept is written to the shared folder for the next.
+
+    Null and empty texts end with the quality rules, which ask for ten words. No documents give no rows;
+    without labels nothing is toxic and the base rules decide alone on quality.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
