@@ -46,3 +46,22 @@ def test_odd_documents_pass_through(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         docs = spark.createDataFrame(docs.collect(), "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[3][1](spark, docs, d).count() >= docs.count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents give no rows; without labels the base rules and the copies alone decide."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    for name, some in (("none", 0), ("unlabelled", 60)):
+        docs.limit(some).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.limit(0).write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rows = [(r.doc_id, r.text) for r in table(spark, str(tmp_path / "unlabelled"), "documents").collect()]
+    good = [x for x in rows if not quality.base_failed(*(lambda b: (b[0], b[4]))(quality.base_counts((x[1] or "").encode())))]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "unlabelled")).collect()} == {c for _, c, _ in brute(good)}
+
+
+def test_rows_of_equal_id_and_text(spark):
+    rows = [(1, "ten words stand in this text so that it stays here", "en", s, 1) for s in ("b", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.source for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == ["a"]
