@@ -45,9 +45,14 @@ def g_test(a: np.ndarray, n: np.ndarray, positive: int, total: int) -> np.ndarra
     return np.maximum(2 * out, 0.0)
 
 
+def _keys(terms: list[str]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in terms), np.uint64, len(terms))
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of runs, one after another."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
@@ -63,9 +68,12 @@ class Index:
             df.update(c.keys())
             if y:
                 df_positive.update(c.keys())
-        self.number = {w: i for i, w in enumerate(sorted(df))}
-        n = np.fromiter((df[w] for w in self.number), np.int64, len(df))
-        a = np.fromiter((df_positive[w] for w in self.number), np.int64, len(df))
+        every = sorted(df)
+        keys = _keys(every)
+        order = np.argsort(keys)
+        self.keys, every = keys[order], [every[i] for i in order]  # a word's number is the place of its key: 8 bytes a word in each worker
+        n = np.fromiter((df[w] for w in every), np.int64, len(df))
+        a = np.fromiter((df_positive[w] for w in every), np.int64, len(df))
         self.term_weight = (np.log((total + 1) / (n + 1)) + 1) * g_test(a, n, positive, total)
         self.class_weight = np.array([(1 - share) * total / max(total - positive, 1), share * total / max(positive, 1)])
         vectors = [self.vector(c) for _, _, c in examples]
@@ -81,23 +89,26 @@ class Index:
         own = np.repeat(np.arange(total), size)
         by_term = np.argsort(term, kind="stable")
         term, self.weight, self.example = term[by_term], weight[by_term], own[by_term].astype(np.int32)
+        del vectors, weight, own, by_term
         # an entry per term and block: where its postings are and the largest weight
         key = term * max(self.blocks, 1) + self.example // block
         fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.entry_at, self.entry_size = fresh, np.diff(np.append(fresh, len(key)))
+        self.entry_at, self.entry_size = fresh.astype(np.int32), np.diff(np.append(fresh, len(key))).astype(np.int32)
         self.entry_block = (key[fresh] % max(self.blocks, 1)).astype(np.int32)
         self.entry_most = np.maximum.reduceat(self.weight, fresh) if len(fresh) else np.zeros(0)
         ends = np.searchsorted(term[fresh], np.arange(len(df) + 1))
-        self.first_entry, self.entries = ends[:-1], np.diff(ends)
+        self.first_entry, self.entries = ends[:-1].astype(np.int32), np.diff(ends).astype(np.int32)
         self.scale = (1.0, 0.0)
         self.scale = self.calibration(examples)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; words outside the sample have no weight."""
-        get = self.number.get
-        terms = np.array([get(w, -1) for w in counts], np.int64)
-        order = np.argsort(terms, kind="stable")[int((terms < 0).sum()) :]
-        terms, n = terms[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+        keys = _keys(list(counts))
+        order = np.argsort(keys)
+        keys, n = keys[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+        terms = np.searchsorted(self.keys, keys)
+        known = np.flatnonzero(self.keys[np.minimum(terms, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        terms, n = terms[known], n[known]
         raw = (1 + np.log(n)) * self.term_weight[terms]
         length = math.sqrt(float(raw @ raw))
         return (terms, raw / length) if length > 0 else (terms[:0], raw[:0])
@@ -198,11 +209,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     if len(few) < len(sizes):
         sample = sample.join(F.broadcast(sample.sparkSession.createDataFrame([(i,) for i in few], "id long")), "id")
-    got = sample.mapInArrow(counted, "id long, label int, words array<string>, n array<int>").toArrow().to_pylist()
+    got = sample.mapInArrow(counted, "id long, label int, words array<string>, n array<int>").toArrow().combine_chunks().sort_by("id")
     out: dict[tuple, tuple[int, int, Counter]] = {}
-    for r in sorted(got, key=lambda r: r["id"]):
-        counts = Counter(dict(zip(r["words"], r["n"])))
-        out.setdefault((r["label"], xxhash.xxh3_128_digest(repr(sorted(counts.items())).encode("utf-8", "surrogatepass"))), (r["id"], r["label"], counts))
+    one: dict[str, str] = {}  # each word is held once
+    for i, label, own, k in zip(*(got.column(c) for c in ("id", "label", "words", "n"))):
+        counts = Counter({one.setdefault(w, w): m for w, m in zip(own.as_py(), k.as_py())})
+        out.setdefault((label.as_py(), xxhash.xxh3_128_digest(repr(sorted(counts.items())).encode("utf-8", "surrogatepass"))), (i.as_py(), label.as_py(), counts))
     return list(out.values()), n.get(1, 0) / max(sum(n.values()), 1)
 
 
