@@ -244,6 +244,8 @@ def test_sequence_against_interpreter(spark, seed):
     state = sequence.from_ops(spark.createDataFrame(ops[:half], SEQ_OPS))
     late = sequence.join(nodes, state)
     assert as_set(sequence.render(sequence.visible(late))) == {(d, p.text()) for d, p in plain.items()}
+    both = sets.union_all(state, nodes, state)  # not joined: the walk merges
+    assert as_set(sequence.text_of(both)) == as_set(sequence.render(sequence.visible(both))) == {(d, p.text()) for d, p in plain.items() if p.text()}
     p = sequence.position_of(shown, shown.select("doc_id", "id")).where("doc_id = 'p'").orderBy("position").collect()
     assert [tuple(r.id) for r in p] == plain["p"].order()
     assert as_set(sequence.length(nodes)) == {(d, len(x.order())) for d, x in plain.items()}
@@ -504,3 +506,21 @@ def test_running_totals_over_many_partitions(spark, parts):
         state[key] = total + (v or 0), max((x for x in (top, v) if x is not None), default=None), n + 1
         assert got[key, at] == (*state[key][:2], top, n)
     assert prefix.running(df.limit(0), ["key"], ["at"], n=("sum", F.lit(1))).count() == 0
+
+
+def test_levels_and_chains_of_deep_graphs(spark):
+    """Levels against a loop over random graphs and a long chain; a cycle is an error."""
+    shape = "cid string, parents array<string>, payload_type tinyint, payload binary, timestamp long, creator string"
+    rng = random.Random(8)
+    parents = {i: sorted({rng.randrange(max(0, i - 6), i) for _ in range(rng.randint(0, 3))}) for i in range(1, 60)} | {0: []}
+    name = lambda i: f"n{i:03d}"
+    nodes = spark.createDataFrame([(name(i), [*map(name, p), "absent"], 1, b"", i, "c") for i, p in parents.items()], shape)
+    level = {}
+    for i in range(60):
+        level[name(i)] = 1 + max((level[name(p)] for p in parents[i]), default=0)
+    assert as_set(dag.levels(nodes)) == set(level.items())
+    chain = spark.createDataFrame([(name(i), [name(i - 1)] if i else [], 1, b"", i, "c") for i in range(75)], shape)
+    assert as_set(dag.first_parent_path(chain)) == {(name(74 - k), k) for k in range(75)}
+    assert dag.levels(chain).agg(F.max("level")).first()[0] == 75
+    with pytest.raises(ValueError, match="cycle"):
+        dag.levels(spark.createDataFrame([("a", ["b"], 1, b"", 1, "c"), ("b", ["a"], 1, b"", 1, "c"), ("r", [], 1, b"", 1, "c")], shape))

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions.hashing import node_cid
-from tideweave.operators.sets import same_rows
+from tideweave.operators.sets import same_rows, union_all
 from tideweave.sources.shared import materialize
 
 GENESIS, DELTA, SNAPSHOT = 0, 1, 2
+#: Waves that one round of levels makes.
+WAVES = 4
 #: Hops up to which ancestors are found without a round per hop.
 FEW_HOPS = 4
 
@@ -114,22 +116,33 @@ def missing_ancestors(nodes: DataFrame, start: DataFrame, max_depth: int = 1000)
 def levels(nodes: DataFrame) -> DataFrame:
     """cid, level: nodes on the longest path from a root, counted in nodes; the order of (level, cid) is topological.
 
-    Rounds relax only the nodes whose level rose in the round before.
+    Wave k holds the nodes that end a path of k nodes from a root; a node's level is its last wave. A
+    round makes ``WAVES`` waves and writes these alone.
     """
-    up = materialize(edges(nodes), "edges")
     here = nodes.select("cid").distinct()
-    inner = up.join(here.withColumnRenamed("cid", "parent"), "parent", "left_semi").join(here.withColumnRenamed("cid", "child"), "child", "left_semi")
-    level = materialize(here.withColumn("level", F.lit(1)), "levels")
-    raised = level
-    for _ in range(1_000_000):
-        push = inner.join(raised.select(F.col("cid").alias("parent"), "level"), "parent").groupBy(F.col("child").alias("cid")).agg((F.max("level") + 1).alias("new"))
-        both = level.join(push, "cid", "left")
-        level_next = materialize(both.select("cid", F.greatest("level", F.coalesce("new", "level")).alias("level"), (F.coalesce("new", F.lit(0)) > F.col("level")).alias("rose")), "levels")
-        raised = level_next.where("rose")
-        level = level_next.select("cid", "level")
-        if raised.isEmpty():
-            return level
-    raise ValueError("the parents form a cycle")
+    up = edges(nodes).join(here.withColumnRenamed("cid", "parent"), "parent", "left_semi").join(here.withColumnRenamed("cid", "child"), "child", "left_semi")
+    up = materialize(up, "edges")
+    wave = here.join(up.select(F.col("child").alias("cid")), "cid", "left_anti")
+    found, depth, most = wave.withColumn("level", F.lit(1)), 1, None
+    while True:
+        waves = []
+        for i in range(1, WAVES + 1):
+            wave = wave.join(up.withColumnRenamed("parent", "cid"), "cid").select(F.col("child").alias("cid")).distinct()
+            waves.append(wave.withColumn("level", F.lit(depth + i)))
+        new = materialize(union_all(*waves), "waves")
+        if new.isEmpty():
+            break
+        found, depth = found.unionByName(new), depth + WAVES
+        wave = new.where(F.col("level") == depth).select("cid")
+        if depth % 64 == 1:
+            found = materialize(found.groupBy("cid").agg(F.max("level").alias("level")), "levels")
+            most = most or here.count()
+            if depth > most:
+                raise ValueError("the parents form a cycle")
+    level = materialize(found.groupBy("cid").agg(F.max("level").alias("level")), "levels")
+    if not here.join(level, "cid", "left_anti").isEmpty():
+        raise ValueError("the parents form a cycle")
+    return level
 
 
 def topological_order(nodes: DataFrame) -> DataFrame:
@@ -232,13 +245,18 @@ def converged(replicas: DataFrame) -> DataFrame:
 
 
 def first_parent_path(nodes: DataFrame) -> DataFrame:
-    """The chain of first parents from the least head: cid, depth."""
-    chain = nodes.select("cid", F.get("parents", F.lit(0)).alias("parent"))
-    at = heads(nodes).agg(F.min("cid").alias("cid")).where("cid is not null")
-    path, depth = at.withColumn("depth", F.lit(0)), 0
+    """The chain of first parents from the least head: cid, depth.
+
+    Jumps double in each round, so a chain of n nodes takes log2(n) rounds.
+    """
+    jump = nodes.select("cid", F.get("parents", F.lit(0)).alias("up")).where("up is not null")
+    path = heads(nodes).agg(F.min("cid").alias("cid")).where("cid is not null").withColumn("depth", F.lit(0))
+    step = 1
     while True:
-        depth += 1
-        at = materialize(chain.join(at, "cid", "left_semi").where("parent is not null").select(F.col("parent").alias("cid")), "path")
-        if at.isEmpty():
+        jump, path = materialize(jump, "jumps"), materialize(path, "path")
+        more = path.join(jump, "cid").select(F.col("up").alias("cid"), (F.col("depth") + step).alias("depth"))
+        if more.isEmpty():
             return path
-        path = path.unionByName(at.withColumn("depth", F.lit(depth)))
+        path = path.unionByName(more)
+        jump = jump.join(jump.select(F.col("cid").alias("up"), F.col("up").alias("further")), "up").select("cid", F.col("further").alias("up"))
+        step *= 2

@@ -93,15 +93,31 @@ def _walk(seq: np.ndarray, replica: np.ndarray, o_seq: np.ndarray, o_replica: np
     return out
 
 
-def _places(t: pa.Table) -> np.ndarray:
-    """Places of the nodes of one document."""
+def _codes(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ids and origins of one document's rows as numbers, replicas in order of their names, and the genesis' replica; no origin is -1."""
     field = lambda c, f: pc.struct_field(t.column(c), f).combine_chunks()
     names = pa.concat_arrays([field("id", "replica"), field("origin", "replica").fill_null("")]).dictionary_encode()
     known = names.dictionary.to_pylist()
     number = {name: i for i, name in enumerate(sorted({*known, ""}))}
     code = np.array([number[x] for x in known] or [0], np.int64)[names.indices.to_numpy(zero_copy_only=False)]
     n = t.num_rows
-    return _walk(field("id", "seq").to_numpy(zero_copy_only=False), code[:n], field("origin", "seq").fill_null(-1).to_numpy(zero_copy_only=False), code[n:], number[""])
+    return field("id", "seq").to_numpy(zero_copy_only=False), code[:n], field("origin", "seq").fill_null(-1).to_numpy(zero_copy_only=False), code[n:], number[""]
+
+
+def _placed(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """One document's rows with repeated ids merged as join() does, and their places."""
+    seq, replica, o_seq, o_replica, genesis_replica = _codes(t)
+    if len(seq):
+        order = np.lexsort((t.column("value").is_valid().to_numpy(), o_replica, o_seq, replica, seq))
+        first = np.append(True, (np.diff(seq[order]) != 0) | (np.diff(replica[order]) != 0))
+        if not first.all():
+            starts = np.flatnonzero(first)
+            kept = order[np.append(starts[1:], len(order)) - 1]
+            gone = np.logical_or.reduceat(t.column("deleted").to_numpy()[order], starts)
+            t = t.take(pa.array(kept))
+            t = t.set_column(t.schema.get_field_index("deleted"), "deleted", pa.array(gone))
+            seq, replica, o_seq, o_replica = seq[kept], replica[kept], o_seq[kept], o_replica[kept]
+    return t, _walk(seq, replica, o_seq, o_replica, genesis_replica)
 
 
 def _nodes(nodes: DataFrame) -> DataFrame:
@@ -110,16 +126,19 @@ def _nodes(nodes: DataFrame) -> DataFrame:
 
 def _shown(t: pa.Table) -> pa.Table:
     """Visible nodes of one document in order."""
-    place = _places(t)
+    t, place = _placed(t)
     live = np.flatnonzero((place >= 0) & ~t.column("deleted").to_numpy())
     return t.take(pa.array(live[np.argsort(place[live], kind="stable")]))
 
 
 def ordered(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``place``, their position in document order with tombstones counted; unreachable nodes are left out."""
+    """Nodes with ``place``, their position in document order with tombstones counted; unreachable nodes are left out.
+
+    Here and in visible() and text_of() nodes may be the union of several states: rows of one id are merged in the walk.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        place = _places(t)
+        t, place = _placed(t)
         return t.append_column("place", pa.array(place)).filter(pa.array(place >= 0))
 
     rows = _nodes(nodes)

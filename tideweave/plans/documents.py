@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideweave.functions import paths, scalars
-from tideweave.operators import docstore, jsondoc, presence, relay, richtext, sequence, undo
+from tideweave.operators import docstore, jsondoc, presence, relay, richtext, sequence, sets, undo
 from tideweave.plans.sql import EV
 from tideweave.sources import logs
 from tideweave.sources.shared import materialize
@@ -52,20 +52,23 @@ def docstore_pending(spark, d):
     return docstore.pending_changes(changes, taken).groupBy("replica", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _chars(spark, d):
-    """Whole texts of documents as typed characters, every seventh deleted."""
+def _states(spark, d):
+    """Whole texts of documents as typed characters, and the state of a replica that has deleted every seventh."""
     nodes = sequence.typed_nodes(logs.table(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")))
-    gone = nodes.where("id.seq % 7 = 0").select("doc_id", "id", "origin", F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"))
-    return sequence.join(nodes, gone)
+    return nodes, nodes.where("id.seq % 7 = 0").select("doc_id", "id", "origin", F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"))
+
+
+def _chars(spark, d):
+    return sequence.join(*_states(spark, d))
 
 
 def _shown(spark, d):
     """Their visible characters, walked once for all that reads them."""
-    return materialize(sequence.visible(_chars(spark, d)), "shown")
+    return materialize(sequence.visible(sets.union_all(*_states(spark, d))), "shown")
 
 
 def text_render(spark, d):
-    return sequence.text_of(_chars(spark, d))
+    return sequence.text_of(sets.union_all(*_states(spark, d)))
 
 
 def text_length(spark, d):
