@@ -131,6 +131,39 @@ def test_dag_tree(spark):
     assert gone.count() == 3 and compaction.disconnected(kept, gone).count() == 0 and compaction.disconnected(kept).count() == 3
 
 
+def test_reachable_is_what_ancestors_reach(spark):
+    nodes = sets.union_all(*[spark.createDataFrame(p.collect(), p.schema) for p in tree(spark)])
+    start = dag.heads(nodes)
+    for depth in (1, 2, None):
+        for own in (False, True):
+            want = {r.cid for r in dag.ancestors(nodes, start, depth, include_self=own).collect()}
+            got = [r.cid for r in dag.reachable(nodes, start, depth, include_self=own).collect()]
+            assert set(got) == want and len(got) == len(want)
+
+
+def test_a_whole_exchange_has_no_limit(spark):
+    root = dag.genesis(spark, "c")
+    kids = dag.with_cid(spark.range(150).join(root.select(F.col("cid").alias("root"))).select(F.array("root").alias("parents"), F.lit(1).cast("tinyint").alias("payload_type"), F.lit(b"x").alias("payload"), F.col("id").alias("timestamp"), F.lit("c").alias("creator"))).select(*root.columns)
+    kids = spark.createDataFrame(kids.collect(), kids.schema)
+    peer = root.unionByName(kids)
+    some, new = dag.sync_from(root, peer)
+    assert new.count() == 100 and not dag.is_synced(some, dag.heads(peer)).first().synced
+    full, new = dag.sync_from(root, peer, None)
+    assert new.count() == 150 and dag.is_synced(full, dag.heads(peer)).first().synced
+
+
+def test_rows_of_the_dag_do_not_come_to_the_driver(spark, monkeypatch):
+    """Neither by a broadcast that goes by the size of compressed files, nor in a snapshot's list of heads."""
+    nodes = sets.union_all(*[spark.createDataFrame(p.collect(), p.schema) for p in tree(spark)])
+    plan = compaction.prunable(nodes, dag.heads(nodes), 10_000, preserve_depth=1, min_age=0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    fetched, first = set(), type(nodes).first
+    monkeypatch.setattr(type(nodes), "first", lambda self: (fetched.update(self.columns), first(self))[1])
+    both = spark.createDataFrame([(h, r, 5) for h in ("me", "peer") for r in ("a", "b")], "holder string, replica string, seq long")
+    assert compaction.compact(nodes, snapshot_rows(spark, []), both, "me", b"s", 10_000, preserve_depth=0, min_age=0).snapshot_created
+    assert "superseded_roots" not in fetched
+
+
 def test_snapshots(spark):
     rows = [({"a": 3}, [], b"6", 10, "c"), ({"a": 5, "b": 1}, [], b"15", 20, "c"), ({"b": 9}, [], b"x", 15, "d")]
     snaps = compaction.make_snapshots(spark.createDataFrame(rows, "vv map<string, bigint>, superseded_roots array<string>, state binary, created_at long, creator string"))

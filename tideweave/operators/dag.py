@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideweave.functions.hashing import node_cid
 from tideweave.operators.sets import same_rows, union_all
-from tideweave.sources.shared import materialize
+from tideweave.sources.shared import counted, materialize, shuffled
 
 GENESIS, DELTA, SNAPSHOT = 0, 1, 2
 #: Waves that one round of levels makes.
@@ -67,16 +67,16 @@ def children(nodes: DataFrame, cids: DataFrame) -> DataFrame:
 
 def heads(nodes: DataFrame) -> DataFrame:
     """Nodes that no node has as parent."""
-    return nodes.select("cid").distinct().join(nodes.select(F.explode("parents").alias("cid")), "cid", "left_anti")
+    return nodes.select("cid").distinct().join(shuffled(nodes.select(F.explode("parents").alias("cid"))), "cid", "left_anti")
 
 
 def missing(nodes: DataFrame) -> DataFrame:
     """Parents that are referred to and not there."""
-    return edges(nodes).select(F.col("parent").alias("cid")).distinct().join(nodes.select("cid"), "cid", "left_anti")
+    return edges(nodes).select(F.col("parent").alias("cid")).distinct().join(shuffled(nodes.select("cid")), "cid", "left_anti")
 
 
 def need(nodes: DataFrame, announced: DataFrame) -> DataFrame:
-    return announced.select("cid").distinct().join(nodes.select("cid"), "cid", "left_anti")
+    return announced.select("cid").distinct().join(shuffled(nodes.select("cid")), "cid", "left_anti")
 
 
 def ancestors(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, include_self: bool = False) -> DataFrame:
@@ -108,9 +108,33 @@ def ancestors(nodes: DataFrame, start: DataFrame, max_depth: int | None = None,
     return found if include_self else found.where("depth > 0")
 
 
+def reachable(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, include_self: bool = False) -> DataFrame:
+    """cid: what ancestors() reaches from any of start, each once.
+
+    Without the pairs of ancestors() no node is followed twice, so all rounds together take a row per edge.
+    """
+    frontier = start.select("cid").distinct()
+    if max_depth is not None and max_depth <= FEW_HOPS:
+        up, found = nodes.select("cid", F.explode("parents").alias("parent")), [frontier] if include_self else []
+        for _ in range(max_depth):
+            frontier = frontier.join(shuffled(up), "cid").select(F.col("parent").alias("cid")).distinct()
+            found.append(frontier)
+        return union_all(*found).distinct() if found else frontier.limit(0)
+    up = materialize(edges(nodes).withColumnRenamed("child", "cid"), "edges")
+    frontier, rows = counted(frontier, "frontier")
+    found, depth = frontier if include_self else None, 0
+    while rows and (max_depth is None or depth < max_depth):
+        depth += 1
+        step = up.join(frontier, "cid").select(F.col("parent").alias("cid")).distinct()
+        frontier, rows = counted(step if found is None else step.join(shuffled(found), "cid", "left_anti"), "frontier")
+        found = frontier if found is None else found.unionByName(frontier)
+        if depth % 8 == 0:
+            found = materialize(found, "closure")
+    return found.select("cid") if found is not None else frontier
+
+
 def missing_ancestors(nodes: DataFrame, start: DataFrame, max_depth: int = 1000) -> DataFrame:
-    reached = ancestors(nodes, start, max_depth, include_self=True).select("cid").distinct()
-    return reached.join(nodes.select("cid"), "cid", "left_anti")
+    return reachable(nodes, start, max_depth, include_self=True).join(shuffled(nodes.select("cid")), "cid", "left_anti")
 
 
 def levels(nodes: DataFrame) -> DataFrame:
@@ -120,14 +144,14 @@ def levels(nodes: DataFrame) -> DataFrame:
     round makes ``WAVES`` waves and writes these alone.
     """
     here = nodes.select("cid").distinct()
-    up = edges(nodes).join(here.withColumnRenamed("cid", "parent"), "parent", "left_semi").join(here.withColumnRenamed("cid", "child"), "child", "left_semi")
+    up = edges(nodes).join(shuffled(here.withColumnRenamed("cid", "parent")), "parent", "left_semi")  # a child is always there
     up = materialize(up, "edges")
-    wave = here.join(up.select(F.col("child").alias("cid")), "cid", "left_anti")
+    wave = here.join(shuffled(up.select(F.col("child").alias("cid"))), "cid", "left_anti")
     found, depth, most = wave.withColumn("level", F.lit(1)), 1, None
     while True:
         waves = []
         for i in range(1, WAVES + 1):
-            wave = wave.join(up.withColumnRenamed("parent", "cid"), "cid").select(F.col("child").alias("cid")).distinct()
+            wave = wave.join(shuffled(up.withColumnRenamed("parent", "cid")), "cid").select(F.col("child").alias("cid")).distinct()
             waves.append(wave.withColumn("level", F.lit(depth + i)))
         new = materialize(union_all(*waves), "waves")
         if new.isEmpty():
@@ -140,7 +164,7 @@ def levels(nodes: DataFrame) -> DataFrame:
             if depth > most:
                 raise ValueError("the parents form a cycle")
     level = materialize(found.groupBy("cid").agg(F.max("level").alias("level")), "levels")
-    if not here.join(level, "cid", "left_anti").isEmpty():
+    if not here.join(shuffled(level), "cid", "left_anti").isEmpty():
         raise ValueError("the parents form a cycle")
     return level
 
@@ -173,20 +197,20 @@ def put(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
     Chains within the batch are accepted level by level until nothing more fits.
     """
-    fresh = materialize(verify(new).dropDuplicates(["cid"]).join(nodes.select("cid"), "cid", "left_anti"), "incoming")
-    wanted = materialize(fresh.select("cid", F.explode("parents").alias("parent")).join(nodes.select(F.col("cid").alias("parent")), "parent", "left_anti"), "wanted")
+    fresh = materialize(verify(new).dropDuplicates(["cid"]).join(shuffled(nodes.select("cid")), "cid", "left_anti"), "incoming")
+    wanted = materialize(fresh.select("cid", F.explode("parents").alias("parent")).join(shuffled(nodes.select(F.col("cid").alias("parent"))), "parent", "left_anti"), "wanted")
     accepted = None
     while True:
-        open_ = wanted if accepted is None else wanted.join(accepted.select(F.col("cid").alias("parent")), "parent", "left_anti")
-        ok = materialize(fresh.select("cid").join(open_.select("cid"), "cid", "left_anti"), "accepted")
+        open_ = wanted if accepted is None else wanted.join(shuffled(accepted.select(F.col("cid").alias("parent"))), "parent", "left_anti")
+        ok = materialize(fresh.select("cid").join(shuffled(open_.select("cid")), "cid", "left_anti"), "accepted")
         if accepted is not None and ok.count() == accepted.count():
-            return fresh.join(ok, "cid", "left_semi")
+            return fresh.join(shuffled(ok), "cid", "left_semi")
         accepted = ok
 
 
 def put_unchecked(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """New nodes with a right id, gaps allowed."""
-    return verify(new).dropDuplicates(["cid"]).join(nodes.select("cid"), "cid", "left_anti")
+    return verify(new).dropDuplicates(["cid"]).join(shuffled(nodes.select("cid")), "cid", "left_anti")
 
 
 def handle_request(nodes: DataFrame, want: DataFrame, have: DataFrame, limit: int = 100) -> DataFrame:
@@ -194,19 +218,29 @@ def handle_request(nodes: DataFrame, want: DataFrame, have: DataFrame, limit: in
 
     want: cid; have: the peer's heads (cid), whose ancestors it holds too.
     """
-    known = ancestors(nodes, have, include_self=True).select("cid").distinct()
-    lacks = nodes.join(known, "cid", "left_anti").select("cid")
-    offered = nodes.join(lacks.unionByName(nodes.select("cid").join(want.select("cid"), "cid", "left_semi")).distinct(), "cid", "left_semi")
-    placed = offered.join(levels(nodes), "cid")
+    placed = _offered(nodes, want, have).join(shuffled(levels(nodes)), "cid")
     first = placed.orderBy("level", "cid").limit(limit).select("cid", F.lit(True).alias("sent"))
     return placed.join(F.broadcast(first), "cid", "left").fillna(False, ["sent"])
 
 
-def sync_from(nodes: DataFrame, peer: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+def _offered(nodes: DataFrame, want: DataFrame, have: DataFrame) -> DataFrame:
+    """Nodes for a peer in no order: the wanted ones, and all it lacks."""
+    known = reachable(nodes, have, include_self=True)
+    lacks = nodes.join(shuffled(known), "cid", "left_anti").select("cid")
+    wanted = nodes.select("cid").join(shuffled(want.select("cid")), "cid", "left_semi")
+    return nodes.join(shuffled(lacks.unionByName(wanted).distinct()), "cid", "left_semi")
+
+
+def sync_from(nodes: DataFrame, peer: DataFrame, limit: int | None = 100) -> tuple[DataFrame, DataFrame]:
     """(nodes, new): one exchange with a peer. It is told what is lacking of its heads and which heads are here,
-    answers with at most ``limit`` nodes in topological order, and these are stored after a check."""
-    answer = handle_request(peer, need(nodes, heads(peer)), heads(nodes), limit).where("sent").select(*nodes.columns)
-    new = materialize(put(nodes, answer).select(*nodes.columns), "received")
+    answers with at most ``limit`` nodes in topological order, and these are stored after a check.
+
+    No limit: the whole answer. Messages in topological order would be stored one after another, and what
+    is stored of them all is what put() stores of all at once, so the answer is not put into order for it.
+    """
+    want, have = need(nodes, heads(peer)), heads(nodes)
+    answer = _offered(peer, want, have) if limit is None else handle_request(peer, want, have, limit).where("sent")
+    new = materialize(put(nodes, answer.select(*nodes.columns)).select(*nodes.columns), "received")
     return nodes.unionByName(new), new
 
 

@@ -27,3 +27,23 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast.
+
+    Spark takes the size of compressed files for that of their rows, so a written table of ids, some
+    bytes each, would come to the driver with millions of rows.
+    """
+    return df.hint("merge")
+
+
+#: Rows of a written table that may be laid beside the other side of a join.
+FEW_ROWS = 20_000
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(table, rows): materialize(), for a side of a join that is broadcast if it has few rows and shuffled if not."""
+    out = materialize(df, name)
+    rows = out.count()
+    return (out.hint("broadcast") if rows <= FEW_ROWS else shuffled(out)), rows
