@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tideweave.functions.hashing import node_cid, snapshot_id
 from tideweave.operators import dag, vectors
-from tideweave.sources.shared import materialize
+from tideweave.sources.shared import materialize, shuffled
 
 #: Defaults of the knobs.
 SNAPSHOT_MIN_OPS, SNAPSHOT_MAX_AGE, SNAPSHOT_KEEP = 1000, 10_000, 10
@@ -197,19 +197,19 @@ def prunable(nodes: DataFrame, roots: DataFrame, now: int, *, min_age: int = PRU
     Kept: what is within preserve_depth of a head, pinned cids, and the chain of first parents.
     """
     here = materialize(nodes, "dag")
-    below = dag.ancestors(here, roots).select("cid").distinct()
-    keep = dag.ancestors(here, dag.heads(here), preserve_depth, include_self=True).select("cid").unionByName(roots.select("cid"))
+    below = dag.reachable(here, roots)
+    keep = dag.reachable(here, dag.heads(here), preserve_depth, include_self=True).unionByName(roots.select("cid"))
     if genesis_path:
         keep = keep.unionByName(dag.first_parent_path(here).select("cid"))
     if pinned is not None:
         keep = keep.unionByName(pinned.select("cid"))
     old = here.where(F.lit(now) - F.col("timestamp") >= min_age).select("cid")
-    can = old.join(below, "cid", "left_semi").join(keep, "cid", "left_anti")
-    return can.join(dag.levels(here), "cid").orderBy("level", "cid").limit(max_nodes)
+    can = old.join(shuffled(below), "cid", "left_semi").join(shuffled(keep), "cid", "left_anti")
+    return can.join(shuffled(dag.levels(here)), "cid").orderBy("level", "cid").limit(max_nodes)
 
 
 def prune(nodes: DataFrame, cids: DataFrame) -> DataFrame:
-    return nodes.join(cids.select("cid"), "cid", "left_anti")
+    return nodes.join(shuffled(cids.select("cid")), "cid", "left_anti")
 
 
 def should_prune(nodes: DataFrame, snapshot_is_stable: bool, require_stable: bool = True, preserve_depth: int = PRESERVE_DEPTH) -> bool:
@@ -224,7 +224,7 @@ def resurrections(live: DataFrame, pruned: DataFrame) -> DataFrame:
 def disconnected(live: DataFrame, pruned: DataFrame | None = None) -> DataFrame:
     """Absent ancestors of heads, the pruned boundary excepted (empty is right)."""
     gone = dag.missing(live)
-    return gone if pruned is None else gone.join(pruned.select("cid"), "cid", "left_anti")
+    return gone if pruned is None else gone.join(shuffled(pruned.select("cid")), "cid", "left_anti")
 
 
 def pruned_below(nodes: DataFrame, roots: DataFrame, now: int, **policy) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +264,7 @@ def compact(nodes: DataFrame, snapshots: DataFrame, frontiers: DataFrame, local:
         heads = dag.heads(nodes).agg(F.array_sort(F.collect_list("cid")).alias("superseded_roots"))
         own = F.map_from_entries(F.array(*[F.struct(F.lit(r), F.lit(n).cast("long")) for r, n in sorted(vv.items())])) if vv else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
         new = materialize(make_snapshots(heads.select(own.alias("vv"), "superseded_roots", F.lit(state).alias("state"), F.lit(now).cast("long").alias("created_at"), F.lit(local).alias("creator"))), "snapshot")
-        created, snapshots = new.first()["id"], snapshots.unionByName(new.select(*snapshots.columns))
+        created, snapshots = new.select("id").first()["id"], snapshots.unionByName(new.select(*snapshots.columns))
     last = materialize(latest(snapshots), "latest")
     wanted = last.select(F.explode("vv").alias("replica", "seq"))
     require = policy.pop("require_stable", True)
