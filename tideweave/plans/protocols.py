@@ -572,12 +572,12 @@ def _halves(spark, d):
 def dag_sync_pair(spark, d):
     """What one exchange brings to a replica that lacks half of the users."""
     here, peer = _halves(spark, d)
-    return dag.sync_from(here, peer, 10**6)[1].select("cid", "creator")
+    return dag.sync_from(here, peer, None)[1].select("cid", "creator")
 
 
 def dag_synced(spark, d):
     here, peer = _halves(spark, d)
-    after, _ = dag.sync_from(here, peer, 10**6)
+    after, _ = dag.sync_from(here, peer, None)
     say = lambda n, which: dag.is_synced(n, dag.heads(peer)).withColumn("which", F.lit(which))
     return say(here, "before").unionByName(say(after, "after"))
 
