@@ -6,16 +6,20 @@ Start, End, After id or Before id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideweave.functions.scalars import mark_close_tag, mark_open_tag
 from tideweave.operators.sequence import joined_pieces
 from tideweave.operators.sets import union_all
+from tideweave.sources.shared import shuffled
 
 MARK = ["mark_kind", "a1", "a2", "start_kind", "start_id", "end_kind", "end_id"]
 #: Positions per bucket of the range joins.
-BUCKET = 64
+BUCKET = 4096
 
 
 def marks_from_ops(ops: DataFrame) -> DataFrame:
@@ -84,6 +88,20 @@ def has_mark(spans: DataFrame, probes: DataFrame) -> DataFrame:
     return covered.where(same).select(probes.columns).distinct()
 
 
+def marks_over(spans: DataFrame, probes: DataFrame) -> DataFrame:
+    """marks_at() for all positions of ranges: probes are doc_id, from_pos, to_pos; a row per mark and range, with the stretch [since, until) where it stands."""
+    return overlapping(spans, probes).withColumns({"since": F.greatest("start", "from_pos"), "until": F.least("end", "to_pos")})
+
+
+def has_mark_every(spans: DataFrame, probes: DataFrame, step: int) -> DataFrame:
+    """has_mark() at the positions of ranges that step divides: probes are doc_id, from_pos, to_pos, mark_kind, a1, a2."""
+    covered = marks_over(spans.select("doc_id", "mark_id", "start", "end", F.col("mark_kind").alias("k"), F.col("a1").alias("x1"), F.col("a2").alias("x2")), probes)
+    same = (F.col("k") == F.col("mark_kind")) & F.col("x1").eqNullSafe(F.col("a1")) & F.col("x2").eqNullSafe(F.col("a2"))
+    first = F.ceil(F.col("since") / step) * step
+    at = covered.where(same).withColumn("first", first).where("first < until")
+    return at.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("until").cast("long") - 1, F.lit(step).cast("long"))).alias("position"), "mark_kind", "a1", "a2").distinct()
+
+
 def add_marks(shown: DataFrame, edits: DataFrame) -> DataFrame:
     """mark_ops rows for edits (doc_id, mark_id, start, end, mark_kind, a1, a2); ranges are held within the text, empty ones left out.
 
@@ -123,3 +141,24 @@ def to_html(spans: DataFrame, shown: DataFrame) -> DataFrame:
         sized.select("doc_id", F.col("start").alias("position"), F.lit(1).alias("rank"), "mark_id", mark_open_tag(F.col("mark_kind"), F.col("a1"), F.col("a2")).alias("piece")),
     ]
     return joined_pieces(union_all(*rows).where("piece is not null"), ["position", "rank", "mark_id"], "piece", "html")
+
+
+def html_of(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """to_html() of whole texts (doc_id, text): the tags of a document, few beside its characters, come to it as one array."""
+    sized = spans.where("start < end")
+    close = F.struct(F.col("end").alias("position"), F.lit(0).alias("rank"), "mark_id", mark_close_tag(F.col("mark_kind")).alias("piece"))
+    open_ = F.struct(F.col("start").alias("position"), F.lit(1).alias("rank"), "mark_id", mark_open_tag(F.col("mark_kind"), F.col("a1"), F.col("a2")).alias("piece"))
+    tags = sized.select("doc_id", F.explode(F.array(close, open_)).alias("t")).where("t.piece is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("tags"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, own in zip(b.column("text").to_pylist(), b.column("tags").to_pylist()):
+                pieces, at = [], 0
+                for t in own or ():
+                    pieces += [text[at : t["position"]], t["piece"]]
+                    at = max(at, t["position"])
+                out.append("".join([*pieces, text[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "html"])
+
+    return texts.select("doc_id", "text").join(shuffled(tags), "doc_id", "left").mapInArrow(run, "doc_id string, html string")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideweave.functions import paths, scalars
-from tideweave.operators import compaction, counters, dag, docstore, jsondoc, lattice, maps, presence, registers, relay, replication, sequence, sets, vectors
+from tideweave.operators import compaction, counters, dag, docstore, jsondoc, lattice, maps, presence, registers, relay, replication, runs, sequence, sets, vectors
 from tideweave.plans import documents, graphs, lattices
 from tideweave.plans.sql import EV, NODES, le8
 from tideweave.sources import logs, store
-from tideweave.sources.shared import materialize, shared_path
+from tideweave.sources.shared import materialize, shared_path, shuffled
 
 
 def _name(prefix, column):
@@ -108,9 +108,9 @@ def crdtmap_serialized(spark, d):
 
 def richtext_serialized(spark, d):
     """Whole rich texts as JSON and back."""
-    spans, shown, _ = documents._spans(spark, d)
+    spans, lines, _ = documents._spans(spark, d)
     marks = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("mark_id", "mark_kind", "start", "end"))).alias("marks"))
-    rows = sequence.render(shown).join(marks, "doc_id", "left")
+    rows = runs.text_of(lines).join(shuffled(marks), "doc_id", "left")
     back = store.deserialized(store.serialized(rows, "doc_id"), "doc_id", "text string, marks array<struct<mark_id: string, mark_kind: string, start: int, end: int>>")
     return back.select("doc_id", F.sha2("text", 256).alias("digest"), F.coalesce(F.size("marks"), F.lit(0)).alias("marks"))
 
@@ -451,9 +451,9 @@ def json_array_errors(spark, d):
 
 def text_clamped(spark, d):
     """Deletions that begin near or beyond the end of whole texts, held within them."""
-    shown = documents._shown(spark, d)
-    edits = documents._sized(shown).select("doc_id", (F.col("size") - 3 + F.col("doc_id").cast("long") % 7).cast("int").alias("start"), F.lit(5).alias("length"))
-    return sequence.clamped(shown, edits).select("doc_id", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
+    lines = documents._lines(spark, d)
+    edits = runs.sizes(lines).select("doc_id", (F.col("size") - 3 + F.col("doc_id").cast("long") % 7).cast("int").alias("start"), F.lit(5).alias("length"))
+    return sequence.clamped(runs.chars(lines), edits).select("doc_id", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
 
 
 # --- stability, snapshots, compaction ---------------------------------------------------------------
