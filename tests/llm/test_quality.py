@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import no_docs, odd_docs
 from tideweave.llm import quality
@@ -108,3 +109,17 @@ def test_a_text_scores_the_same_wherever_it_stands(spark):
 def test_trusted_ids_are_bounded(spark):
     with pytest.raises(ValueError, match="more than 3"):
         quality.verdicts(odd_docs(spark), spark.range(9), most=3)
+
+
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """More ids than a former sample had room for; quantiles are numpy's, whatever comes to the driver."""
+    labels = spark.range(20_050).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted(labels).count() == 20_050
+    assert quality.verdicts(odd_docs(spark), quality.trusted(labels)).count() == odd_docs(spark).count()
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=999), np.round(rng.normal(size=500), 1), np.ones(5), np.append(np.zeros(90), 1e9)):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        for few in (20, 10_000):
+            monkeypatch.setattr(quality, "FEW_VALUES", few)
+            for share in (0.001, 0.5, 0.77):
+                assert np.isclose(quality.quantile(df, share), np.quantile(values, share), rtol=1e-12, atol=1e-12)

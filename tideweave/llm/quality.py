@@ -1,8 +1,8 @@
 """Quality by a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 N-grams are the windows of ``GRAM`` bytes of a text, hashed into ``BUCKETS``. Two multinomials over
-the buckets are compared: one of the trusted documents (a bounded sample of those labelled good),
-one of the whole raw corpus. A document's score is the mean of log(p_trusted / p_raw) over its
+the buckets are compared: one of the trusted documents (all of those labelled good), one of the whole
+raw corpus. A document's score is the mean of log(p_trusted / p_raw) over its
 n-grams. How far junk falls below clean text depends on its share of the raw corpus, so the cut comes
 from the trusted side: each trusted document is scored by a model of the other trusted ones, the
 spread of these scores is fitted as a function of length, and what lies ``SLACK`` times farther below
@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.llm import blocks
-from tideweave.llm.common import annotate, table
+from tideweave.llm.common import annotate, materialize, table
+from tideweave.sources.shared import shuffled
 
 GRAM, BUCKETS = 3, 1 << 14
 #: Share of trusted documents that may lie below the quantile, and how much farther than the quantile the cut lies.
 LOST, SLACK = 0.001, 1.5
 #: Log ratios are summed as whole multiples of 1 / FIXED, so that a text's mean does not depend on what stands beside it.
 FIXED = 1 << 24
-#: Labelled rows that the trusted multinomial is fitted on, at most.
-TRUSTED_ROWS = 20_000
+#: Values that a quantile takes to the driver, at most, and the bins by which it narrows down more of them.
+FEW_VALUES, BINS = 10_000, 1024
 MIN_WORDS, MAX_REPEAT = 10, 20
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, margin double, cut double"
@@ -88,14 +89,43 @@ def left_out_score(text: bytes, raw: np.ndarray, trusted: np.ndarray, gram: int
     return float((np.log(others[h] / others.sum()) - np.log(raw[h] / raw.sum())).mean())
 
 
-def fit_cut(scores: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
-    """middle, a, b, z of trusted scores of n n-grams each: their variance is a + b / n, and the cut at middle + z * sqrt(a + b / n)."""
-    if len(scores) < 2:
+def quantile(values: DataFrame, share: float) -> float:
+    """The exact quantile of column x, between neighbours in proportion as numpy's; bins narrow the rows down to few before any comes to the driver."""
+    bounds = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    at = (bounds[0] - 1) * share
+
+    def nth(k: int) -> float:
+        below, low, high, n = 0, bounds[1], bounds[2], bounds[0]
+        while low < high:
+            part = values.where((F.col("x") >= low) & (F.col("x") <= high))
+            if n <= FEW_VALUES:
+                return float(np.sort(np.asarray(part.select("x").toArrow().column("x")))[k - below])
+            b = F.least(F.floor((F.col("x") - low) / (high - low) * BINS), F.lit(BINS - 1))
+            for _, n, low, high in sorted(part.groupBy(b).agg(F.count(F.lit(1)), F.min("x"), F.max("x")).collect()):
+                if below + n > k:
+                    break
+                below += n
+        return float(low)
+
+    first = nth(int(at))
+    return first if at == int(at) else first + (at - int(at)) * (nth(int(at) + 1) - first)
+
+
+def fit_cut(own: DataFrame) -> tuple[float, float, float, float]:
+    """middle, a, b, z of trusted scores (score, n) of n n-grams each: their variance is a + b / n, and the cut at middle + z * sqrt(a + b / n).
+
+    Sums are of whole multiples of 1 / FIXED, so that they do not depend on the order of rows.
+    """
+    if own.limit(2).count() < 2:
         return 0.0, 0.0, 0.0, -np.inf
-    middle = float(np.median(scores))
-    weight = 1 / (1 / n + 1e-3)  # long texts vary little
-    a, b = np.maximum(np.linalg.lstsq(np.stack([weight, weight / n], 1), weight * (scores - middle) ** 2, rcond=None)[0], 0)
-    z = np.quantile((scores - middle) / (np.sqrt(a + b / n) + 1e-12), LOST)
+    middle = quantile(own.select(F.col("score").alias("x")), 0.5)
+    n, weight = F.col("n"), 1 / (1 / F.col("n") + 1e-3)  # long texts vary little
+    far = F.pow(F.col("score") - middle, 2)
+    terms = {"aa": F.lit(1.0), "ab": 1 / n, "bb": 1 / (n * n), "ay": far, "by": far / n}
+    sums = own.agg(*[F.sum(F.round(weight * weight * x * float(FIXED)).cast("decimal(30,0)")).alias(k) for k, x in terms.items()]).first()
+    aa, ab, bb, ay, by = (float(sums[k]) / FIXED for k in terms)
+    a, b = np.maximum(np.linalg.lstsq(np.array([[aa, ab], [ab, bb]]), np.array([ay, by]), rcond=None)[0], 0)
+    z = quantile(own.select(((F.col("score") - middle) / (F.sqrt(F.lit(float(a)) + float(b) / n) + 1e-12)).alias("x")), LOST)
     return middle, float(a), float(b), float(SLACK * min(z, 0.0))
 
 
@@ -155,19 +185,22 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT * n_words)
 
 
-def measured(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, gram: int = GRAM, buckets: int = BUCKETS, most: int = TRUSTED_ROWS) -> DataFrame:
+def measured(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, gram: int = GRAM, buckets: int = BUCKETS, most: int | None = None) -> DataFrame:
     """Columns "row" (all of docs) and FIELDS for every row of docs.
 
-    trusted_ids: one column of ids; it is broadcast, so more than ``most`` of them are an error.
+    trusted_ids: one column of ids, all of which count; with ``most``, more of them are an error. Trusted
+    texts are written once, by a join that is shuffled however few the ids are.
     """
     spark = docs.sparkSession
-    known = trusted_ids.toDF("trusted_id").distinct().withColumn("trusted", F.lit(True))
-    if known.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} trusted ids; draw a sample with trusted_sample()")
+    known = shuffled(trusted_ids.toDF("trusted_id").distinct())
+    if most is not None and known.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} trusted ids")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["score", "n"]
-    marked = rows.join(F.broadcast(known), F.col("id") == F.col("trusted_id"), "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counts = gram_counts(marked, gram, buckets).toArrow()  # a row per bucket
+    own_texts = materialize(rows.join(known, F.col("id") == F.col("trusted_id"), "left_semi").select("text"), "trusted")
+    both = gram_counts(rows.select("text", F.lit(False).alias("trusted")), gram, buckets).select("bucket", "raw", "trusted")
+    both = both.unionByName(gram_counts(own_texts.select("text", F.lit(True).alias("trusted")), gram, buckets).select("bucket", F.lit(0).cast("long").alias("raw"), "trusted"))
+    counts = both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()  # a row per bucket
     raw, good = np.zeros(buckets), np.zeros(buckets)
     at = np.asarray(counts.column("bucket"))
     raw[at], good[at] = np.asarray(counts.column("raw")), np.asarray(counts.column("trusted"))
@@ -186,8 +219,7 @@ def measured(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
                     out.append((left_out_score(text, raw, trusted, gram), len(text) - gram + 1))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.float64(), pa.int64()))], names)
 
-    own = marked.where("trusted").select("text").mapInArrow(left_out, "score double, n long").toArrow()  # a row per trusted document
-    fit = fit_cut(np.asarray(own.column("score")), np.asarray(own.column("n")))
+    fit = fit_cut(materialize(own_texts.mapInArrow(left_out, "score double, n long"), "left-out"))
     scaled = np.log(good / good.sum()) - np.log(raw / raw.sum())
     sent = spark.sparkContext.broadcast((*(np.rint(x * FIXED).astype(np.int64) for x in (log_ratio(counts, buckets), scaled)), fit))  # two numbers per bucket
 
@@ -224,12 +256,16 @@ def verdicts(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("margin") >= F.col("cut")))
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids labelled good, at most ``rows`` of them, chosen by a hash of the id."""
-    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted(labels: DataFrame) -> DataFrame:
+    """All ids labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+#: The former name.
+trusted_sample = trusted
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = verdicts(docs, trusted_sample(table(spark, sf_dir, "labels")))
+    out = verdicts(docs, trusted(table(spark, sf_dir, "labels")))
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
